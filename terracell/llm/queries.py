@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .substring_dedup import substring_dedup
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
