@@ -35,6 +35,8 @@ WINDOW = 50
 PERIOD = 31
 #: A perfect difference set modulo 31: each non-zero difference occurs exactly once.
 COVER = (1, 5, 11, 24, 25, 27)
+#: Stands for a null doc_id, so that all rows go through one shuffle of texts, which both joins then share.
+NAMELESS = -(1 << 63)
 
 
 def cover_positions(n: int) -> np.ndarray:
@@ -58,7 +60,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     for batch in batches:
         ids, found, whose, where = batch.column("doc_id").to_numpy(zero_copy_only=False), [], [], []
         for i in np.argsort(ids, kind="stable"):
-            words = batch.column("text")[i].as_py().split()
+            words = batch.column("text")[i].as_py().split() if ids[i] != NAMELESS else []
             if len(words) < window:
                 continue
             at = cover_positions(len(words) - size + 1)
@@ -159,15 +161,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    return texts(docs).filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return texts(docs).select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.  window is at least the cover's period."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
-    spans = repeated_spans(docs, window)
-    nameless = texts(docs).filter("doc_id IS NULL").select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
     # the shuffle of texts by doc_id is the one that repeated_spans made: Spark reuses it
-    joined = _bytes(docs).join(spans, "doc_id", "left").unionByName(nameless)
-    return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = _bytes(docs).join(repeated_spans(docs, window), "doc_id", "left")
+    out = joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NAMELESS)))
