@@ -9,6 +9,8 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
+from .token_files import token_file_digests
+from .tokens import vocabulary
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=2)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
