@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
+from .packing import pack_documents
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .token_files import token_file_digests
@@ -25,6 +26,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=2)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
