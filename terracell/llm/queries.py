@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
+from .secret_scan import secret_spans, span_digests
 from .substring_dedup import substring_dedup
 from .token_files import token_file_digests
 from .tokens import vocabulary
@@ -31,6 +32,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secret_spans(documents(spark, sf_dir)))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
