@@ -7,7 +7,7 @@ any two places i, j where the same `window` words start there is a shift t < p w
 positions, and the `window - p + 1` words from there lie inside the match: the anchor.
 
 1. Anchors are hashed at cover positions only (6 of 31 places).  An anchor that occurs in two documents is shared.
-2. Each shared anchor extends to the windows around it that contain it.  Those are hashed with 128 bits over all their
+2. Each shared anchor extends to the windows around it that contain it.  Those are hashed with 96 bits over all their
    words, and a window is a repeat if its hash also occurs in a document with a smaller doc_id.
 3. Words under repeated windows are removed.
 
@@ -69,7 +69,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             where.append(at)
         if not found:
             continue
-        key, doc, pos = np.concatenate(found), np.concatenate(whose), np.concatenate(where).astype(np.int32)
+        key, doc, pos = np.concatenate(found), np.concatenate(whose), np.concatenate(where)
         order = np.argsort(key, kind="stable")
         run, first = _runs(order, key)
         doc, pos, key = doc[order], pos[order], key[order]
@@ -78,7 +78,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         own = shared.copy()
         own[first] = False  # the smallest document stands for the batch under the anchor's hash
         key[own] = mix(mix(doc[own].astype(np.uint64)) + pos[own].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(shared)], names=["k", "doc_id", "pos", "shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos * 2 + shared)], names=["k", "doc_id", "place"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             at = np.flatnonzero(np.cumsum(edge)[: max(n, 0)])
             if len(at):
                 h = word_hashes(words)
-                parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at), np.full(len(at), ids[i], np.int64), at))
+                parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at).astype(np.uint32), np.full(len(at), ids[i], np.int64), at))
         if not parts:
             continue
         w1, w2, doc, at = (np.concatenate(x) for x in zip(*parts))
@@ -103,9 +103,9 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         run, first = _runs(order, w1, w2)
         known = np.empty(len(doc), bool)
         known[order] = doc[order] > doc[order][first][run]
-        # windows still to be judged, and runs of consecutive windows known to be repeats
+        # windows still to be judged (more is -1), and runs of `more` windows after the first that are known repeats
         a = ~known
-        rows = [(w1[a], w2[a], doc[a], at[a], at[a] + window, known[a])]
+        rows = [(w1[a], w2[a], doc[a], at[a], np.full(int(a.sum()), -1))]
         if known.any():
             d, p = doc[known], at[known]
             start = np.ones(len(d), bool)
@@ -113,11 +113,11 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             s = np.flatnonzero(start)
             e = np.append(s[1:], len(d)) - 1
             key = mix(mix(d[s].astype(np.uint64)) + p[s].astype(np.uint64))
-            rows.append((key, np.zeros(len(s), np.uint64), d[s], p[s], p[e] + window, np.ones(len(s), bool)))
-        k1, k2, d, lo, hi, known = (np.concatenate(x) for x in zip(*rows))
+            rows.append((key, np.zeros(len(s), np.uint32), d[s], p[s], p[e] - p[s]))
+        k1, k2, d, lo, more = (np.concatenate(x) for x in zip(*rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(known)],
-            names=["k1", "k2", "doc_id", "lo", "hi", "known"],
+            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int32)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(more.astype(np.int32))],
+            names=["k1", "k2", "doc_id", "lo", "more"],
         )
 
 
@@ -142,18 +142,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, spans: array of (lo, hi) word ranges of docs that an earlier document also has; ranges may overlap."""
     rows = _bytes(docs)
-    anchors = rows.mapInArrow(lambda it: _anchors(it, window), "k long, doc_id long, pos int, shared boolean")
+    anchors = rows.mapInArrow(lambda it: _anchors(it, window), "k long, doc_id long, place long")
     same = Window.partitionBy("k")
     shared = (
-        anchors.select("doc_id", "pos", (F.max("shared").over(same) | (F.min("doc_id").over(same) < F.max("doc_id").over(same))).alias("is_shared"))
+        anchors.select("doc_id", F.shiftright("place", 1).cast("int").alias("pos"), ((F.max(F.col("place") % 2).over(same) == 1) | (F.min("doc_id").over(same) < F.max("doc_id").over(same))).alias("is_shared"))
         .filter("is_shared")
         .groupBy("doc_id")
         .agg(F.collect_list("pos").alias("at"))
     )
-    windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 long, doc_id long, lo int, hi int, known boolean")
+    windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 int, doc_id long, lo int, more int")
     again = Window.partitionBy("k1", "k2")
+    hi = F.col("lo") + F.lit(window) + F.greatest("more", F.lit(0))
     return (
-        windows.select("doc_id", "lo", "hi", (F.col("known") | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
+        windows.select("doc_id", "lo", hi.alias("hi"), ((F.col("more") >= 0) | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
         .filter("repeat")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
