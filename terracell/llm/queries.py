@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .common import documents, table
 from .exact_dedup import exact_dedup
+from .media import media_digests
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
@@ -24,6 +25,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=2)
 
