@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, pii
 from .common import documents, table
 from .exact_dedup import exact_dedup
 from .media import media_digests
@@ -17,6 +17,10 @@ from .token_files import token_file_digests
 from .tokens import vocabulary
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.pii_spans(documents(spark, sf_dir)))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
