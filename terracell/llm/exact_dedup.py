@@ -86,3 +86,9 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = 4096) -> DataFrame:
     index = build_index(docs, bucket_rows).select("key", "text_sha256", "n_bytes", "keep_id", "group_size")
     probe = texts(docs).select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"))
     return probe.join(index, ["key", "text_sha256", "n_bytes"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, bucket_rows: int = 4096) -> DataFrame:
+    """The rows of docs that stay, with all their columns.  Null ids stay only where a text has no other id."""
+    kept = build_index(docs, bucket_rows).select("keep_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["keep_id"]), "left_semi")

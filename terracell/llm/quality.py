@@ -17,13 +17,12 @@ score is 1.  An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, texts
@@ -34,6 +33,8 @@ SHARDS = 8
 WORD_SCALE, SHAPE_SCALE = 3.0, 6.0
 #: Words whose features a Python worker keeps at a time.
 KEPT_WORDS = 400_000
+#: Scores from here on predict a good text.
+THRESHOLD = 0.7
 
 _CORE = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
@@ -139,19 +140,22 @@ def score_text(text: bytes, weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """doc_id, score of each row of docs."""
-    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+def score_column(spark: SparkSession, weights: np.ndarray | None, text: F.Column) -> F.Column:
+    """The score of each text, as a column, so that rows need not be joined to their scores."""
     if weights is None:
-        return rows.select("doc_id", F.lit(1.0).alias("score"))
-    model = docs.sparkSession.sparkContext.broadcast(weights)  # 2^18 + 1 floats at any size of input
+        return F.lit(1.0)
+    model = spark.sparkContext.broadcast(weights)  # 2^18 + 1 floats at any size of input
+
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        return pa.array([score_text(t or b"", model.value) for t in column.to_pylist()], pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [score_text(t, model.value) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+    return scored(text.cast("binary"))
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """doc_id, score of each row of docs."""
+    return texts(docs).select("doc_id", score_column(docs.sparkSession, weights, F.col("text")).alias("score"))
 
 
 def held_out(doc_id) -> F.Column:
@@ -159,7 +163,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def train_open(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """Weights from the labels that are not held out."""
+    return train(docs, labels.filter(~held_out(F.col("doc_id"))))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, learnt from labels that are not held out."""
-    weights = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, train_open(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are predicted good, with all their columns; no shuffle of texts."""
+    return docs.filter(score_column(docs.sparkSession, train_open(docs, labels), F.col("text")) >= threshold)
