@@ -1 +1,145 @@
+"""Queries of neighbourhoods, distances, resampling and patches."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terracell.operators import align, focal, patches, stats
+from terracell.sources.grid import GRID_SQL, grid, table
+
+from .catalog import query
+
+G = f"WITH {GRID_SQL} "
+
+
+def _box(band: str, size: int, name: str) -> str:
+    """Mirrored box mean as a CTE: the grid is padded on all sides, then every padded box is summed."""
+    h = size // 2
+    copies = lambda x, last: f"unnest([{x}] || CASE WHEN {x} < {h} THEN [-1 - {x}] ELSE [] END || CASE WHEN {x} > {last} - {h} THEN [2 * {last} + 1 - {x}] ELSE [] END)"
+    frame = f"RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING"
+    return f""", {name}_e AS (SELECT max(r) AS h, max(c) AS w FROM grid), {name}_r AS (SELECT {copies('r', 'h')} AS r, c, {band} AS x, w FROM grid, {name}_e),
+  {name}_p AS (SELECT r, {copies('c', 'w')} AS c, x FROM {name}_r), {name}_1 AS (SELECT r, c, sum(x) OVER (PARTITION BY r ORDER BY c {frame}) AS s, count(x) OVER (PARTITION BY r ORDER BY c {frame}) AS n FROM {name}_p),
+  {name}_2 AS (SELECT r, c, sum(s) OVER (PARTITION BY c ORDER BY r {frame}) AS s, sum(n) OVER (PARTITION BY c ORDER BY r {frame}) AS n FROM {name}_1),
+  {name} AS (SELECT b.r, b.c, s / nullif(n, 0) AS v FROM {name}_2 b JOIN grid g ON b.r = g.r AND b.c = g.c)"""
+
+
+@query(G + _box("dem", 5, "m") + "SELECT r, c, round(v, 6) AS mean5 FROM m")
+def box_mean(spark, sf_dir):
+    return focal.box_mean(grid(spark, sf_dir), {"_v": F.col("dem")}, 5).select("r", "c", F.round("_v", 6).alias("mean5"))
+
+
+@query(G + _box("dem", 11, "m") + "SELECT g.r, g.c, round(g.dem - v, 6) AS tpi FROM grid g JOIN m ON g.r = m.r AND g.c = m.c")
+def position_index(spark, sf_dir):
+    return focal.position_index(grid(spark, sf_dir)).select("r", "c", F.round("tpi", 6).alias("tpi"))
+
+
+@query(G + _box("flow", 5, "m") + _box("flow * flow", 5, "q") + """, s AS (SELECT var_pop(flow) AS noise FROM grid), x AS (SELECT g.r, g.c, g.flow, m.v AS m, q.v - m.v * m.v AS v, noise FROM grid g JOIN m ON g.r = m.r AND g.c = m.c JOIN q ON g.r = q.r AND g.c = q.c, s)
+SELECT r, c, round(m + v / (v + noise + 1e-6) * (flow - m), 6) AS lee FROM x""")
+def lee_filter(spark, sf_dir):
+    return focal.lee_filter(grid(spark, sf_dir), "flow").select("r", "c", F.round("lee", 6).alias("lee"))
+
+
+@query(G + _box("CASE WHEN flow > 33.0e0 THEN 1e0 ELSE 0e0 END", 33, "m") + _box("CASE WHEN lulc = 50 THEN 1e0 ELSE 0e0 END", 33, "b") + "SELECT m.r, m.c, round(m.v, 9) AS drainage_density, round(b.v, 9) AS built_density FROM m JOIN b ON m.r = b.r AND m.c = b.c")
+def density_maps(spark, sf_dir):
+    masks = {"_d": F.when(F.col("flow") > 33.0, 1.0).otherwise(0.0), "_b": F.when(F.col("lulc") == 50, 1.0).otherwise(0.0)}
+    return focal.box_mean(grid(spark, sf_dir), masks, 33).select("r", "c", F.round("_d", 9).alias("drainage_density"), F.round("_b", 9).alias("built_density"))
+
+
+_NEAR = "SELECT g.r, g.c, min((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) AS d2 FROM grid g, grid f WHERE {} GROUP BY g.r, g.c"
+
+
+@query(G + f", w AS ({_NEAR.format('f.lulc = 80')}), u AS ({_NEAR.format('f.lulc = 50 AND f.r % 9 = 0 AND f.c % 7 = 0')}) SELECT w.r, w.c, round(sqrt(w.d2) * 30e0, 6) AS to_water, round(sqrt(u.d2) * 30e0, 6) AS to_town FROM w JOIN u ON w.r = u.r AND w.c = u.c")
+def distance_maps(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    water = focal.nearest_feature(cells, F.col("lulc") == 80, cell=30.0).select("r", "c", F.round("distance", 6).alias("to_water"))
+    town = focal.nearest_feature(cells, (F.col("lulc") == 50) & (F.col("r") % 9 == 0) & (F.col("c") % 7 == 0), cell=30.0)
+    return water.join(town.select("r", "c", F.round("distance", 6).alias("to_town")), ["r", "c"])
+
+
+@query(G + """, x AS (SELECT g.r, g.c, arg_min({'r': f.r, 'c': f.c, 'dem': f.dem}, ((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) * 100000000::BIGINT + f.r * 10000 + f.c) AS n
+  FROM grid g, grid f WHERE f.flow > 33 AND f.dem IS NOT NULL AND f.r % 3 = 0 GROUP BY g.r, g.c)
+SELECT g.r, g.c, x.n.r AS near_r, x.n.c AS near_c, round(g.dem - x.n.dem, 6) AS hand FROM grid g JOIN x ON g.r = x.r AND g.c = x.c""")
+def height_above_drainage(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    drained = (F.col("flow") > 33) & F.col("dem").isNotNull() & (F.col("r") % 3 == 0)
+    near = focal.nearest_feature(cells, drained, carry="dem")
+    joined = cells.select("r", "c", "dem").join(near, ["r", "c"])
+    return joined.select("r", "c", "near_r", "near_c", F.round(F.col("dem") - F.col("carried"), 6).alias("hand"))
+
+
+#: The target grid of the resampling queries: 1.7 source cells to a side, a little off the source's corner.
+_TARGET = "t AS (SELECT i AS r, j AS c, (i + 0.5e0) * 1.7e0 + 0.3e0 AS y, (j + 0.5e0) * 1.7e0 - 0.2e0 AS x FROM range(0, 58) AS a(i), range(0, 58) AS b(j))"
+
+
+def _target(spark):
+    n = spark.range(58 * 58)
+    cells = n.select(F.floor(F.col("id") / 58).cast("int").alias("r"), (F.col("id") % 58).cast("int").alias("c"))
+    return cells, (F.col("r") + 0.5) * 1.7 + 0.3, (F.col("c") + 0.5) * 1.7 - 0.2
+
+
+@query(G + f", {_TARGET} SELECT t.r::INT AS r, t.c::INT AS c, g.lulc FROM t LEFT JOIN grid g ON g.r = floor(t.y)::INT AND g.c = floor(t.x)::INT")
+def resample_nearest(spark, sf_dir):
+    cells, y, x = _target(spark)
+    return align.resample_nearest(grid(spark, sf_dir), cells, y, x, ["lulc"])
+
+
+@query(G + f""", {_TARGET}, k AS (SELECT t.r, t.c, n.dem, (1 - abs(t.y - 0.5e0 - n.r)) * (1 - abs(t.x - 0.5e0 - n.c)) AS w FROM t LEFT JOIN grid n
+  ON n.r BETWEEN floor(t.y - 0.5e0)::INT AND floor(t.y - 0.5e0)::INT + 1 AND n.c BETWEEN floor(t.x - 0.5e0)::INT AND floor(t.x - 0.5e0)::INT + 1)
+SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NULL) / nullif(sum(w) FILTER (WHERE dem IS NOT NULL), 0), 6) AS dem FROM k GROUP BY r, c""")
+def resample_bilinear(spark, sf_dir):
+    cells, y, x = _target(spark)
+    return align.resample_bilinear(grid(spark, sf_dir), cells, y, x, "dem").select("r", "c", F.round("dem", 6).alias("dem"))
+
+
+@query(G + """, b AS (SELECT r // 7 AS r, c // 7 AS c, dem, lulc FROM grid), m AS (SELECT r, c, round(avg(dem), 6) AS dem, count(*) AS n_cells FROM b GROUP BY r, c),
+k AS (SELECT r, c, lulc, count(*) AS n FROM b GROUP BY r, c, lulc), t AS (SELECT r, c, arg_max(lulc, n * 1000 - lulc) AS lulc FROM k GROUP BY r, c)
+SELECT m.r, m.c, dem, n_cells, lulc FROM m JOIN t ON m.r = t.r AND m.c = t.c""")
+def overview(spark, sf_dir):
+    return align.downsample(grid(spark, sf_dir), 7, ["dem"], ["lulc"]).withColumn("dem", F.round("dem", 6))
+
+
+@query(G + """, e AS (SELECT max(r) AS h, max(c) AS w FROM grid), s AS (SELECT i AS pr, j AS pc FROM range(0, 100) AS a(i), range(0, 100) AS b(j), e WHERE i * 16 + 31 <= h AND j * 16 + 31 <= w)
+SELECT pr::INT AS pr, pc::INT AS pc, count(*) AS n, count(*) FILTER (WHERE lulc = 80) AS positives, max(flow) AS peak, bool_and(flow IS NOT NULL) AS all_valid, count(*) = 1024 AS whole
+FROM s JOIN grid ON r BETWEEN pr * 16 AND pr * 16 + 31 AND c BETWEEN pc * 16 AND pc * 16 + 31 GROUP BY pr, pc""")
+def sliding_patches(spark, sf_dir):
+    return patches.summary(patches.sliding(grid(spark, sf_dir), 32, 16), 32, "flow", F.col("lulc") == 80)
+
+
+@query(G + "SELECT r // 32 AS pr, c // 32 AS pc, count(*) AS n, count(*) FILTER (WHERE lulc = 80) AS positives, max(dem) AS peak, bool_and(dem IS NOT NULL) AS all_valid, count(*) = 1024 AS whole FROM grid GROUP BY 1, 2")
+def tiled_patches(spark, sf_dir):
+    return patches.summary(patches.tiled(grid(spark, sf_dir), 32), 32, "dem", F.col("lulc") == 80)
+
+
+@query(G + """, p AS (SELECT r // 4 AS pr, c // 4 AS pc, count(*) FILTER (WHERE lulc = 80 AND ndwi > 0.5) > 2 AS pos FROM grid GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5('42|' || pr || '|' || pc), pr, pc) AS k, count(*) FILTER (WHERE pos) OVER () AS n FROM p)
+SELECT pr, pc, pos FROM k WHERE pos OR k <= 2 * n""")
+def balanced_patches(spark, sf_dir):
+    tiles = patches.tiled(grid(spark, sf_dir), 4).groupBy("pr", "pc").agg((F.count_if((F.col("lulc") == 80) & (F.col("ndwi") > 0.5)) > 2).alias("pos"))
+    return patches.balance(tiles, F.col("pos"))
+
+
+@query("SELECT vec_id, CASE WHEN ('0x' || substr(md5('42|' || vec_id), 1, 8))::BIGINT::DOUBLE / 4294967296e0 < 0.2 THEN 'val' ELSE 'train' END AS part FROM embeddings")
+def train_split(spark, sf_dir):
+    return patches.split(table(spark, sf_dir, "embeddings").select("vec_id"), F.col("vec_id")).select("vec_id", "part")
+
+
+@query(G + "SELECT r, c, flow * 0.5e0 AS score FROM grid")
+def tile_merge(spark, sf_dir):
+    """Overlapping inference windows with a score of their own, merged by the largest."""
+    windows = patches.sliding(grid(spark, sf_dir).select("r", "c", "flow"), 64, 56, partial=True)
+    first = (F.floor(F.col("r") / 56) == F.col("pr")) & (F.floor(F.col("c") / 56) == F.col("pc"))
+    return patches.merge_max(windows, F.when(first, F.col("flow") * 0.5).otherwise(F.col("flow") * 0.25 - 1))
+
+
+@query(G + """, k(i, j, w) AS (VALUES (-1, 0, 1e0), (0, -1, 1e0), (0, 0, -4e0), (0, 1, 1e0), (1, 0, 1e0)) SELECT g.r, g.c, round(greatest(sum(w * n.flow), 0), 6) AS score
+FROM grid g, k JOIN grid n ON n.r = g.r + i AND n.c = g.c + j AND n.r // 20 = g.r // 20 AND n.c // 20 = g.c // 20 GROUP BY g.r, g.c""")
+def tile_convolution(spark, sf_dir):
+    kernel = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
+    return patches.convolve(patches.tiled(grid(spark, sf_dir), 20), "flow", kernel, 20).select("r", "c", F.round("score", 6).alias("score"))
+
+
+@query(G + """, s AS (SELECT min(flow) a, (max(flow) - min(flow)) / 64 AS w FROM grid), b AS (SELECT least(floor((flow - a) / w), 63)::INT AS bin, a, w, count(*) AS n FROM grid, s GROUP BY 1, 2, 3),
+k AS (SELECT bin, a + (bin + 1) * w AS hi, sum(n) OVER (ORDER BY bin) AS n0, sum(n * (a + bin * w + a + (bin + 1) * w) / 2) OVER (ORDER BY bin) AS s0, sum(n) OVER () AS n, sum(n * (a + bin * w + a + (bin + 1) * w) / 2) OVER () AS s FROM b)
+SELECT round(arg_max(hi, n0 * (n - n0) * pow(s0 / n0 - (s - s0) / (n - n0), 2)), 9) AS threshold FROM k WHERE n > n0""")
+def otsu_threshold(spark, sf_dir):
+    return stats.otsu(grid(spark, sf_dir), "flow").select(F.round("threshold", 9).alias("threshold"))
