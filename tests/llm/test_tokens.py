@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 from terracell.llm.tokens import encoder, vocabulary
 
-ODD = ["", " ", "  ", "a  b", "a   b ", " a", "a\n b", "a\n\n b", "a\n \nb", "x  y", "q　 r", "don't I'm", "<|endoftext|> a<|endoftext|>b", "\x1c a\x1db \x85", "ΑΣ ΣΑΣ", "é É", "İstanbul ǅ", "a\tb\r\nc", "1234 56  7", "日本 語", "   ", "x" * 5000, "\u0000 a"]
+ODD = ["", " ", "  ", "a  b", "a   b ", " a", "a\n b", "a\n\n b", "a\n \nb", "x  y", "q　 r", "don't I'M we'LL o'clock ''s a's'tx _a_b_ ab_1 <|  Ünï½ ª µm A×B", "<|endoftext|> a<|endoftext|>b", "\x1c a\x1db \x85", "ΑΣ ΣΑΣ", "é É", "İstanbul ǅ", "a\tb\r\nc", "1234 56  7", "日本 語", "   ", "x" * 5000, "\u0000 a"]
 
 
 @pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
