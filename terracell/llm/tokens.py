@@ -1,22 +1,33 @@
-"""Token ids of whole texts, by the tokenizers library, with a memory of frequent pieces.
+"""Token ids of whole texts, by the tokenizers library, with a memory of frequent stretches.
 
 Both vocabularies cut a text into pieces before they merge anything, and no merge crosses a piece.  So a text is cut
 at places that are always piece borders, each different stretch is encoded once per worker, and ids are gathered from
-that memory.  A text where the cut could differ from the tokenizer's own is encoded whole.
+that memory.  A stretch of plain Latin letters, digits and ASCII marks is cut into its pieces here and goes straight
+to the library's merge model; any other stretch, and a text whose cut could differ from the tokenizer's own, is
+encoded by the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from array import array
 
 import numpy as np
 
-#: Stretches that a Python worker remembers at a time; the memory starts anew beyond that.
-KEPT = 400_000
+#: Stretches, and pieces, that a Python worker remembers at a time; a memory starts anew beyond that.
+KEPT = 600_000
 
+#: A space before further white space: there the cut at spaces could differ from the tokenizer's.
 _ODD_SPACE = re.compile(r" \s")
+#: Letters that are composed already, have one lower case letter, and need no look at their neighbours.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_GRAPHIC = re.compile("[ -~]+")
+_PLAIN = re.compile(rf"[!-~{_LETTER[6:]}]+")
+_PLAIN_SPACED = re.compile(rf"[ -~\n{_LETTER[6:]}]+")
+#: Fixed patterns: the piece rules of the two vocabularies, for plain stretches.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_PIECES_SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 
 
 def vocabulary(name: str) -> str:
@@ -26,65 +37,80 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _words(text: str) -> list[str] | None:
-    """Stretches between ASCII white space, for a tokenizer that drops all white space."""
-    return [w.decode() for w in text.encode().split()]
-
-
-def _spaced(text: str) -> list[str] | None:
-    """Stretches that start with the space before them; None where a run of white space would be cut."""
-    if _ODD_SPACE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + w for w in rest]
+def _visible_bytes() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a visible character: itself, or the next one from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """encode(texts) gives an array of ids for each text."""
+    """encode(text) gives the ids of a text.  spaces_count: white space is part of the ids, and so is case."""
 
-    def __init__(self, path: str, cut: Callable[[str], list[str] | None], special: bool = False):
+    def __init__(self, path: str, spaces_count: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.path, self.cut, self.special = path, cut, special
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.spaces_count = self.tokenizer.model, spaces_count
+        self.visible = {chr(b): c for b, c in _visible_bytes().items()}
+        self.piece_ids: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, stretches: list[str]) -> None:
-        for s in range(0, len(stretches), 4096):
-            part = stretches[s : s + 4096]
-            for stretch, ids in zip(part, self._whole(part)):
-                k = len(self.number)
-                if k == len(self.start):
-                    self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[k], self.length[k], self.number[stretch] = self.used, len(ids), k
-                self.used += len(ids)
+        self.number: dict[bytes | str, int] = {}
+        self.ids, self.start, self.length = array("i"), array("q"), array("q")
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _of_piece(self, piece: str) -> list[int]:
+        if piece not in self.piece_ids:
+            if len(self.piece_ids) > KEPT:
+                self.piece_ids.clear()
+            shown = piece.replace(" ", self.visible[" "]) if _GRAPHIC.fullmatch(piece) else "".join(map(self.visible.__getitem__, piece.encode().decode("latin-1")))
+            self.piece_ids[piece] = [t.id for t in self.model.tokenize(shown)]
+        return self.piece_ids[piece]
+
+    def stretch(self, text: str) -> list[int]:
+        plain, pieces = (_PLAIN_SPACED, _PIECES_SPACED) if self.spaces_count else (_PLAIN, _PIECES)
+        if not plain.fullmatch(text) or "<|" in text:
+            return self.whole(text)
+        out: list[int] = []
+        for piece in pieces.findall(text if self.spaces_count else text.lower()):
+            out += self._of_piece(piece)
+        return out
+
+    def _learn(self, keys, texts: list[str]) -> None:
+        for k, (key, text) in enumerate(zip(keys, texts), len(self.number)):
+            ids = self.stretch(text)
+            self.start.append(len(self.ids))
+            self.length.append(len(ids))
+            self.ids.extend(ids)
+            self.number[key] = k
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.cut(text)
-        if parts is None:
-            return np.array(self._whole([text])[0], np.int32)
         if len(self.number) > KEPT:
             self._forget()
-        new = set(parts).difference(self.number)
-        if new:
-            self._learn(list(new))
+        first: list[int] = []
+        if self.spaces_count:
+            if _ODD_SPACE.search(text):
+                return np.array(self.whole(text), np.int32)
+            head, *parts = text.split(" ")  # each later part stands for itself with the space before it
+            first = self.stretch(head) if head else []
+            new = list(set(parts).difference(self.number))
+            self._learn(new, [" " + p for p in new])
+        else:
+            parts = text.encode().split()  # only white space that both sides drop
+            new = list(set(parts).difference(self.number))
+            self._learn(new, [p.decode() for p in new])
         at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
-        length = self.length[at]
+        length = np.frombuffer(self.length, np.int64)[at] if parts else at
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - length), length)]
+        starts = np.frombuffer(self.start, np.int64)[at] if parts else at
+        ids = np.frombuffer(self.ids, np.int32)[np.arange(total) + np.repeat(starts - (ends - length), length)] if total else np.empty(0, np.int32)
+        return np.concatenate([np.array(first, np.int32), ids]) if first else ids
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -94,5 +120,5 @@ def encoder(path: str, spaces_count: bool) -> Encoder:
     """The worker's encoder of this vocabulary; spaces_count: whether white space is part of the ids."""
     key = path, spaces_count
     if key not in _encoders:
-        _encoders[key] = Encoder(path, _spaced if spaces_count else _words)
+        _encoders[key] = Encoder(path, spaces_count)
     return _encoders[key]
