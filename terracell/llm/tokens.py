@@ -15,8 +15,9 @@ from array import array
 
 import numpy as np
 
-#: Stretches, and pieces, that a Python worker remembers at a time; a memory starts anew beyond that.
-KEPT = 600_000
+#: Stretches, and pieces, that a Python worker remembers: the first ones, among them the frequent ones.  Later ones are
+#: encoded whenever they occur.
+KEPT = 500_000
 
 #: A space before further white space: there the cut at spaces could differ from the tokenizer's.
 _ODD_SPACE = re.compile(r" \s")
@@ -44,6 +45,17 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Numbers(dict):
+    """Numbers of stretches; an unknown one is encoded on first sight."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        return self.learn(key)
+
+
 class Encoder:
     """encode(text) gives the ids of a text.  spaces_count: white space is part of the ids, and so is case."""
 
@@ -55,22 +67,20 @@ class Encoder:
         self.model, self.spaces_count = self.tokenizer.model, spaces_count
         self.visible = {chr(b): c for b, c in _visible_bytes().items()}
         self.piece_ids: dict[str, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[bytes | str, int] = {}
+        self.number = _Numbers(self._learn)
         self.ids, self.start, self.length = array("i"), array("q"), array("q")
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _of_piece(self, piece: str) -> list[int]:
-        if piece not in self.piece_ids:
-            if len(self.piece_ids) > KEPT:
-                self.piece_ids.clear()
+        ids = self.piece_ids.get(piece)
+        if ids is None:
             shown = piece.replace(" ", self.visible[" "]) if _GRAPHIC.fullmatch(piece) else "".join(map(self.visible.__getitem__, piece.encode().decode("latin-1")))
-            self.piece_ids[piece] = [t.id for t in self.model.tokenize(shown)]
-        return self.piece_ids[piece]
+            ids = [t.id for t in self.model.tokenize(shown)]
+            if len(self.piece_ids) < KEPT:
+                self.piece_ids[piece] = ids
+        return ids
 
     def stretch(self, text: str) -> list[int]:
         plain, pieces = (_PLAIN_SPACED, _PIECES_SPACED) if self.spaces_count else (_PLAIN, _PIECES)
@@ -81,35 +91,32 @@ class Encoder:
             out += self._of_piece(piece)
         return out
 
-    def _learn(self, keys, texts: list[str]) -> None:
-        for k, (key, text) in enumerate(zip(keys, texts), len(self.number)):
-            ids = self.stretch(text)
-            self.start.append(len(self.ids))
-            self.length.append(len(ids))
-            self.ids.extend(ids)
+    def _learn(self, key: bytes | str) -> int:
+        ids, k = self.stretch(" " + key if self.spaces_count else key.decode()), len(self.start)
+        self.start.append(len(self.ids))
+        self.length.append(len(ids))
+        self.ids.extend(ids)
+        if k < KEPT:
             self.number[key] = k
+        return k
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.number) > KEPT:
-            self._forget()
         first: list[int] = []
         if self.spaces_count:
             if _ODD_SPACE.search(text):
                 return np.array(self.whole(text), np.int32)
             head, *parts = text.split(" ")  # each later part stands for itself with the space before it
             first = self.stretch(head) if head else []
-            new = list(set(parts).difference(self.number))
-            self._learn(new, [" " + p for p in new])
         else:
             parts = text.encode().split()  # only white space that both sides drop
-            new = list(set(parts).difference(self.number))
-            self._learn(new, [p.decode() for p in new])
         at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
-        length = np.frombuffer(self.length, np.int64)[at] if parts else at
+        if not len(at):
+            return np.array(first, np.int32)
+        starts, length = np.frombuffer(self.start, np.int64)[at], np.frombuffer(self.length, np.int64)[at]
         ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        starts = np.frombuffer(self.start, np.int64)[at] if parts else at
-        ids = np.frombuffer(self.ids, np.int32)[np.arange(total) + np.repeat(starts - (ends - length), length)] if total else np.empty(0, np.int32)
+        ids = np.frombuffer(self.ids, np.int32)[np.arange(ends[-1]) + np.repeat(starts - (ends - length), length)]
+        if len(self.start) > KEPT:  # what is not remembered
+            del self.ids[self.start[KEPT] :], self.length[KEPT:], self.start[KEPT:]
         return np.concatenate([np.array(first, np.int32), ids]) if first else ids
 
 

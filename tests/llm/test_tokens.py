@@ -13,3 +13,14 @@ def test_same_ids_as_the_library(name, spaces):
     texts = ODD + pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:300]
     for t in texts:
         assert encoder(vocabulary(name), spaces).encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    from terracell.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        enc, tok = tokens.Encoder(vocabulary(name), spaces), Tokenizer.from_file(vocabulary(name))
+        for t in ["one two three four five", "six one seven", "", "two eight two nine"] * 2:
+            assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(enc.number) <= 3
