@@ -71,6 +71,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             continue
         key, doc, pos = np.concatenate(found), np.concatenate(whose), np.concatenate(where)
         order = np.argsort(key, kind="stable")
+        _, once = _runs(order, key, doc)  # one place stands for all of a document under one hash
+        order = order[once]
         run, first = _runs(order, key)
         doc, pos, key = doc[order], pos[order], key[order]
         last = np.append(first[1:], len(key)) - 1
@@ -82,19 +84,24 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    reach = window - (window - PERIOD + 1)
+    size = window - PERIOD + 1
+    reach = window - size
     for batch in batches:
         ids, parts = batch.column("doc_id").to_numpy(zero_copy_only=False), []
         for i in np.argsort(ids, kind="stable"):
             words = batch.column("text")[i].as_py().split()
             n = len(words) - window + 1
-            anchors = batch.column("at")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+            if n <= 0:
+                continue
+            shared, h = batch.column("at")[i].values.to_numpy(zero_copy_only=False), word_hashes(words)
+            cover = cover_positions(len(words) - size + 1)
+            key = window_hashes(h, size, at=cover)
+            anchors = cover[np.isin(key, key[np.searchsorted(cover, shared)])]
             edge = np.zeros(len(words) + 2, np.int64)
             np.add.at(edge, np.maximum(anchors - reach, 0), 1)
             np.add.at(edge, np.minimum(anchors + 1, len(words) + 1), -1)
-            at = np.flatnonzero(np.cumsum(edge)[: max(n, 0)])
+            at = np.flatnonzero(np.cumsum(edge)[:n])
             if len(at):
-                h = word_hashes(words)
                 parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at).astype(np.uint32), np.full(len(at), ids[i], np.int64), at))
         if not parts:
             continue
@@ -103,9 +110,16 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         run, first = _runs(order, w1, w2)
         known = np.empty(len(doc), bool)
         known[order] = doc[order] > doc[order][first][run]
-        # windows still to be judged (more is -1), and runs of `more` windows after the first that are known repeats
-        a = ~known
-        rows = [(w1[a], w2[a], doc[a], at[a], np.full(int(a.sum()), -1))]
+        # more >= 0: a run of known repeats, `more` windows after the first; more < 0: -1 - more windows after the first
+        # are equal to it and are judged with it
+        a = np.flatnonzero(~known)
+        rows = [(w1[:0], w2[:0], doc[:0], at[:0], at[:0])]
+        if len(a):
+            new = np.ones(len(a), bool)
+            new[1:] = (w1[a][1:] != w1[a][:-1]) | (w2[a][1:] != w2[a][:-1]) | (doc[a][1:] != doc[a][:-1]) | (at[a][1:] != at[a][:-1] + 1)
+            s = np.flatnonzero(new)
+            more = np.diff(np.append(s, len(a))) - 1
+            rows.append((w1[a][s], w2[a][s], doc[a][s], at[a][s], -1 - more))
         if known.any():
             d, p = doc[known], at[known]
             start = np.ones(len(d), bool)
@@ -129,8 +143,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, removed = len(words), 0
             if spans.is_valid and total:
                 edge = np.zeros(total + 1, np.int64)
-                np.add.at(edge, spans.values.field("lo").to_numpy(zero_copy_only=False), 1)
-                np.add.at(edge, spans.values.field("hi").to_numpy(zero_copy_only=False), -1)
+                packed = spans.values.to_numpy(zero_copy_only=False)
+                np.add.at(edge, packed >> 32, 1)
+                np.add.at(edge, packed & 0xFFFFFFFF, -1)
                 kept = np.cumsum(edge)[:total] == 0
                 words = [w for w, k in zip(words, kept.tolist()) if k]
                 removed = total - len(words)
@@ -139,8 +154,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, spans: array of (lo, hi) word ranges of docs that an earlier document also has; ranges may overlap."""
+def _packed_spans(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, spans: array of lo * 2^32 + hi; a struct would take four times the room in the shuffle."""
     rows = _bytes(docs)
     anchors = rows.mapInArrow(lambda it: _anchors(it, window), "k long, doc_id long, place long")
     same = Window.partitionBy("k")
@@ -152,15 +167,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 int, doc_id long, lo int, more int")
     again = Window.partitionBy("k1", "k2")
-    hi = F.col("lo") + F.lit(window) + F.greatest("more", F.lit(0))
+    hi = F.col("lo") + F.lit(window) + F.when(F.col("more") < 0, -1 - F.col("more")).otherwise(F.col("more"))
     return (
         windows.select("doc_id", "lo", hi.alias("hi"), ((F.col("more") >= 0) | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
         .filter("repeat")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        .agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("spans"))
     )
 
 
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, spans: array of (lo, hi) word ranges of docs that an earlier document also has; ranges may overlap."""
+    pair = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("lo"), (x % (1 << 32)).cast("int").alias("hi"))
+    return _packed_spans(docs, window).filter(F.col("doc_id") != NAMELESS).select("doc_id", F.transform("spans", pair).alias("spans"))
+
+
 def _bytes(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -169,7 +190,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.  window is at least the cover's period."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
-    # the shuffle of texts by doc_id is the one that repeated_spans made: Spark reuses it
-    joined = _bytes(docs).join(repeated_spans(docs, window), "doc_id", "left")
+    # the shuffle of texts by doc_id is the one that _packed_spans made: Spark reuses it
+    joined = _bytes(docs).join(_packed_spans(docs, window), "doc_id", "left")
     out = joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NAMELESS)))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from terracell.llm.substring_dedup import COVER, PERIOD, cover_positions, substring_dedup
+from terracell.llm.substring_dedup import COVER, PERIOD, cover_positions, repeated_spans, substring_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -53,4 +53,6 @@ def test_against_brute_force(spark):
 def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a " * 60, 7, "z"), (2, "a " * 60, 8, "y")], "doc_id long, text string, pos int, k string")
     assert [r[2] for r in sorted(substring_dedup(df).collect())] == [0, 60]
+    spans = repeated_spans(df).collect()
+    assert [r["doc_id"] for r in spans] == [2] and {x for s in spans[0]["spans"] for x in range(s["lo"], s["hi"])} == set(range(60))
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
