@@ -15,7 +15,11 @@ Method
    linked in turn.  So the candidates grow with the rows, not with the square of a bucket.
 5. Every candidate link is verified by the weighted Jaccard similarity of whole texts.  Verified links give classes;
    where a bucket still holds several classes, their representatives are compared in another order in further rounds,
-   until a round finds no new link (or `rounds` is reached).
+   until a round finds no new link (or `rounds` is reached).  That only makes the last step small.
+6. Nodes whose buckets still hold several classes are open.  A prefix filter finds every pair of open nodes of different
+   classes that can reach the threshold: shingles are ordered from the rarest among open nodes, a similar pair shares
+   one near the front of both texts, and the weight from there on bounds the similarity.  All these pairs are verified,
+   so no similar pair that shares a bucket stays split.
 
 Null and empty texts have no shingles and are near only to one another, as copies.  Rows without a doc_id stay alone.
 Rows that repeat an id share its class.  An empty table gives an empty result; other columns are ignored.
@@ -210,6 +214,74 @@ def _verified(pairs: DataFrame, rows: DataFrame, idf, threshold: float) -> DataF
     return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similar boolean")
 
 
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc, label of the nodes that share a bucket with a node of another class."""
+    classed = _classed(buckets, labels)
+    several = classed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "key")
+    return classed.join(several, ["band", "key"]).select("doc", "label").distinct()
+
+
+def _classed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+
+
+def _prefixes(rows: DataFrame, idf, counts, threshold: float) -> DataFrame:
+    """The shingles f near the front of each text of rows (doc, label, text), rarest first by counts (a broadcast sketch):
+    doc, label, the text's weight (total), its weight from f on (rest), and whether f still counts for the lighter text
+    of a pair (lead).
+
+    With texts a not heavier than b a similarity of t needs a common weight of 2t / (1 + t) of a's and t of b's, and all
+    that is common lies in the rest of the first common shingle.  A shingle of one text only is left out."""
+    t = threshold * (1 - 1e-9)
+    names = ["f", "doc", "label", "total", "rest", "lead"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "label", "text"))):
+                f, w = weigh(text, idf.value)
+                a, b = _places(f)
+                count = np.minimum(counts.value[a], counts.value[b])
+                at = np.lexsort((f, count))
+                f, w, count = f[at], w[at], count[at]
+                rest = np.cumsum(w[::-1])[::-1]
+                total = rest[0]
+                kept = (rest >= t * total) & (count > 1)
+                n = int(kept.sum())
+                held.append((f[kept].view(np.int64), np.full(n, doc), np.full(n, label), np.full(n, total), rest[kept], rest[kept] >= 2 * t / (1 + t) * total))
+                size += n
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+
+    return rows.select("doc", "label", "text").mapInArrow(run, "f long, doc long, label long, total double, rest double, lead boolean")
+
+
+def _across(rows: DataFrame, idf, threshold: float) -> Written:
+    """All pairs (a, b) of rows (doc, label, text) with different labels that can reach the threshold.
+
+    Of a shingle's rows those of its most frequent label meet only the others, so that the pairs looked at stay within
+    twice those of different labels; the lighter side is split by a salt."""
+    t = threshold * (1 - 1e-9)
+    counts = rows.sparkSession.sparkContext.broadcast(document_frequencies(rows.select("text"))[0])
+    marks = Written(_prefixes(rows, idf, counts, threshold), "prefixes")
+    of_label = marks.df.groupBy("f", "label").agg(F.count(F.lit(1)).alias("n"), F.bool_or("lead").alias("lead"))
+    of_shingle = of_label.groupBy("f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("top"), F.bool_or("lead").alias("any_lead"))
+    shared = of_shingle.filter("labels > 1 AND any_lead").select("f", "top", F.ceil(F.col("n") / PART).alias("parts"))
+    own = marks.df.join(shared, "f").withColumn("side", F.when(F.col("label") == F.col("top"), 0).otherwise(1))
+    named = lambda df, x: df.select("f", "side", "part", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "label", "total", "rest")])
+    light = named(own.filter("lead").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("parts"))), "a")
+    met = F.when(F.col("side") == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    heavy = named(own.withColumn("side", F.explode(met)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "b")
+    enough = F.least("rest_a", "rest_b") * (1 + t) >= t * (F.col("total_a") + F.col("total_b"))
+    met = light.join(heavy, ["f", "side", "part"]).filter((F.col("label_a") != F.col("label_b")) & (F.col("total_a") <= F.col("total_b")) & enough)
+    pairs = Written(met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct(), "across")
+    marks.drop()
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFrame:
     """doc_id, class_id, kept for each row of docs: class_id is the smallest doc_id of its class, kept marks that one."""
     spark = docs.sparkSession
@@ -240,14 +312,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) ->
         if turn > rounds:
             break
         # one node stands for each class in a bucket
-        classed = buckets.df.join(labels.df.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        classed = _classed(buckets.df, labels.df)
         heads = classed.groupBy("band", "key", "label").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("doc"))
         several = heads.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         fresh = _candidates(heads.join(several, ["band", "key"]), F.xxhash64("doc", F.lit(turn))).join(all_tried.select("a", "b"), ["a", "b"], "left_anti")
         tried.append(Written(_verified(fresh, held.df, idf, threshold), "verified"))
         if not tried[-1].df.filter("similar").limit(1).count():
             break
-    for t in (pairs, held, buckets):
+    opened = Written(_open(buckets.df, labels.df), "open")
+    if opened.df.limit(1).count():
+        across = _across(held.df.join(opened.df, "doc"), idf, threshold)
+        fresh = across.df.join(all_tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried.append(Written(_verified(fresh, held.df, idf, threshold), "verified"))
+        across.drop()
+        if tried[-1].df.filter("similar").limit(1).count():
+            labels.drop()
+            labels = components(all_tried.union(tried[-1].df).filter("similar"))
+    for t in (pairs, held, buckets, opened):
         t.drop()
     own = signed.df.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"])
     out = own.join(labels.df.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", F.coalesce("label", "doc").alias("class_id"))

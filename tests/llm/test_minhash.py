@@ -64,6 +64,23 @@ def test_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_unlike_documents_that_share_a_long_passage(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, rows = words(404), []
+    for k in range(240):
+        tail = words(35)
+        rows.append(" ".join(passage + tail))
+        if k % 3 == 0:
+            rows.append(" ".join(passage + tail[:10] + words(25)))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert len(set(want.values())) == 240
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()} == want
+
+
 def test_samples_agree_as_often_as_weights_overlap():
     rng = np.random.default_rng(1)
     f = rng.integers(0, 1 << 63, 300).astype(np.uint64)
