@@ -67,6 +67,24 @@ def height_above_drainage(spark, sf_dir):
     return joined.select("r", "c", "near_r", "near_c", F.round(F.col("dem") - F.col("carried"), 6).alias("hand"))
 
 
+@query(None)
+def distance_maps_all(spark, sf_dir):
+    """As distance_maps, but from every built-up cell (no SQL: all pairs of cells and features; tested by brute force)."""
+    cells = grid(spark, sf_dir)
+    water = focal.nearest_feature(cells, F.col("lulc") == 80, cell=30.0).select("r", "c", F.round("distance", 6).alias("to_water"))
+    town = focal.nearest_feature(cells, F.col("lulc") == 50, cell=30.0)
+    return water.join(town.select("r", "c", F.round("distance", 6).alias("to_town")), ["r", "c"])
+
+
+@query(None)
+def height_above_drainage_all(spark, sf_dir):
+    """As height_above_drainage, but from every drainage cell of known height."""
+    cells = grid(spark, sf_dir)
+    near = focal.nearest_feature(cells, (F.col("flow") > 33) & F.col("dem").isNotNull(), carry="dem")
+    joined = cells.select("r", "c", "dem").join(near, ["r", "c"])
+    return joined.select("r", "c", "near_r", "near_c", F.round(F.col("dem") - F.col("carried"), 6).alias("hand"))
+
+
 #: The target grid of the resampling queries: 1.7 source cells to a side, a little off the source's corner.
 _TARGET = "t AS (SELECT i AS r, j AS c, (i + 0.5e0) * 1.7e0 + 0.3e0 AS y, (j + 0.5e0) * 1.7e0 - 0.2e0 AS x FROM range(0, 58) AS a(i), range(0, 58) AS b(j))"
 
