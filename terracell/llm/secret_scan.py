@@ -6,8 +6,10 @@ look random.
 2. Three tests compare it with a random string over that alphabet: chi-squared uniformity of the alphabet, the number
    of runs above and below the alphabet's middle, and the serial correlation of neighbours.  Each gives a standard
    score; the statistic is the sum of their squares, small for random strings.
-3. Tokens of letters only are the null sample: ordinary words.  Within each class of lengths the share of null tokens
-   with a statistic as small is the p-value of a token that mixes letters and digits.  The Benjamini-Hochberg rule,
+3. Tokens of letters only are the null sample: ordinary words.  Within each class of alphabet and length they are mixed
+   with NULLS word-like strings of the module's own, the same at every run, so that the null is never smaller than that,
+   whatever the table holds.  The share of the null with a statistic as small is the p-value of a token that mixes
+   letters and digits.  The Benjamini-Hochberg rule,
    with weights that grow with the logarithm of the length, turns p-values into a largest statistic for each class.
    A token that the battery rejects as random at 0.1 % is never added.
 
@@ -43,6 +45,18 @@ _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-
 LENGTHS = (20, 24, 32, 40, 64, 128)
 #: The statistic's histogram: bins of this width, the last one open.
 STEP, BINS = 0.25, 400
+#: Sizes of the alphabets; a class is an alphabet and a class of lengths.
+ALPHABETS = (16, 32, 62, 64)
+#: Word-like strings in the null of each class.
+NULLS = 1 << 14
+_WORDS = """the and that have with this from they which would there their about could other after first these people water
+system order value number report account service customer example country between because through another something
+information development government important different following university understand und der die nicht werden auch eine
+haben zwischen gesellschaft verwaltung pour dans avec vous cette mais comme plus tout etre entreprise developpement para como
+pero esta todos cuando entre desarrollo informacion empresa file name user data type list index table query result config
+error message version update default manager factory handler request response content length buffer stream reader writer""".split()
+_HEX_WORDS = "dead beef cafe face added decade feed bad babe fade ace dad bed deed facade abc fed bead 00 11 12 123 2020 1999 100".split()
+
 #: The 99.9 % quantile of chi-squared with three degrees of freedom: what exceeds it is rejected as random.
 RANDOM_AT_MOST = 16.25
 
@@ -55,8 +69,8 @@ def length_class(n: int) -> int:
     return int(np.searchsorted(LENGTHS, n, "right")) - 1
 
 
-def _statistics_of(m: np.ndarray) -> np.ndarray:
-    """The statistic of each row of m, tokens of one length as bytes."""
+def _statistics_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The statistic of each row of m, tokens of one length as bytes, and the size of its alphabet."""
     x = _INDEX[m]
     n = m.shape[1]
     digit, upper, lower = x < 10, (x >= 10) & (x < 36), (x >= 36) & (x < 62)
@@ -83,19 +97,50 @@ def _statistics_of(m: np.ndarray) -> np.ndarray:
     c = x - x.mean(axis=1, keepdims=True)
     power = (c * c).sum(axis=1)
     serial = np.where(power > 0, (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.maximum(power, 1e-9), 1.0) * np.sqrt(n)
-    return uniform**2 + z_runs**2 + serial**2
+    return uniform**2 + z_runs**2 + serial**2, size
 
 
 def statistics(tokens: list[str]) -> np.ndarray:
     """The statistic of each token, computed side by side for tokens of one length."""
-    out, by = np.zeros(len(tokens)), {}
+    return _judged(tokens)[0]
+
+
+def _judged(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The statistic and the class of each token."""
+    out, size, by = np.zeros(len(tokens)), np.full(len(tokens), ALPHABETS[0]), {}
     for k, t in enumerate(tokens):
         by.setdefault(len(t), []).append(k)
     for n, at in by.items():
         for s in range(0, len(at), 4096):
             part = at[s : s + 4096]
-            out[part] = _statistics_of(np.frombuffer("".join(tokens[k] for k in part).encode(), np.uint8).reshape(-1, n))
-    return out
+            out[part], size[part] = _statistics_of(np.frombuffer("".join(tokens[k] for k in part).encode(), np.uint8).reshape(-1, n))
+    lengths = np.array([length_class(len(t)) for t in tokens], np.int64)
+    return out, np.searchsorted(ALPHABETS, size) * len(LENGTHS) + lengths
+
+
+_null: list[np.ndarray] = []
+
+
+def word_null() -> np.ndarray:
+    """The histogram [class, bin] of NULLS word-like strings in each class."""
+    if not _null:
+        rng, held = np.random.default_rng(7), np.zeros((len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
+        for k, size in enumerate(ALPHABETS):
+            words = [(_HEX_WORDS if size == 16 else _WORDS)[i] for i in rng.integers(0, len(_HEX_WORDS if size == 16 else _WORDS), 1 << 15)]
+            if size == 32:
+                words = [w.upper() for w in words]
+            elif size == 62:  # half of the stream in capitalised words
+                words = [w.capitalize() if i * 2 < len(words) else w for i, w in enumerate(words)]
+            elif size == 64:
+                words = [w + "_-/"[i * 3 // len(words)] for i, w in enumerate(words)]
+            stream, starts = "".join(words), np.cumsum([0] + [len(w) for w in words])
+            for j, n in enumerate(LENGTHS):
+                at = rng.choice(starts[starts < len(stream) - 2 * n], NULLS)
+                most = LENGTHS[j + 1] if j + 1 < len(LENGTHS) else 2 * n
+                stat = statistics([stream[a : a + m] for a, m in zip(at.tolist(), rng.integers(n, most, NULLS).tolist())])
+                held[k * len(LENGTHS) + j] = np.bincount(np.minimum(stat / STEP, BINS - 1).astype(np.int64), minlength=BINS)
+        _null.append(held)
+    return _null[0]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -119,32 +164,29 @@ def _tokens(text: str) -> list[tuple[int, str]]:
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros((2, len(LENGTHS), BINS), np.int64)
+    held = np.zeros((2, len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
     for batch in batches:
         tokens = [t for text in batch.column("text").to_pylist() for _, t in _tokens(text)]
         tokens = [t for t in tokens if _letters_only(t) or _is_candidate(t)]
-        bins = np.minimum(statistics(tokens) / STEP, BINS - 1).astype(np.int64)
+        stat, kind = _judged(tokens)
+        bins = np.minimum(stat / STEP, BINS - 1).astype(np.int64)
         role = np.array([0 if _letters_only(t) else 1 for t in tokens], np.int64)
-        np.add.at(held, (role, np.array([length_class(len(t)) for t in tokens], np.int64), bins), 1)
+        np.add.at(held, (role, kind, bins), 1)
     at = np.argwhere(held)
     yield pa.RecordBatch.from_arrays([*(pa.array(at[:, k]) for k in range(3)), pa.array(held[tuple(at.T)])], names=["role", "class", "bin", "n"])
 
 
 def limits(held: np.ndarray, q: float = 0.01) -> np.ndarray:
     """For each class the number of first bins that count as random, from held[role, class, bin] (0 null, 1 candidates)."""
-    null, seen = held[0], held[1]
-    p = (1 + np.cumsum(null, axis=1)) / (1 + null.sum(axis=1, keepdims=True))
+    seen = held[1]
     total = seen.sum()
-    out = np.zeros(len(LENGTHS), np.int64)
+    out = np.zeros(held.shape[1], np.int64)
     if not total:
         return out
-    weight = np.log(np.array(LENGTHS, float))
+    null = held[0] + word_null()
+    p = (1 + np.cumsum(null, axis=1)) / (1 + null.sum(axis=1, keepdims=True))
+    weight = np.log(np.tile(np.array(LENGTHS, float), len(ALPHABETS)))
     weight /= (weight * seen.sum(axis=1)).sum() / total  # mean 1 over candidates
-    # a class without words as its null sample borrows the share that all words together give
-    alone = null.sum(axis=1) < 100
-    if alone.any():
-        pooled = (1 + np.cumsum(null.sum(axis=0))) / (1 + null.sum())
-        p[alone] = pooled
     scaled = p / weight[:, None]
     order = np.argsort(scaled, axis=None, kind="stable")
     found = np.cumsum(seen.ravel()[order])
@@ -156,9 +198,9 @@ def limits(held: np.ndarray, q: float = 0.01) -> np.ndarray:
 
 
 def learn_limits(docs: DataFrame, q: float = 0.01) -> np.ndarray:
-    held = np.zeros((2, len(LENGTHS), BINS), np.int64)
+    held = np.zeros((2, len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
     rows = texts(docs).select("text").mapInArrow(_histogram, "role long, class long, bin long, n long")
-    for r in rows.groupBy("role", "class", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 * 6 * 400 rows
+    for r in rows.groupBy("role", "class", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 * 24 * 400 rows
         held[r["role"], r["class"], r["bin"]] = r["n"]
     return limits(held, q)
 
@@ -168,8 +210,9 @@ def spans_of(text: str, limit: np.ndarray) -> tuple[list[tuple[str, int, int]],
     base = base_spans(text)
     found = [(s, t) for s, t in _tokens(text) if _is_candidate(t)]
     if found:
-        bins = np.minimum(statistics([t for _, t in found]) / STEP, BINS - 1).astype(int)
-        found = [("token", s, s + len(t)) for (s, t), b in zip(found, bins) if b < limit[length_class(len(t))]]
+        stat, kind = _judged([t for _, t in found])
+        bins = np.minimum(stat / STEP, BINS - 1).astype(int)
+        found = [("token", s, s + len(t)) for (s, t), b, k in zip(found, bins, kind) if b < limit[k]]
         found = [x for x in found if not any(s < x[2] and x[1] < e for _, s, e in base)]
     return base, sorted(base + found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -52,6 +52,16 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 18 and others <= 1
 
 
+def test_random_keys_in_a_table_without_long_words(spark):
+    rng = random.Random(4)
+    keys = {i: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)) for i in range(0, 60, 3)}
+    rows = [(i, f"short words only {keys.get(i, 'here')} and no more, customerAccountNumber{i} the_file_name_of_the_user_{i}") for i in range(60)]
+    got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "token"] for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert sum(any(text[i][s["start"] : s["end"]] == k for s in got[i]) for i, k in keys.items()) >= 18
+    assert sum(text[i][s["start"] : s["end"]] != keys.get(i) for i in got for s in got[i]) <= 1
+
+
 def test_battery_and_limits():
     rng = np.random.default_rng(2)
     hexa = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(2000)]
