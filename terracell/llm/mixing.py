@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of the cumulative distribution that are looked at; a larger rate is split over several draws, see below.
+#: Steps of the cumulative distribution that are looked at; a larger rate adds whole copies, see below.
 STEPS = 64
 #: A draw has at most this mean (its tail beyond STEPS is below 2^-52); a row of a higher rate adds whole copies.
 MAX_MEAN = 16.0
