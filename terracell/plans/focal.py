@@ -109,6 +109,32 @@ def resample_bilinear(spark, sf_dir):
     return align.resample_bilinear(grid(spark, sf_dir), cells, y, x, "dem").select("r", "c", F.round("dem", 6).alias("dem"))
 
 
+#: The same target, over the whole source grid.
+_TARGET_ALL = """t AS (SELECT i AS r, j AS c, (i + 0.5e0) * 1.7e0 + 0.3e0 AS y, (j + 0.5e0) * 1.7e0 - 0.2e0 AS x
+  FROM (SELECT unnest(range(0, (SELECT ceil((max(r) + 1) / 1.7e0)::BIGINT FROM grid))) AS i) AS a, (SELECT unnest(range(0, (SELECT ceil((max(c) + 1) / 1.7e0)::BIGINT FROM grid))) AS j) AS b)"""
+
+
+def _target_all(cells):
+    extent = cells.agg(*[F.ceil((F.max(x) + 1) / F.lit(1.7)).cast("int").alias(f"_{x}") for x in ("r", "c")])
+    rows = extent.select("_c", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r")).repartition("r")
+    target = rows.select("r", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("c"))
+    return target, (F.col("r") + 0.5) * 1.7 + 0.3, (F.col("c") + 0.5) * 1.7 - 0.2
+
+
+@query(G + f", {_TARGET_ALL} SELECT t.r::INT AS r, t.c::INT AS c, g.lulc FROM t LEFT JOIN grid g ON g.r = floor(t.y)::INT AND g.c = floor(t.x)::INT")
+def resample_nearest_all(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    return align.resample_nearest(cells, *_target_all(cells), ["lulc"])
+
+
+@query(G + f""", {_TARGET_ALL}, k AS (SELECT t.r, t.c, n.dem, (1 - abs(t.y - 0.5e0 - n.r)) * (1 - abs(t.x - 0.5e0 - n.c)) AS w FROM t LEFT JOIN grid n
+  ON n.r BETWEEN floor(t.y - 0.5e0)::INT AND floor(t.y - 0.5e0)::INT + 1 AND n.c BETWEEN floor(t.x - 0.5e0)::INT AND floor(t.x - 0.5e0)::INT + 1)
+SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NULL) / nullif(sum(w) FILTER (WHERE dem IS NOT NULL), 0), 6) AS dem FROM k GROUP BY r, c""")
+def resample_bilinear_all(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    return align.resample_bilinear(cells, *_target_all(cells), "dem").select("r", "c", F.round("dem", 6).alias("dem"))
+
+
 @query(G + """, b AS (SELECT r // 7 AS r, c // 7 AS c, dem, lulc FROM grid), m AS (SELECT r, c, round(avg(dem), 6) AS dem, count(*) AS n_cells FROM b GROUP BY r, c),
 k AS (SELECT r, c, lulc, count(*) AS n FROM b GROUP BY r, c, lulc), t AS (SELECT r, c, arg_max(lulc, n * 1000 - lulc) AS lulc FROM k GROUP BY r, c)
 SELECT m.r, m.c, dem, n_cells, lulc FROM m JOIN t ON m.r = t.r AND m.c = t.c""")
