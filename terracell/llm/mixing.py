@@ -7,13 +7,19 @@ room to small ones.  Weights are normalised, and the rate of a source is w_s * t
 each of its rows is repeated (total: the rows of the result on average, by default as many as there are).  Each row
 draws its count from the Poisson distribution of that mean by inversion: a uniform number comes from a hash of the
 seed and the doc_id, and the count is the number of steps of the cumulative distribution that lie at or below it.
-Rows are exploded by their counts and put in a global order by a hash of seed, doc_id and copy.
+A rate above MAX_MEAN is the sum of ceil(rate / MAX_MEAN) independent draws of equal means, each with its own hash, so
+counts are Poisson at every rate.  Rows are exploded by their counts and put in a global order by a hash of seed,
+doc_id and copy.
 
-Counts of rows per source are pre-aggregated, and sources are few against rows: their table is broadcast when it has
-at most `broadcast_rows` rows, else joined by shuffle, which Spark splits where a source is hot.
+The ladder of cumulative probabilities is computed once for each source.  Counts of rows per source are pre-aggregated,
+and sources are few against rows: their table is broadcast when it has at most `broadcast_rows` rows, else joined by
+shuffle, which Spark splits where a source is hot.  The order is a uniform hash, so its first digits give the
+partition, and no pass is needed to sample bounds.
 
 A null source is a source of its own, named ''.  Rows that repeat a doc_id draw the same count.  A null doc_id draws
-like the id ''.  Columns of docs named mix_... are replaced.  Sources without a given weight get none of their rows; an empty table gives an empty result.
+like the id ''.  Columns of docs keep their values whatever their names; the four results are mix_source, mix_copy and
+mix_order, with underscores appended where docs has such a column.  Sources without a given weight get none of their
+rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of the cumulative distribution that are looked at; a larger rate adds whole copies, see below.
+#: Steps of the cumulative distribution that are looked at.
 STEPS = 64
-#: A draw has at most this mean (its tail beyond STEPS is below 2^-52); a row of a higher rate adds whole copies.
+#: One draw has at most this mean (its tail beyond STEPS is below 2^-52); a higher rate is split over several draws.
 MAX_MEAN = 16.0
 
 
@@ -47,42 +53,63 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
     return weighted.crossJoin(F.broadcast(sums)).select("mix_source", "rows", (share * wanted / F.col("rows")).alias("mix_rate"))  # sums: one row
 
 
-def poisson_count(rate, uniform) -> F.Column:
-    """The Poisson count of mean `rate` at the given uniform numbers, by inversion; means above MAX_MEAN keep the whole
-    part beyond it as certain copies."""
-    certain = F.when(rate > MAX_MEAN, F.floor(rate - MAX_MEAN) + 1).otherwise(F.lit(0).cast("long"))
-    mean = rate - certain
+def ladder(rate: F.Column) -> F.Column:
+    """draws, and the cumulative Poisson probabilities of 0, 1, ... STEPS - 1 for the mean of one draw."""
+    draws = F.greatest(F.ceil(rate / MAX_MEAN), F.lit(1).cast("long"))
+    mean = rate / draws
     step = lambda s, k: F.struct(
-        (s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), (s["n"] + F.when(s["c"] <= uniform, 1).otherwise(0)).alias("n")
+        (s["p"] * mean / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * mean / k)).alias("c")
     )
-    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, step, lambda s: s["n"])
-    return certain + F.when(mean > 0, drawn).otherwise(0)
+    first = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
+    return F.struct(draws.cast("int").alias("draws"), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS - 1)), first, step, lambda s: s["c"]).alias("steps"))
+
+
+def poisson_count(laid: F.Column, seed: int, name: F.Column) -> F.Column:
+    """The Poisson count of a row: for each draw the steps of the ladder at or below the draw's uniform number."""
+    drawn = lambda u: F.size(F.filter(laid["steps"], lambda c: c <= u))
+    first = drawn(_uniform(F.lit(str(seed)), name))
+    others = F.transform(F.sequence(F.lit(2), laid["draws"]), lambda k: drawn(_uniform(F.lit(str(seed)), name, k.cast("string"))))
+    return F.when(laid["draws"] > 1, F.aggregate(others, first, lambda x, y: x + y)).otherwise(first)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """name, with underscores appended until no column has it (Spark's names ignore case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def mix_columns(docs: DataFrame) -> list[str]:
+    """The names of mix_sources' results beside the columns of docs: source, copy, order."""
+    return [_free(c, docs.columns) for c in ("mix_source", "mix_copy", "mix_order")]
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 17, broadcast_rows: int = 50_000) -> DataFrame:
     """docs with each row repeated by its count, plus mix_source, mix_copy (from 1) and mix_order (64 hexadecimal
     digits); the global order of the mixture is mix_order."""
-    rates = source_rates(docs, weights, total).select("mix_source", "mix_rate")
+    source, copy, order = mix_columns(docs)
+    rates = source_rates(docs, weights, total).select(F.col("mix_source").alias(source), ladder(F.col("mix_rate")).alias(order))
     if rates.limit(broadcast_rows + 1).count() <= broadcast_rows:
         rates = F.broadcast(rates)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    count = poisson_count(F.col("mix_rate"), _uniform(F.lit(str(seed)), name))
-    kept = [c for c in docs.columns if not c.startswith("mix_")]
     repeated = (
-        docs.select(kept).withColumn("mix_source", F.coalesce(F.col("source"), F.lit("")))
-        .join(rates, "mix_source")
-        .withColumn("mix_count", count.cast("int"))
-        .filter("mix_count > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-        .withColumn("mix_order", F.sha2(F.concat_ws("|", F.lit(str(seed)), name, F.col("mix_copy").cast("string")), 256))
+        docs.withColumn(source, F.coalesce(F.col("source"), F.lit("")))
+        .join(rates, source)
+        .withColumn(copy, poisson_count(F.col(order), seed, name))
+        .filter(F.col(copy) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+        .withColumn(order, F.sha2(F.concat_ws("|", F.lit(str(seed)), name, F.col(copy).cast("string")), 256))
     )
-    return repeated.select(*kept, "mix_source", "mix_copy", "mix_order")
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns], source, copy, order)
+
 
+def shuffled(mixed: DataFrame, order: str = "mix_order") -> DataFrame:
+    """The mixture range-partitioned and sorted by its order: reading partitions in order gives the global order.
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """The mixture range-partitioned and sorted by mix_order: reading partitions in order gives the global order."""
-    return mixed.repartitionByRange("mix_order").sortWithinPartitions("mix_order", "doc_id")
+    Partition k of P holds the k-th of P equal ranges of the order's first eight digits."""
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * parts / float(1 << 32)).cast("int")
+    return mixed.repartitionById(parts, place).sortWithinPartitions(order, "doc_id")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
@@ -94,15 +121,16 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
 ORACLE_SQL = """
 WITH n AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
      rates AS (SELECT source, sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM n) * (SELECT sum(n) FROM n)::DOUBLE / n AS rate FROM n),
-     certain AS (SELECT source, CASE WHEN rate > 16 THEN floor(rate - 16) + 1 ELSE 0 END AS fixed, rate FROM rates),
-     steps AS (SELECT source, fixed, k, exp(-(rate - fixed)) * CASE WHEN k = 0 THEN 1.0 ELSE pow(rate - fixed, k) / gamma(k + 1.0) END AS p
-               FROM certain, range(0, 64) AS t(k)),
-     ladder AS (SELECT source, fixed, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
-     drawn AS (SELECT d.doc_id, coalesce(d.source, '') AS source,
-                      ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u
-               FROM documents d),
-     counts AS (SELECT doc_id, d.source, max(fixed)::BIGINT + count(*) FILTER (WHERE c <= u) AS times
-                FROM drawn d JOIN ladder l ON d.source = l.source GROUP BY doc_id, d.source, u)
+     split AS (SELECT source, greatest(ceil(rate / 16.0), 1)::BIGINT AS draws, rate / greatest(ceil(rate / 16.0), 1) AS mean FROM rates),
+     steps AS (SELECT source, k, exp(-mean) * CASE WHEN k = 0 THEN 1.0 ELSE pow(mean, k) / gamma(k + 1.0) END AS p
+               FROM split, range(0, 64) AS t(k)),
+     ladder AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
+     drawn AS (SELECT d.doc_id, coalesce(d.source, '') AS source, j,
+                      ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '') || CASE WHEN j > 1 THEN '|' || j::VARCHAR ELSE '' END), 1, 13))::UBIGINT::DOUBLE
+                      / 4503599627370496.0 AS u
+               FROM documents d JOIN split s ON coalesce(d.source, '') = s.source, unnest(range(1, s.draws + 1)) AS r(j)),
+     counts AS (SELECT d.doc_id, d.source, count(*) AS times
+                FROM drawn d JOIN ladder l ON d.source = l.source AND l.c <= d.u GROUP BY d.doc_id, d.source)
 SELECT doc_id, source, copy::INTEGER AS copy, sha256('17|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR) AS shuffle_key
 FROM counts, unnest(range(1, times + 1)) AS r(copy)
 """
