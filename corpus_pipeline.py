@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terracell.llm.common import Written, documents, table
 from terracell.llm.exact_dedup import without_copies
 from terracell.llm.minhash import one_of_each_class
-from terracell.llm.mixing import mix_sources, shuffled
+from terracell.llm.mixing import mix_columns, mix_sources, shuffled
 from terracell.llm.packing import pack_documents
 from terracell.llm.quality import good_documents
 from terracell.llm.tokens import vocabulary
@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shuffled(mix_sources(docs)).select(docs.columns)
+    return shuffled(mix_sources(docs), mix_columns(docs)[2]).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
