@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -24,16 +23,22 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores appended until no column has it (Spark's names ignore case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and the master is local,
+    a folder beside the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="terracell-")
-    spark.sparkContext.getConf().set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Steps of the cumulative distribution that are looked at.
 STEPS = 64
 #: One draw has at most this mean (its tail beyond STEPS is below 2^-52); a higher rate is split over several draws.
@@ -72,16 +74,9 @@ def poisson_count(laid: F.Column, seed: int, name: F.Column) -> F.Column:
     return F.when(laid["draws"] > 1, F.aggregate(others, first, lambda x, y: x + y)).otherwise(first)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """name, with underscores appended until no column has it (Spark's names ignore case)."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def mix_columns(docs: DataFrame) -> list[str]:
     """The names of mix_sources' results beside the columns of docs: source, copy, order."""
-    return [_free(c, docs.columns) for c in ("mix_source", "mix_copy", "mix_order")]
+    return [free_name(c, docs.columns) for c in ("mix_source", "mix_copy", "mix_order")]
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 17, broadcast_rows: int = 50_000) -> DataFrame:
