@@ -5,7 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from terracell.llm.common import table
-from terracell.llm.packing import crossover, evolve, pack, pack_documents, pieces_of
+from terracell.llm.packing import crossover, evolve, lower_bound, pack, pack_documents, packed_by_best_fit, pieces_of, replace
 from terracell.llm.tokens import vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
@@ -56,6 +56,45 @@ def test_children_hold_each_piece_once():
         assert len(a) == 400 and np.bincount(a, length).max() <= 2048
 
 
+def triplets(rng, n, size):
+    """Lengths that fill n sequences with three pieces each, and no other number of pieces."""
+    out = []
+    for _ in range(n):
+        x = rng.integers(size * 19 // 50, size * 49 // 100)
+        y = rng.integers(size // 4 + 1, (size - x) // 2 + 1)
+        out += [x, y, size - x - y]
+    return rng.permutation(np.array(out))
+
+
+def test_search_beats_best_fit():
+    rng, won, counts = np.random.default_rng(8), 0, []
+    for k in range(6):
+        length = triplets(rng, 20, 2048)
+        plain = packed_by_best_fit(length, 2048).max() + 1
+        found = evolve(length, [], 2048, np.random.default_rng(k))
+        assert np.bincount(found, length).max() <= 2048
+        used = len(np.unique(found))
+        assert lower_bound(length, 2048) == 20 <= used <= plain
+        counts.append((used, plain))
+        won += used < plain
+    assert won == 6, counts
+
+
+def test_islands_beat_best_fit_on_a_table(spark):
+    length = triplets(np.random.default_rng(9), 200, 2048)
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(length)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    plain = packed_by_best_fit(length, 2048).max() + 1
+    used = check(pack(df).collect(), 2048)
+    assert 200 <= used < plain, (used, plain)
+
+
+def test_replacement_fills_a_sequence():
+    length = np.array([900, 700, 1000, 448, 300, 1148])
+    members, spare = replace([0, 1], np.array([4, 3, 2, 5]), length, 2048)
+    assert length[members].sum() == 2048 and sorted([*members, *spare]) == list(range(6)) and list(length[spare]) == sorted(length[spare])
+    assert replace([0], np.array([], np.int64), length, 2048)[0] == [0]
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (5, None), (None, "a b"), (-3, "word " * 9000), (9, "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, piece int")
