@@ -9,8 +9,11 @@ look random.
 3. Tokens of letters only are the null sample: ordinary words.  Within each class of alphabet and length they are mixed
    with NULLS word-like strings of the module's own, the same at every run, so that the null is never smaller than that,
    whatever the table holds.  The share of the null with a statistic as small is the p-value of a token that mixes
-   letters and digits.  The Benjamini-Hochberg rule,
-   with weights that grow with the logarithm of the length, turns p-values into a largest statistic for each class.
+   letters and digits.  Where fewer than TAIL of the null are as small, the share is extrapolated by a normal fit to the
+   cube roots of the statistics (which are nearly normal), so that p-values have no floor and a single random token is
+   found among many words, if its length allows it at all.  The Benjamini-Hochberg rule, with weights that grow with the
+   logarithm of the length, turns p-values into a largest statistic for each class: of the tokens that it finds, a share
+   of q at most is expected to be words.
    A token that the battery rejects as random at 0.1 % is never added.
 
 The counts behind the rule are histograms of fixed size over all texts, summed per task and then by Spark.
@@ -21,7 +24,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -47,8 +50,8 @@ LENGTHS = (20, 24, 32, 40, 64, 128)
 STEP, BINS = 0.25, 400
 #: Sizes of the alphabets; a class is an alphabet and a class of lengths.
 ALPHABETS = (16, 32, 62, 64)
-#: Word-like strings in the null of each class.
-NULLS = 1 << 14
+#: Word-like strings in the null of each class; below this many of them p-values are extrapolated.
+NULLS, TAIL = 1 << 13, 32
 _WORDS = """the and that have with this from they which would there their about could other after first these people water
 system order value number report account service customer example country between because through another something
 information development government important different following university understand und der die nicht werden auch eine
@@ -121,24 +124,39 @@ def _judged(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _null: list[np.ndarray] = []
 
 
+def _word_stream(size: int, rng: np.random.Generator, n: int = 1 << 16) -> tuple[str, np.ndarray]:
+    """A stream of n words in the way of an alphabet, and where its words start.  Styles change every 64 words: how often
+    words are capitalised, followed by a number or a mark."""
+    pool = _HEX_WORDS if size == 16 else _WORDS
+    words = [pool[i] for i in rng.integers(0, len(pool), n).tolist()]
+    if size == 32:
+        words = [w.upper() for w in words]
+    elif size > 32:
+        style = np.repeat(rng.random((-(-n // 64), 3)), 64, axis=0)[:n]
+        style[:, 1] *= 0.6
+        on = (rng.random((n, 3)) < style).tolist()
+        number, mark = rng.integers(0, 2030, n).tolist(), rng.choice(list("___---/="), n).tolist()
+        for i, (capital, counted, marked) in enumerate(on):
+            w = words[i].capitalize() if capital else words[i]
+            words[i] = w + (mark[i] if marked and size == 64 else "") + (str(number[i]) if counted else "")
+    return "".join(words), np.cumsum([0] + [len(w) for w in words])
+
+
 def word_null() -> np.ndarray:
     """The histogram [class, bin] of NULLS word-like strings in each class."""
     if not _null:
         rng, held = np.random.default_rng(7), np.zeros((len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
         for k, size in enumerate(ALPHABETS):
-            words = [(_HEX_WORDS if size == 16 else _WORDS)[i] for i in rng.integers(0, len(_HEX_WORDS if size == 16 else _WORDS), 1 << 15)]
-            if size == 32:
-                words = [w.upper() for w in words]
-            elif size == 62:  # half of the stream in capitalised words
-                words = [w.capitalize() if i * 2 < len(words) else w for i, w in enumerate(words)]
-            elif size == 64:
-                words = [w + "_-/"[i * 3 // len(words)] for i, w in enumerate(words)]
-            stream, starts = "".join(words), np.cumsum([0] + [len(w) for w in words])
+            stream, starts = _word_stream(size, rng)
             for j, n in enumerate(LENGTHS):
-                at = rng.choice(starts[starts < len(stream) - 2 * n], NULLS)
-                most = LENGTHS[j + 1] if j + 1 < len(LENGTHS) else 2 * n
-                stat = statistics([stream[a : a + m] for a, m in zip(at.tolist(), rng.integers(n, most, NULLS).tolist())])
-                held[k * len(LENGTHS) + j] = np.bincount(np.minimum(stat / STEP, BINS - 1).astype(np.int64), minlength=BINS)
+                most, own = LENGTHS[j + 1] if j + 1 < len(LENGTHS) else 2 * n, k * len(LENGTHS) + j
+                left = NULLS
+                while left > 0:  # strings whose characters do not need the whole alphabet belong to another class
+                    at = rng.choice(starts[starts < len(stream) - 2 * n], NULLS)
+                    stat, kind = _judged([stream[a : a + m] for a, m in zip(at.tolist(), rng.integers(n, most, NULLS).tolist())])
+                    stat = stat[kind == own][:left]
+                    held[own] += np.bincount(np.minimum(stat / STEP, BINS - 1).astype(np.int64), minlength=BINS)
+                    left -= len(stat)
         _null.append(held)
     return _null[0]
 
@@ -176,6 +194,23 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(pa.array(at[:, k]) for k in range(3)), pa.array(held[tuple(at.T)])], names=["role", "class", "bin", "n"])
 
 
+def p_values(null: np.ndarray) -> np.ndarray:
+    """For each class and bin of the null's histogram the chance that a word-like string has a statistic in that bin or
+    below."""
+    mids, edges = np.cbrt((np.arange(BINS) + 0.5) * STEP), np.cbrt(np.arange(1, BINS + 1) * STEP)
+    p = np.empty(null.shape)
+    for k, held in enumerate(null):
+        n, counts = held.sum(), np.cumsum(held)
+        mean = (held * mids).sum() / n
+        sd = max(np.sqrt((held * (mids - mean) ** 2).sum() / n), 1e-3)
+        # math.erfc holds its precision far out; TAIL null strings lie at or below the bin `at`
+        normal = np.array([0.5 * math.erfc((mean - e) / sd / math.sqrt(2)) for e in edges])
+        at = int(np.searchsorted(counts, TAIL))
+        p[k] = (1 + counts) / (1 + n)
+        p[k, :at] = np.minimum(p[k, :at], p[k, at] * normal[:at] / max(normal[at], 1e-300))
+    return p
+
+
 def limits(held: np.ndarray, q: float = 0.01) -> np.ndarray:
     """For each class the number of first bins that count as random, from held[role, class, bin] (0 null, 1 candidates)."""
     seen = held[1]
@@ -183,8 +218,7 @@ def limits(held: np.ndarray, q: float = 0.01) -> np.ndarray:
     out = np.zeros(held.shape[1], np.int64)
     if not total:
         return out
-    null = held[0] + word_null()
-    p = (1 + np.cumsum(null, axis=1)) / (1 + null.sum(axis=1, keepdims=True))
+    p = p_values(held[0] + word_null())
     weight = np.log(np.tile(np.array(LENGTHS, float), len(ALPHABETS)))
     weight /= (weight * seen.sum(axis=1)).sum() / total  # mean 1 over candidates
     scaled = p / weight[:, None]
@@ -205,6 +239,18 @@ def learn_limits(docs: DataFrame, q: float = 0.01) -> np.ndarray:
     return limits(held, q)
 
 
+def _apart(found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans of found that no span of base overlaps; both sorted by start, found without overlaps."""
+    out, k, reach = [], 0, 0
+    for x in found:
+        while k < len(base) and base[k][1] < x[2]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= x[1]:  # no base span that starts before the end of x reaches into it
+            out.append(x)
+    return out
+
+
 def spans_of(text: str, limit: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans with the random tokens that overlap none of them."""
     base = base_spans(text)
@@ -213,7 +259,7 @@ def spans_of(text: str, limit: np.ndarray) -> tuple[list[tuple[str, int, int]],
         stat, kind = _judged([t for _, t in found])
         bins = np.minimum(stat / STEP, BINS - 1).astype(int)
         found = [("token", s, s + len(t)) for (s, t), b, k in zip(found, bins, kind) if b < limit[k]]
-        found = [x for x in found if not any(s < x[2] and x[1] < e for _, s, e in base)]
+        found = _apart(found, base)
     return base, sorted(base + found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -2,11 +2,12 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 
 from terracell.llm.common import table
-from terracell.llm.secret_scan import BINS, LENGTHS, limits, secret_spans, span_digests, statistics
+from terracell.llm.secret_scan import BINS, LENGTHS, _apart, learn_limits, limits, secret_spans, span_digests, spans_of, statistics
 
 
 def brute(text):
@@ -72,3 +73,64 @@ def test_battery_and_limits():
 
 def test_empty_table(spark):
     assert span_digests(secret_spans(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def planted(spark, n_keys, words_each):
+    """The table of sf0.01 with random keys of several encodings in some texts and word-like identifiers in many."""
+    rng = random.Random(11)
+    plain = ["config", "user", "table", "index", "report", "default", "manager", "version", "backup", "customer", "order", "Value", "Stream", "Service"]
+    coded = [(string.ascii_letters + string.digits, 32), (string.ascii_letters + string.digits, 44), ("0123456789ABCDEF", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 52), (string.ascii_letters + string.digits + "+/", 64)]
+    docs = sorted((r["doc_id"], r["text"] or "") for r in table(spark, "/root/testdata/sf0.01", "documents").collect())
+    keys, rows = {}, []
+    for k, (i, t) in enumerate(docs):
+        for _ in range(words_each):
+            name = ""
+            while len(name) < 24:
+                name += rng.choice(plain) + rng.choice(["", "_", "-", str(rng.randint(1, 2030))])
+            t += f" {name}{rng.randint(1, 99)}"
+        if k % (len(docs) // n_keys) == 7:
+            alphabet, n = coded[len(keys) % len(coded)]
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            if any(c.isdigit() for c in key) and any(c.isalpha() for c in key):
+                keys[i], t = key, f"{t} {key} end"
+        rows.append((i, t))
+    return rows, keys
+
+
+def test_random_keys_planted_in_the_table(spark):
+    for n_keys, words_each in ((5, 0), (20, 3), (100, 1)):
+        rows, keys = planted(spark, n_keys, words_each)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert learn_limits(df).max() > 0
+        text, found = dict(rows), {}
+        for r in secret_spans(df).collect():
+            found[r["doc_id"]] = [text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "token"]
+        hits = sum(k in found[i] for i, k in keys.items())
+        false = sum(t != keys.get(i) for i, ts in found.items() for t in ts)
+        assert hits >= 0.9 * len(keys), (hits, len(keys))
+        assert false <= 0.01 * hits + 2, (false, hits)  # the rule's share, and two to spare for small counts
+
+
+def test_overlaps_by_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        base = sorted((("hex", s, s + rng.randint(1, 30)) for s in (rng.randint(0, 200) for _ in range(rng.randint(0, 8)))), key=lambda x: x[1])
+        found, at = [], 0
+        while at < 200:
+            at += rng.randint(0, 12)
+            end = at + rng.randint(1, 20)
+            found.append(("token", at, end))
+            at = end
+        assert _apart(found, base) == [x for x in found if not any(s < x[2] and x[1] < e for _, s, e in base)]
+
+
+def test_long_texts_repeated_rows_and_null_ids(spark):
+    text = "token=abcdefghijkl0123 Zx9Qw8Er7Ty6Ui5Op4As3Df2 " * 20_000
+    start = time.monotonic()
+    base, spans = spans_of(text, np.full(24, BINS))
+    assert len(base) == 20_000 and len(spans) == 40_000
+    spans_of("a" * 3_000_000, np.full(24, BINS)), spans_of("token " * 500_000, np.full(24, BINS))
+    assert time.monotonic() - start < 30
+    rows = [(None, "password: hunter2hunter2"), (None, "password: hunter2hunter2"), (3, "AKIA" + "Z" * 16), (3, "AKIA" + "Z" * 16), (3, None), (4, "")]
+    out = span_digests(secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"]) for r in out) == [(0, 1, 0), (0, 1, 0), (3, 0, 0), (3, 0, 1), (3, 0, 1), (4, 0, 0)]
