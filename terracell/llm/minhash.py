@@ -22,7 +22,11 @@ Method
    so no similar pair that shares a bucket stays split.
 
 Null and empty texts have no shingles and are near only to one another, as copies.  Rows without a doc_id stay alone.
-Rows that repeat an id share its class.  An empty table gives an empty result; other columns are ignored.
+Rows are told apart by their texts: rows that repeat an id have each the class of their own text, and a class is named
+by its smallest doc_id.  An empty table gives an empty result; other columns are ignored.
+
+Hot keys: a bucket's window is split into parts of PART nodes; copies and links are joined from written tables, so that
+Spark splits a hot group or a giant class among tasks; counts and minima are combined before each shuffle.
 """
 
 from __future__ import annotations
@@ -31,11 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, mix, texts, window_hashes, word_hashes
+from .common import Written, free_name, mix, texts, window_hashes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -43,7 +46,7 @@ BANDS, ROWS = 16, 4
 WIDTH = 1 << 18  # slots of each of the sketch's two rows
 BLOCK = 1 << 14
 #: A bucket with more nodes than this is split by a salt into parts of about this size.
-PART = 2048
+PART = 256
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -162,23 +165,41 @@ def sampler() -> _Sampler:
     return _sampler[0]
 
 
+def _content() -> list:
+    """A 128-bit hash of the text, in two columns."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.col("text")).alias("h2")]
+
+
 def signatures(rows: DataFrame, idf) -> DataFrame:
     """doc_id, a 128-bit content hash (h1, h2), bands (null without shingles).  idf: a broadcast table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, bands, seen = [], [], [], {}
-            for text in batch.column("text").to_pylist():
-                content = xxhash.xxh3_128_intdigest(text)
+            bands, seen = [], {}
+            for text, *content in zip(*(batch.column(c).to_pylist() for c in ("text", "h1", "h2"))):
+                content = tuple(content)
                 if content not in seen:
                     f, w = weigh(text, idf.value)
                     seen[content] = sampler().bands(f, w).tolist() if len(f) else None
-                h1.append((content >> 64) - (1 << 63))
-                h2.append((content & ((1 << 64) - 1)) - (1 << 63))
                 bands.append(seen[content])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
+
+    return rows.select("doc_id", "text", *_content()).mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+
+
+def _nodes(signed: DataFrame) -> Written:
+    """node, doc, h1, h2, bands of each different text; doc is its smallest id.
 
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    A node is named by its doc; where texts share that id, all but one get names below all ids."""
+    found = Written(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "contents")
+    shared = Written(found.df.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2")).alias("first")).filter("n > 1").select("doc", "first"), "shared")
+    if not shared.df.limit(1).count():
+        shared.drop()
+        return Written(found.df.select(F.col("doc").alias("node"), "*"), "nodes")
+    lowest = found.df.agg(F.min("doc")).first()[0]
+    named = found.df.join(shared.df, "doc", "left").withColumn("other", F.col("first").isNotNull() & (F.struct("h1", "h2") != F.col("first")))
+    below = F.lit(min(lowest, 0) - 1) - F.monotonically_increasing_id()  # fixed once it is written
+    return Written(named.select(F.when(F.col("other"), below).otherwise(F.col("doc")).alias("node"), "doc", "h1", "h2", "bands"), "nodes")
 
 
 def _candidates(members: DataFrame, order: F.Column) -> DataFrame:
@@ -282,24 +303,24 @@ def _across(rows: DataFrame, idf, threshold: float) -> Written:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFrame:
-    """doc_id, class_id, kept for each row of docs: class_id is the smallest doc_id of its class, kept marks that one."""
+def _labelled(docs: DataFrame, threshold: float, rounds: int) -> DataFrame:
+    """doc_id, h1, h2, label, class_id of each row of docs that has an id; label names the class, class_id is the
+    smallest doc_id in it."""
     spark = docs.sparkSession
     rows = texts(docs).filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(rows)))
     signed = Written(signatures(rows, idf), "signatures")
     # written, so that Spark may split a hot group of copies in the joins with it
-    nodes = Written(signed.df.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "nodes").df
-    of_node = nodes.join(signed.df.withColumnRenamed("doc_id", "doc"), ["h1", "h2", "doc"]).dropDuplicates(["doc"])
-    banded = of_node.select("doc", F.posexplode("bands").alias("band", "key"))
+    nodes = _nodes(signed.df)
+    banded = nodes.df.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = Written(banded.join(sizes, ["band", "key"]), "buckets")
     company = buckets.df.groupBy("doc").agg(F.sum("n").alias("company"))
 
     pairs = Written(_candidates(buckets.df.join(company, "doc"), -F.col("company")), "pairs")
-    # texts of nodes that share a bucket at all; later rounds read only these
-    shared = rows.join(buckets.df.select("doc").distinct().withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-    held = Written(shared.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "text"), "texts")
+    # one text for each node that shares a bucket at all; later rounds read only these
+    shared = nodes.df.join(buckets.df.select(F.col("doc").alias("node")).distinct(), "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "h1", "h2")
+    held = Written(rows.select("doc_id", "text", *_content()).join(shared, ["doc_id", "h1", "h2"]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "text"), "texts")
     tried = [Written(_verified(pairs.df, held.df, idf, threshold), "verified")]
     labels = None
     for turn in range(2, rounds + 2):
@@ -319,6 +340,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) ->
         tried.append(Written(_verified(fresh, held.df, idf, threshold), "verified"))
         if not tried[-1].df.filter("similar").limit(1).count():
             break
+    # whatever the rounds left: every pair of different classes in open buckets
     opened = Written(_open(buckets.df, labels.df), "open")
     if opened.df.limit(1).count():
         across = _across(held.df.join(opened.df, "doc"), idf, threshold)
@@ -328,15 +350,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) ->
         if tried[-1].df.filter("similar").limit(1).count():
             labels.drop()
             labels = components(all_tried.union(tried[-1].df).filter("similar"))
-    for t in (pairs, held, buckets, opened):
+    of_node = nodes.df.join(labels.df, "node", "left").select("h1", "h2", "doc", F.coalesce("label", "node").alias("label"))
+    named = Written(of_node, "classes")
+    first = named.df.groupBy("label").agg(F.min("doc").alias("class_id"))
+    own = signed.df.select("doc_id", "h1", "h2").join(named.df.join(first, "label").drop("doc"), ["h1", "h2"])
+    out = Written(own.select("doc_id", "h1", "h2", "label", "class_id"), "labelled").df
+    for t in (pairs, held, buckets, opened, labels, signed, nodes, named, *tried):
         t.drop()
-    own = signed.df.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"])
-    out = own.join(labels.df.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", F.coalesce("label", "doc").alias("class_id"))
+    return out
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFrame:
+    """doc_id, class_id, kept for each row of docs: class_id is the smallest doc_id of its class, kept marks that one."""
+    out = _labelled(docs, threshold, rounds).select("doc_id", "class_id")
     alone = texts(docs).filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.union(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay, with all their columns: the smallest id of each class, and rows without an id."""
-    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["keep_id"]), "left_semi")
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFrame:
+    """One row of docs for each class, with all its columns: one with the smallest id.  Rows without an id all stay."""
+    stays = _labelled(docs, threshold, rounds).filter("doc_id = class_id").groupBy("label").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("s"), F.count(F.lit(1)).alias("rows"))
+    stays = Written(stays.select("s.*", "rows"), "stays").df
+    # the rows of one id and text carry the same values here; names that docs cannot hold twice
+    i, a, b = (free_name(c, docs.columns) for c in ("near_id", "near_h1", "near_h2"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(F.lit(7), text))
+    wanted = lambda of: stays.filter(of).select(F.col("doc_id").alias(i), F.col("h1").alias(a), F.col("h2").alias(b))
+    kept = rows.join(wanted("rows = 1"), [i, a, b], "left_semi").unionByName(rows.filter(F.col(i).isNull()))
+    if stays.filter("rows > 1").limit(1).count():
+        kept = kept.unionByName(rows.join(wanted("rows > 1"), [i, a, b], "left_semi").dropDuplicates([i, a, b]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,10 @@
+import itertools
 import random
 
 import numpy as np
 
-from terracell.llm.minhash import document_frequencies, idf_table, near_duplicates, sampler, shingles, similarity, weigh
+from terracell.llm.common import table
+from terracell.llm.minhash import document_frequencies, idf_table, near_duplicates, one_of_each_class, sampler, shingles, similarity, weigh
 
 
 def brute(rows, threshold=0.8):
@@ -103,3 +105,37 @@ def test_frequencies_and_odd_tables(spark):
     odd = spark.createDataFrame([(None, "p q", 1), (4, "p q", 1), (4, "p q", 1)], "doc_id long, text string, label int")
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in near_duplicates(odd).collect()) == [(0, 0, True), (4, 4, True), (4, 4, True)]
     assert near_duplicates(odd.limit(0)).collect() == []
+
+
+def test_repeated_rows_and_ids(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "T t t t t t"), (1, "T t t t t t"), (2, "x"), (2, "T t t t t t"), (3, long), (3, long + " more"), (4, "y"), (4, "z"), (4, "z"), (None, "x"), (None, "x")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, near_id int").repartition(3)
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(df).collect() if r["doc_id"] is not None)
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 2), (3, 3), (3, 3), (4, 4), (4, 4), (4, 4)]
+    out = one_of_each_class(df)
+    assert out.columns == df.columns
+    kept = sorted((r["doc_id"] or 0, r["text"][:9]) for r in out.collect())
+    assert kept == [(0, "x"), (0, "x"), (1, "T t t t t"), (2, "x"), (3, long[:9]), (4, "y"), (4, "z")]
+
+
+def test_recall_over_the_whole_table(spark):
+    """Rows whose id is divisible by 20 against all rows, and all against all: pairs of similarity 0.8 share a class."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect())
+    made, df = {i: shingles(t) for i, t in rows}, {}
+    for f, _ in made.values():
+        for x in f.tolist():
+            df[x] = df.get(x, 0) + 1
+    n = len(rows)
+    vec = {i: (f, (1 + np.log(tf)) * np.log1p(n / (n + np.array([df[x] for x in f.tolist()], float)))) for i, (f, tf) in made.items()}
+    total = {i: w.sum() for i, (_, w) in vec.items()}
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    near = []
+    for a, b in itertools.combinations(vec, 2):
+        if min(total[a], total[b]) >= 0.8 * max(total[a], total[b]) > 0 and similarity(vec[a], vec[b]) >= 0.8:
+            near.append((a, b))
+    queried = [p for p in near if p[0] % 20 == 0 or p[1] % 20 == 0]
+    for pairs, least in ((queried, 5), (near, 80)):
+        hits = sum(found[a] == found[b] for a, b in pairs)
+        assert len(pairs) >= least and hits >= 0.9 * len(pairs), (hits, len(pairs))
