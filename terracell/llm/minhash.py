@@ -46,7 +46,7 @@ BANDS, ROWS = 16, 4
 WIDTH = 1 << 18  # slots of each of the sketch's two rows
 BLOCK = 1 << 14
 #: A bucket with more nodes than this is split by a salt into parts of about this size.
-PART = 256
+PART = 2048
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
