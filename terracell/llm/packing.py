@@ -45,6 +45,8 @@ WELL = 0.995
 EPOCHS, LEVELS = 2, 8
 #: Packings of an island, and open sequences that one child tries to fill by replacement.
 POPULATION, REPLACED = 8, 48
+#: About so many pieces are displaced at once, so that a generation costs much the same in a deme of any size.
+MOVED = 1500
 #: Stands for a null doc_id inside the islands, where pandas has no null integers.
 NAMELESS = -(1 << 63)
 
@@ -148,25 +150,41 @@ def crossover(a: np.ndarray, b: np.ndarray, length: np.ndarray, size: int, rng:
     replacement and best fit."""
     full = _fill(b, length)
     good = np.flatnonzero(full >= min(WELL, np.quantile(full[full > 0] / size, 0.6)) * size)
-    good = good[rng.random(len(good)) < rng.uniform(0.05, 0.5)]
+    good = good[rng.random(len(good)) < rng.uniform(0.05, 0.5) * min(1, MOVED / len(length))]
     injected = np.isin(b, good)
     hit = np.zeros(int(a.max()) + 1, bool)
     hit[a[injected]] = True  # sequences of a that hold a piece twice now
-    left = _fill(a, length)
-    poor = np.flatnonzero((left > 0) & (left < WELL * size))
-    hit[poor[rng.random(len(poor)) < rng.uniform(0.1, 0.8)]] = True
-    child = np.where(injected, b + len(hit), a)
-    displaced = np.flatnonzero(hit[a] & ~injected)
-    open_ = np.flatnonzero(~hit & (left > 0) & (left < size))
-    spare = displaced[np.argsort(length[displaced], kind="stable")]
-    tried = rng.permutation(open_)[:REPLACED]
+    return _refilled(np.where(injected, b + len(hit), a), injected, hit[a] & ~injected, length, size, rng)
+
+
+def mutation(a: np.ndarray, length: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """a with some of its sequences dissolved and their pieces placed again."""
+    hit = rng.random(int(a.max()) + 1) < rng.random() * min(1, MOVED / len(length))
+    return _refilled(a, np.zeros(len(a), bool), hit[a], length, size, rng)
+
+
+def _refilled(child: np.ndarray, fixed: np.ndarray, displaced: np.ndarray, length: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """child with the displaced pieces, and those of some ill-filled sequences, placed by replacement and best fit;
+    the sequences of fixed pieces stay as they are."""
+    fresh = int(child.max()) + 1
+    left = np.bincount(child[~displaced], length[~displaced], fresh).astype(np.int64)
+    closed = np.zeros(fresh, bool)
+    closed[child[fixed]] = True
+    poor = np.flatnonzero((left > 0) & (left < WELL * size) & ~closed)
+    closed[poor[rng.random(len(poor)) < rng.uniform(0.1, 0.8)]] = True
+    spare = np.flatnonzero(displaced | closed[child] & ~fixed)
+    left[closed] = size
+    open_ = np.flatnonzero((left > 0) & (left < size))
+    spare = spare[np.argsort(length[spare], kind="stable")]
+    tried, child = rng.permutation(open_)[:REPLACED], child.copy()
     if len(spare) and len(tried):
-        place = np.full(len(hit), -1)
+        place = np.full(fresh, -1)
         place[tried] = np.arange(len(tried))
-        inside = np.flatnonzero(~injected & (place[a] >= 0))
         held: list[list[int]] = [[] for _ in tried]
-        for i in inside.tolist():
-            held[place[a[i]]].append(i)
+        taken = np.zeros(len(child), bool)
+        taken[spare] = True
+        for i in np.flatnonzero(~taken & (place[child] >= 0)).tolist():
+            held[place[child[i]]].append(i)
         for seq, members in zip(tried.tolist(), held):
             if not len(spare):
                 break
@@ -174,7 +192,7 @@ def crossover(a: np.ndarray, b: np.ndarray, length: np.ndarray, size: int, rng:
             child[members] = seq
             left[seq] = length[members].sum()
     room = sorted((size - int(left[s]), int(s)) for s in open_ if left[s] < size)
-    put, _ = best_fit(length, spare, room, len(hit) + int(b.max()) + 1, size)
+    put, _ = best_fit(length, spare, room, fresh, size)
     for i, s in put.items():
         child[i] = s
     return np.unique(child, return_inverse=True)[1]
@@ -188,22 +206,16 @@ def packed_by_best_fit(length: np.ndarray, size: int) -> np.ndarray:
 
 
 def evolve(length: np.ndarray, seeds: list[np.ndarray], size: int, rng: np.random.Generator, turns: int | None = None, population: int = POPULATION) -> np.ndarray:
-    """The best packing after some generations, from the given ones and from best fit in perturbed orders.
+    """The best packing after some generations, from the given ones, or best fit, and mutations of the first.
 
     By default there are 60 to 600 generations, fewer for many pieces, as a generation's work grows with them."""
     turns = int(np.clip(600_000 // max(1, len(length)), 60, 600)) if turns is None else turns
     bound, group = lower_bound(length, size), list(seeds)
+    for p in group:
+        if len(np.unique(p)) <= bound:
+            return p
     while len(group) < population:
-        if not group:
-            start = packed_by_best_fit(length, size)
-        else:  # best fit of a random half first, then of the rest
-            half = rng.random(len(length)) < rng.uniform(0.2, 0.8)
-            room: list[tuple[int, int]] = []
-            put, fresh = best_fit(length, np.flatnonzero(half), room, 0, size)
-            put |= best_fit(length, np.flatnonzero(~half), room, fresh, size)[0]
-            start = np.full(len(length), -1)
-            start[list(put)] = list(put.values())
-        group.append(start)
+        group.append(mutation(group[0], length, size, rng) if group else packed_by_best_fit(length, size))
     # fewest sequences first, then the fullest ones
     value = lambda p: (-len(np.unique(p)), fitness(p, length, size))
     score = [value(p) for p in group]
