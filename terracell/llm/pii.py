@@ -3,18 +3,22 @@
 Base spans are the matches of four fixed patterns that pass their test (see BASE); they always stay.  The method then
 looks at further candidates:
 1. Loose patterns propose spans that no base span overlaps: written-out addresses, phone numbers without a plus sign,
-   numbers grouped like cards.  Each candidate gets votes (1 for, 0 against, null for no opinion) from labelers of
-   three sorts: regular expressions on the span, gazetteers (top-level domains, mail and phone words) and the words
-   around it.  Base spans and failing base matches are candidates too, so that votes cover good and bad examples.
-2. Candidates are counted by kind, votes and length class: at most 4 * 3^6 * 3 counts, whatever the input.  On those,
-   expectation-maximisation estimates each labeler's reliabilities and the posterior of each pattern.
-3. A logistic regression on the votes and the length class, trained on the posteriors, is the final span classifier.
-   Loose candidates that pass their kind's test, overlap no base span and score at least `threshold` are added.
+   numbers grouped like cards.  Each candidate gets votes (1 for, 0 against, ? for no opinion) from labelers of three
+   sorts: regular expressions on the span, gazetteers (domains, address blocks, issuer numbers, calling codes) and the
+   words around it.  Base spans and failing base matches are candidates too, so that votes cover good and bad examples.
+2. Candidates are counted by kind, votes and shape (length class, separators, neighbours): at most 4 * 3^6 * 3 * 5 * 16
+   counts, whatever the input.  On those, expectation-maximisation estimates each labeler's reliabilities from the votes,
+   and the posterior of each pattern of votes.
+3. A logistic regression on kind, votes and shape, trained on the posteriors, is the final span classifier; the shape is
+   what no labeler sees.  Loose candidates that pass their kind's test, overlap no base span and score at least
+   `threshold` are added.
 
 Scans, votes, counts and spans are DataFrame functions; the driver sees only the table of counts.
 
 Offsets count code points.  Java has no match positions in SQL, so text is split at the matches, and the lengths of
-the parts before give the places.  Groups repeat possessively, which accepts the same matches without backtracking.
+the parts before give the places.  Groups repeat possessively, and a pattern is tried only where a run of its first
+class begins or the match before ended: inside a run it would meet the same rest, so the matches are the same, and a
+long run is read once.
 
 Null texts count as empty.  A null or repeated doc_id is a row like any other (rows of one id and text have one
 result each); an empty table gives an empty result; other columns are ignored.
@@ -24,8 +28,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +37,10 @@ from .common import Written, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Fixed patterns of the base spans; [0-9 ] and the like are as in the contract, groups possessive.
+#: Fixed patterns of the base spans; classes as in the contract.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -50,13 +54,21 @@ LOOSE = {
     "card": r"(?<![0-9-])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9-])",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
 }
-#: Words of the gazetteers and of the context labeler, by kind.
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|de|fr|es|uk|eu|info|io)$",
-    "ip": r"^(?:10|127|172|192|1?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])\D",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^\(?\+?1?[\x20]?\(?[2-9][0-9]{2}",
-}
+
+#: Fixed values of the gazetteers.  Generic top-level domains; two letters are a country's.
+DOMAINS = """com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev cloud
+online site tech store shop blog xyz page wiki news agency email group work world life live media studio design digital
+network systems solutions services company academy university bank law health example""".split()
+#: Address blocks with a name of their own (private, loopback, link, shared, documentation), and those nobody has.
+BLOCKS = r"^(?:10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)"
+NO_BLOCK = r"^(?:0|2[4-9][0-9])\."
+#: First digits of the issuers of payment cards, and of nobody.
+ISSUERS = r"^(?:4|5[0-9]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[689]|35(?:2[89]|[3-8])|6011|64[4-9]|6[0-357-9]|81)"
+NO_ISSUER = "^[019]"
+#: Calling codes of countries; area and exchange of the North American plan.
+CODES = r"^\+\D{0,2}(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[013]|50[0-9]|59[0-9]|6[78][0-9]|69[0-2]|8[058][0-9]|87[08]|9[679][0-9])"
+AREAS = r"^\(?[2-9][0-9]{2}\D{1,2}[2-9][0-9]{2}"
+
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel)\b\W{0,3}\w{0,4}\W{0,3}$",
     "ip": r"(?i)\b(?:ip|host|server|address|adresse|client)\b\W{0,3}\w{0,4}\W{0,3}$",
@@ -68,91 +80,106 @@ BEFORE = 30
 
 
 LABELERS = ("strict", "test", "gazetteer", "context", "border", "variety")
+SHAPE = ("size", "separator", "left", "right")
 _SPAN = "struct<kind:string,start:int,end:int,base:boolean,test:boolean,pattern:string>"
 #: Matches that are added up one by one; beyond that, sums of whole blocks are used.
 BLOCK = 64
 
+# Expressions are SQL text over the column `text` and, inside the lambdas, a span `s` as in `matches`: one parse each.
+
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _r(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    return f"r'{pattern}'"
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
 
-def _luhn(value: Column) -> Column:
+def _luhn(value: str) -> str:
     """Whether ten divides the sum of the digits of value by Luhn's rule."""
-    digits = F.transform(F.split(F.reverse(_digits(value)), ""), lambda c: F.ascii(c) - 48)
-    weighed = F.transform(digits, lambda d, k: F.when(k % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
-    return F.aggregate(weighed, F.lit(0), lambda a, d: a + d) % 10 == 0
+    weighed = f"transform(split(reverse({_digits(value)}), ''), (c, k) -> IF(k % 2 = 0, ascii(c) - 48, (ascii(c) - 48) * 2 - IF(ascii(c) > 52, 9, 0)))"
+    return f"aggregate({weighed}, 0, (x, d) -> x + d) % 10 = 0"
 
 
-def passes(kind: str, value: Column) -> Column:
+def passes(kind: str, value: str) -> str:
     """The test of a kind's matches."""
     if kind == "email":
-        return F.lit(True)
+        return "true"
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-        return F.regexp_replace(value, r"\[\.\]", ".").rlike(rf"^{part}(?:\.{part}){{3}}$")
-    n = F.length(_digits(value))
+        return f"regexp_replace({value}, {_r(chr(92) + '[' + chr(92) + '.' + chr(92) + ']')}, '.') RLIKE {_r(f'^{part}(?:[.]{part}){{3}}$')}"
+    n = f"char_length({_digits(value)})"
     if kind == "card":
-        return F.when(n.between(16, 19), _luhn(value)).otherwise(False)
-    return n.between(8, 15)
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, value) of the leftmost matches that do not overlap; start counts code points."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, between, lambda v, b: F.struct(F.length(b).alias("before"), v.alias("value")))
-    add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-    def placed(p: Column) -> Column:
-        return _let(F.transform(p, lambda x: x["before"] + F.coalesce(F.length(x["value"]), F.lit(0))), lambda size: with_blocks(p, size))
+        return f"CASE WHEN {n} BETWEEN 16 AND 19 THEN {_luhn(value)} ELSE false END"
+    return f"{n} BETWEEN 8 AND 15"
 
-    def with_blocks(p: Column, size: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(size) - 1) / BLOCK).cast("int")), lambda b: add(F.slice(size, b * BLOCK + 1, F.lit(BLOCK))))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        run = F.aggregate(sums, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
-        return _let(run, lambda starts: F.transform(p, lambda x, k: F.struct(
-            (F.get(starts, F.floor(k / BLOCK).cast("int")) + add(F.slice(size, F.floor(k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK)) + x["before"]).alias("start"), x["value"].alias("value"))))
 
+def gazetteer(kind: str, strict: bool, value: str) -> tuple[str, str]:
+    """What the gazetteer of a kind votes for and against."""
+    if kind == "email":
+        last = f"lower(regexp_extract({value}, '([A-Za-z0-9-]+)$', 1))"
+        known = ", ".join(f"'{d}'" for d in DOMAINS)
+        return f"{last} RLIKE '^[a-z]{{2}}$' OR {last} IN ({known})", f"{last} RLIKE '^[0-9-]'"
+    if kind == "ip":
+        return f"{value} RLIKE {_r(BLOCKS)}", f"{value} RLIKE {_r(NO_BLOCK)}"
+    if kind == "card":
+        return f"{_digits(value)} RLIKE {_r(ISSUERS)}", f"{_digits(value)} RLIKE {_r(NO_ISSUER)}"
+    known = f"{value} RLIKE {_r(CODES if strict else AREAS)}"
+    return known, f"NOT {known}"
+
+
+def matches(pattern: str) -> str:
+    """Array of (start, value, before, after) of the leftmost matches that do not overlap; start counts code points.
+
+    before and after are at most BEFORE characters and one character of what lies between the matches, or the nearest
+    character of the next match where nothing does; so no part of a long text is looked up by its place."""
+    p = _r(pattern)
+    add = lambda a: f"aggregate({a}, 0, (x, y) -> x + y)"
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    block = f"CAST(floor(k / {BLOCK}) AS INT)"
+    pairs = f"zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (v, b) -> named_struct('before', char_length(b), 'value', v, 'text', b))"
+    sums = f"transform(sequence(0, CAST(floor((size(w) - 1) / {BLOCK}) AS INT)), b -> {add(f'slice(w, b * {BLOCK} + 1, {BLOCK})')})"
+    starts = f"aggregate({sums}, named_struct('at', 0, 'starts', CAST(array() AS ARRAY<INT>)), (z, x) -> named_struct('at', z.at + x, 'starts', concat(z.starts, array(z.at))), z -> z.starts)"
+    inside = add(f"slice(w, {block} * {BLOCK} + 1, k % {BLOCK})")
+    before = f"IF(x.before = 0, coalesce(right(get(p, k - 1).value, 1), ''), right(x.text, {BEFORE}))"
+    after = "CASE WHEN get(p, k + 1).before > 0 THEN left(get(p, k + 1).text, 1) ELSE coalesce(left(get(p, k + 1).value, 1), '') END"
+    placed = f"transform(p, (x, k) -> named_struct('start', get(q, {block}) + {inside} + x.before, 'value', x.value, 'before', {before}, 'after', {after}))"
+    widths = "transform(p, x -> x.before + coalesce(char_length(x.value), 0))"
     # split gives one part more than there are matches
-    return F.filter(_let(pairs, placed), lambda x: x["value"].isNotNull())
-
+    return f"filter({let(pairs, 'p', let(widths, 'w', let(starts, 'q', placed)))}, x -> x.value IS NOT NULL)"
 
-def _vote(condition: Column, against: bool) -> Column:
-    return F.when(condition, "1").otherwise("0" if against else "?")
 
-
-def _described(text: Column, kind: str, strict: bool, span: Column) -> Column:
-    """The span with its votes, one character for each labeler, and its length class."""
-    value, start = span["value"], span["start"]
-    end = start + F.length(value)
-    before = F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
+def _described(kind: str, strict: bool) -> str:
+    """The span s with its votes, one character for each labeler, and its shape, one for each part."""
+    value, start = "s.value", "s.start"
+    end = f"({start} + char_length({value}))"
+    before, after = "s.before", "s.after"
     test = passes(kind, value)
-    border = ~before.rlike("[A-Za-z0-9]$") & ~F.substring(text, end + 1, F.lit(1)).rlike("[A-Za-z0-9]")
-    varied = F.size(F.array_distinct(F.split(F.lower(value), ""))) >= 4
-    votes = F.concat(F.lit("1" if strict else "?"), _vote(test, True), _vote(value.rlike(GAZETTEER[kind]), False), _vote(before.rlike(CONTEXT[kind]), False), _vote(border, True), _vote(varied, True))
-    size = F.when(F.length(value) < 12, "s").when(F.length(value) < 24, "m").otherwise("l")
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), (F.lit(strict) & test).alias("base"), test.alias("test"), F.concat(votes, size).alias("pattern"))
+    vote = lambda yes, no="false": f"CASE WHEN {yes} THEN '1' WHEN {no} THEN '0' ELSE '?' END"
+    border = f"NOT {before} RLIKE '[A-Za-z0-9]$' AND NOT {after} RLIKE '[A-Za-z0-9]'"
+    varied = f"size(array_distinct(split(lower({value}), ''))) >= 4"
+    votes = [f"'{1 if strict else '?'}'", vote(test, "true"), vote(*gazetteer(kind, strict, value)), vote(f"{before} RLIKE {_r(CONTEXT[kind])}"), vote(border, "true"), vote(varied, "true")]
+    size = f"CASE WHEN char_length({value}) < 12 THEN 's' WHEN char_length({value}) < 24 THEN 'm' ELSE 'l' END"
+    marks = f"regexp_replace({value}, '[A-Za-z0-9+@]', '')"
+    separator = f"CASE WHEN {marks} = '' THEN 'n' WHEN {marks} RLIKE '^ +$' THEN 's' WHEN {marks} RLIKE '^-+$' THEN 'h' WHEN {marks} RLIKE '^[.]+$' THEN 'd' ELSE 'x' END"
+    beside = lambda c: f"CASE WHEN {c} = '' OR {c} RLIKE '^[ \\n\\t]$' THEN 'b' WHEN {c} RLIKE '[A-Za-z0-9]' THEN 'a' WHEN {c} RLIKE '[\"(<:=,;]' THEN 'p' ELSE 'o' END"
+    left = beside("right(s.before, 1)")
+    pattern = ", ".join([*votes, size, separator, left, beside(after)])
+    return f"named_struct('kind', '{kind}', 'start', {start}, 'end', {end}, 'base', {'true' if strict else 'false'} AND ({test}), 'test', ({test}), 'pattern', concat({pattern}))"
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, found: all matches of the fixed and the loose patterns, by kind as in KINDS, fixed ones first."""
-    text, none, per_kind = F.col("text"), F.array().cast(f"array<{_SPAN}>"), []
+    per_kind = []
     for kind in KINDS:
-        need = F.contains(text, F.lit(NEEDED[kind])) if NEEDED[kind] else F.lit(True)
-        if kind != "email":
-            need = need & text.rlike("[0-9]")
-        for strict, pattern, tried in ((True, BASE[kind], need), (False, LOOSE[kind], text.rlike(LOOSE[kind]))):
-            per_kind.append(F.when(tried, F.transform(matches(text, pattern), _describer(text, kind, strict))).otherwise(none))
-    return texts(docs).select("doc_id", F.concat(*per_kind).alias("found"))
-
-
-def _describer(text: Column, kind: str, strict: bool) -> Callable[[Column], Column]:
-    return lambda span: _described(text, kind, strict, span)
+        need = "text RLIKE '[0-9]'" if kind != "email" else "true"
+        if NEEDED[kind]:
+            need += f" AND contains(text, '{NEEDED[kind]}')"
+        for strict, pattern, tried in ((True, BASE[kind], need), (False, LOOSE[kind], f"text RLIKE {_r(LOOSE[kind])}")):
+            per_kind.append(f"CASE WHEN {tried} THEN transform({matches(pattern)}, s -> {_described(kind, strict)}) ELSE CAST(array() AS ARRAY<{_SPAN}>) END")
+    return texts(docs).select("doc_id", F.expr(f"concat({', '.join(per_kind)})").alias("found"))
 
 
 # ---- the label model and the classifier, on the table of counts
@@ -180,23 +207,22 @@ def label_model(counts: dict[str, float], rounds: int = 40) -> dict[str, float]:
 
 
 def _features(kind: str, pattern: str) -> list[str]:
-    return [kind, *(f"{name}={v}" for name, v in zip((*LABELERS, "size"), pattern))]
+    return [kind, *(f"{name}={v}" for name, v in zip((*LABELERS, *SHAPE), pattern)), *(f"{kind}:{name}={v}" for name, v in zip(SHAPE, pattern[len(LABELERS) :]))]
 
 
 def span_classifier(counts: dict[tuple[str, str], float], target: dict[tuple[str, str], float], rounds: int = 400) -> dict[tuple[str, str], float]:
     """The score of each (kind, pattern): logistic regression on its features, by gradient descent on the posteriors."""
-    weight = {f: 0.0 for key in counts for f in _features(*key)}
-    total = sum(counts.values())
-    score = lambda key: 1 / (1 + math.exp(-max(-30, min(30, sum(weight[f] for f in _features(*key))))))
+    keys = list(counts)
+    number = {f: k for k, f in enumerate(sorted({f for key in keys for f in _features(*key)}))}
+    at = np.array([[number[f] for f in _features(*key)] for key in keys])
+    share = np.array([counts[key] for key in keys]) / sum(counts.values())
+    wanted, weight = np.array([target[key] for key in keys]), np.zeros(len(number))
+    score = lambda: 1 / (1 + np.exp(-np.clip(weight[at].sum(axis=1), -30, 30)))
     for _ in range(rounds):
-        step = dict.fromkeys(weight, 0.0)
-        for key, n in counts.items():
-            error = (target[key] - score(key)) * n / total
-            for f in _features(*key):
-                step[f] += error
-        for f in weight:
-            weight[f] += 2.0 * (step[f] - 1e-4 * weight[f])
-    return {key: score(key) for key in counts}
+        error = (wanted - score()) * share
+        step = np.bincount(at.ravel(), np.repeat(error, at.shape[1]), len(number))
+        weight += 2.0 * (step - 1e-4 * weight)
+    return dict(zip(keys, score().tolist()))
 
 
 def learn(spans: DataFrame) -> dict[tuple[str, str], float]:
@@ -208,21 +234,22 @@ def learn(spans: DataFrame) -> dict[tuple[str, str], float]:
         votes: dict[str, float] = {}
         for (k, p), n in counts.items():
             if k == kind:
-                votes[p[:-1]] = votes.get(p[:-1], 0.0) + n
+                votes[p[: len(LABELERS)]] = votes.get(p[: len(LABELERS)], 0.0) + n
         share = label_model(votes)
-        target |= {key: share[key[1][:-1]] for key in counts if key[0] == kind}
+        target |= {key: share[key[1][: len(LABELERS)]] for key in counts if key[0] == kind}
     return span_classifier(counts, target) if counts else {}
 
 
 def pii_spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end) by kind as in KINDS and start; spans holds base."""
     held = Written(found(docs), "found").df
-    scores = F.from_json(F.lit(json.dumps({f"{k}|{p}": x for (k, p), x in learn(held).items()})), "map<string,double>")
+    scores = F.from_json(F.lit(json.dumps({f"{k}|{p}": x for (k, p), x in learn(held).items() if p[0] == "?"})), "map<string,double>")
     score = lambda s: F.coalesce(F.try_element_at(scores, F.concat_ws("|", s["kind"], s["pattern"])), F.lit(0.0))
     plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"], s["start"], s["end"]))
     base = F.filter("found", lambda s: s["base"])
-    apart = lambda s: ~F.exists(F.filter("found", lambda b: b["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("found", lambda s: s["base"] | (s["pattern"].startswith("?") & s["test"] & (score(s) >= threshold) & apart(s)))
+    apart = lambda s, of: ~F.exists(of, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    chosen = lambda of: F.filter("found", lambda s: s["base"] | (s["pattern"].startswith("?") & s["test"] & (score(s) >= threshold) & apart(s, of)))
+    more = F.element_at(F.transform(F.array(base), chosen), 1)
     by_kind = [F.array_sort(plain(_of_kind(more, kind))) for kind in KINDS]
     return held.select("doc_id", plain(base).alias("base"), F.concat(*by_kind).alias("spans"))
 

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
+import time
 
 from terracell.llm.common import table
-from terracell.llm.pii import label_model, pii_spans, span_digests
+from terracell.llm.pii import label_model, pii_spans, span_classifier, span_digests
 
 
 def luhn(d):
@@ -56,3 +58,38 @@ def test_label_model_separates():
 
 def test_empty_table(spark):
     assert span_digests(pii_spans(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_long_runs_and_repeated_ids(spark):
+    """A run of characters is read once, and matches that begin inside one are found."""
+    texts = [
+        "x@y." * 500, "1.2.3." * 500, "a@b.com_foo@c.org.x@d", "a@b.c%d@e.f@g.h", "a@b.cd@e.f", "-@-.-@-.-",
+        "1.2.3.4.5.6.7.8.9", "1.2.3.4" + "5" * 3000, "mail jo@k.com " * 3000, "1.2.3.4 [at] " * 2000,
+    ]
+    digest = lambda t: hashlib.sha256(",".join(brute(t)).encode()).hexdigest()
+    rows = [(i % 5, t, digest(t)) for i, t in enumerate(texts)]
+    rows += [(7, t, digest("")) for t in ("a" * 200_000 + "@", "a" * 100_000 + "@b", "1" * 200_000 + ".2")]  # no match at all
+    start = time.monotonic()
+    out = span_digests(pii_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))).collect()
+    assert time.monotonic() - start < 60
+    assert sorted((r["doc_id"], r["base_sha256"]) for r in out) == sorted((i, d) for i, _, d in rows)
+
+
+def test_random_texts_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ab1.9@-+ (é") for _ in range(rng.randint(0, 60)))) for i in range(4000)]
+    got = {r["doc_id"]: r["base_sha256"] for r in span_digests(pii_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows:
+        assert got[i] == hashlib.sha256(",".join(brute(t)).encode()).hexdigest(), t
+
+
+def test_shape_adds_to_the_votes():
+    """Two patterns with the same votes get different scores where their shapes differ."""
+    counts = {("phone", "111111mhbb"): 500.0, ("phone", "111111mnbb"): 20.0, ("phone", "100?0?mxaa"): 300.0, ("phone", "?1??1?mhbb"): 10.0, ("phone", "?1??1?mxaa"): 10.0}
+    votes = {}
+    for (_, p), n in counts.items():
+        votes[p[:6]] = votes.get(p[:6], 0.0) + n
+    share = label_model(votes)
+    score = span_classifier(counts, {key: share[key[1][:6]] for key in counts})
+    doubt = {p: 1 - score["phone", p] for p in ("?1??1?mhbb", "?1??1?mxaa")}
+    assert doubt["?1??1?mxaa"] > 10 * doubt["?1??1?mhbb"]
