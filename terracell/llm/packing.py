@@ -5,7 +5,7 @@ Method
 1. Texts become pieces of at most `size` ids; only longer documents are cut, and only their first piece may be shorter.
 2. Pieces are dealt by a hash to demes of about `deme` pieces, and best fit gives each deme a first packing.  One that
    meets the lower bound (the sum of lengths over the size, or the number of pieces above half the size) cannot be
-   improved and is done.
+   improved and is done.  Beside other demes it may need one sequence more: what is ill-filled there is dealt anew.
 3. On every other deme two islands evolve a population, in tasks of their own.  Crossover injects whole well-filled
    sequences of one parent into the other; sequences that then hold a duplicate are dissolved, ill-filled ones partly;
    displaced pieces first replace one or two pieces of an open sequence where that fills it better, and the rest is best
@@ -249,7 +249,7 @@ def _pack_once(items: DataFrame, demes: int, size: int, level: int) -> DataFrame
         pdf = _ordered(pdf)
         length = pdf["length"].to_numpy()
         seq = packed_by_best_fit(length, size).astype(np.int64)
-        return pdf.assign(seq=seq, done=bool(seq.max() + 1 <= lower_bound(length, size)))[[*_NAMES, "deme", "seq", "done"]]
+        return pdf.assign(seq=seq, done=bool(seq.max() + 1 <= lower_bound(length, size) + (demes > 1)))[[*_NAMES, "deme", "seq", "done"]]
 
     def evolved(pdf: pd.DataFrame) -> pd.DataFrame:
         """One epoch of an island, from the elites that came to it."""
