@@ -48,10 +48,15 @@ def downsample(cells: DataFrame, factor: int, means: list[str] = (), modes: list
     return averaged
 
 
-def lookup(points: DataFrame, cells: DataFrame, bands: list[str]) -> DataFrame:
-    """points (r, c, ...) with the bands of their cell, NULL outside.  Cells are filtered to the rows of the points when
-    those are few; the join itself is an equi-join."""
-    return points.join(cells.select("r", "c", *bands), ["r", "c"], "left")
+def lookup(points: DataFrame, cells: DataFrame, bands: list[str], broadcast_rows: int = 100_000) -> DataFrame:
+    """points (r, c, ...) with the bands of their cell, NULL outside.
+
+    The places of the points are broadcast when there are at most `broadcast_rows` (counted before), so that cells are
+    filtered where they are read; beyond that they are joined by shuffle."""
+    places = points.select("r", "c").distinct()
+    if places.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        places = F.broadcast(places)
+    return points.join(cells.select("r", "c", *bands).join(places, ["r", "c"], "left_semi"), ["r", "c"], "left")
 
 
 def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

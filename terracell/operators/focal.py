@@ -69,7 +69,7 @@ def nearest_feature(cells: DataFrame, feature: Column, carry: str | None = None,
         fr_at, v_at, base = np.full(width, np.nan), np.full(width, np.nan), c - c[0]
         g[base], fr_at[base], v_at[base] = np.where(np.isnan(fr), np.inf, (fr - r) ** 2), fr, v
         best, br, bc, bv = g.copy(), fr_at.copy(), np.arange(width, dtype=float), v_at.copy()
-        for d in range(1, width):
+        for d in range(1, width if np.isfinite(g).any() else 1):
             if d * d > best.max():
                 break
             for s in (-d, d):

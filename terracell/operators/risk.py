@@ -70,9 +70,11 @@ def alert(prob: DataFrame) -> DataFrame:
     )
 
 
-def at_rainfall(cells: DataFrame, mm: float) -> DataFrame:
-    """cells (p100, p150, p200, hydro) with `prob` at a rainfall: interpolated, boosted, and at least the physical risk."""
-    r = F.lit(float(mm))
+def at_rainfall(cells: DataFrame, mm: float | Column) -> DataFrame:
+    """cells (p100, p150, p200, hydro) with `prob` at a rainfall: interpolated, boosted, and at least the physical risk.
+
+    A column gives each row a rainfall of its own, so that several need one pass."""
+    r = F.lit(float(mm)) if isinstance(mm, (int, float)) else mm.cast("double")
     data = fn.hydro_boost(fn.rainfall_interpolation(r, F.col("p100"), F.col("p150"), F.col("p200")), F.col("hydro"), r)
     return cells.withColumn("prob", fn.hybrid_risk(data, F.col("hydro"), r))
 

@@ -78,12 +78,8 @@ _P = {125: "p100 * (1 - 25 / 50e0) + p150 * (25 / 50e0)", 60: "p100 * 60e0 / 100
 
 @query(f"WITH {HYDRO_SQL} " + " UNION ALL ".join(f"SELECT {mm} AS mm, r, c, round({AT_SQL.format(mm=mm)}, 9) AS prob FROM (SELECT r, c, hydro, {p} AS p FROM hyd)" for mm, p in _P.items()))
 def risk_at_rainfall(spark, sf_dir):
-    cells = hydro_cells(spark, sf_dir)
-    out = None
-    for mm in _P:
-        own = risk.at_rainfall(cells, mm).select(F.lit(mm).alias("mm"), "r", "c", F.round("prob", 9).alias("prob"))
-        out = own if out is None else out.unionAll(own)
-    return out
+    each = hydro_cells(spark, sf_dir).withColumn("mm", F.explode(F.array(*[F.lit(mm) for mm in _P])))
+    return risk.at_rainfall(each, F.col("mm")).select("mm", "r", "c", F.round("prob", 9).alias("prob"))
 
 
 @query(f"""WITH {HYDRO_SQL}, a AS (SELECT {AT_SQL.format(mm=150)} AS prob FROM (SELECT r, c, hydro, p150 AS p FROM hyd)),
