@@ -168,7 +168,7 @@ class ArchiveReader(DataSourceReader):
         own = index[np.searchsorted(index["offset"], partition.start) : np.searchsorted(index["offset"], partition.end)]
         held: list[list] = [[], [], []]
         size = 0
-        archive = files.open_input_file(f"{root}/{partition.name}")
+        archive = None
         for e in own:
             media, archive = self.member(files, f"{root}/{partition.name}", archive, int(e["offset"]), int(e["length"]), int(e["crc"]))
             for x, v in zip(held, (int(e["doc_id"]) if e["named"] else None, int(e["offset"]), media)):
@@ -177,23 +177,28 @@ class ArchiveReader(DataSourceReader):
             if size >= BATCH:
                 yield self._batch(held)
                 held, size = [[], [], []], 0
-        archive.close()
+        if archive is not None:
+            archive.close()
         if held[0]:
             yield self._batch(held)
 
     def member(self, files: pafs.FileSystem, path: str, archive, offset: int, length: int, crc: int):
-        """The bytes of one member and the file to go on with; a failed read opens the archive anew at this member."""
-        for attempt in range(self.retries + 1):
+        """The bytes of one member and the file to go on with; archive may be None.  A failed opening or read is tried
+        again at this member, with the archive opened anew."""
+        problem: Exception = OSError(path)
+        for _ in range(self.retries + 1):
             try:
+                if archive is None:
+                    archive = files.open_input_file(path)
                 media = archive.read_at(length, offset)
                 if len(media) == length and zlib.crc32(media) == crc:
                     return media, archive
-                problem: Exception = OSError(f"wrong checksum at byte {offset} of {path}")
+                problem = OSError(f"wrong checksum at byte {offset} of {path}")
             except OSError as e:
                 problem = e
-            if attempt < self.retries:
+            if archive is not None:
                 archive.close()
-                archive = files.open_input_file(path)
+                archive = None
         raise problem
 
     @staticmethod

@@ -66,3 +66,39 @@ def test_members_are_retried_by_offset():
     with pytest.raises(OSError, match="checksum"):
         reader.member(bad, "p", bad, 2, len(media), zlib.crc32(media))
     assert decode_png(media) == (payload_of(b"text"), 4) and feature_of(payload_of(b"")).startswith("1:32.000:0.000:")
+
+
+class _Lost:
+    """A file system whose first openings and reads fail."""
+
+    def __init__(self, data, failures):
+        self.data, self.left = data, failures
+
+    def open_input_file(self, path):
+        self._fail()
+        return self
+
+    def read_at(self, length, offset):
+        self._fail()
+        return self.data[offset : offset + length]
+
+    def _fail(self):
+        if self.left:
+            self.left -= 1
+            raise OSError("lost")
+
+    def close(self):
+        pass
+
+
+def test_failed_openings_are_tried_again():
+    data = bytes(range(256))
+    reader = ArchiveReader("file:///nowhere", 1 << 20, 3)
+    for failures in range(4):
+        files = _Lost(data, failures)
+        media, archive = reader.member(files, "a", None, 10, 20, zlib.crc32(data[10:30]))
+        assert media == data[10:30] and archive is files
+    with pytest.raises(OSError):
+        reader.member(_Lost(data, 4), "a", None, 10, 20, zlib.crc32(data[10:30]))
+    with pytest.raises(OSError, match="checksum"):
+        reader.member(_Lost(data, 0), "a", None, 10, 20, 1)

@@ -1,9 +1,10 @@
+import math
 import zlib
 
 import numpy as np
 
 from terracell.llm.common import table
-from terracell.llm.quality import SLOTS, held_out, quality_scores, score, score_text, share, slots, train
+from terracell.llm.quality import SLOTS, held_out, quality_scores, score, score_text, share, slots, train, train_shard
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,3 +35,41 @@ def test_odd_rows(spark):
     assert len(out) == 5 and all(0 <= r["score"] <= 1 for r in out)
     assert quality_scores(docs.limit(0), some).collect() == []
     assert docs.select(held_out(docs.doc_id)).first()[0] is False
+
+
+def test_training_against_a_plain_ftrl(spark):
+    """One coordinate at a time, straight from the update rule, on a small fixture."""
+    rows = sorted((r["text"] or "", r["quality"]) for r in table(spark, SF, "documents").join(table(spark, SF, "labels"), "doc_id").filter("length(text) < 400").limit(40).collect())
+    rows = [(t.encode(), y) for t, y in rows] + [(b"", 1)]
+    alpha, beta, l1, l2 = 2.0, 1.0, 1e-4, 1e-4
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for text, y in rows:
+            at, x = share(text)
+            vector = {**dict(zip(at.tolist(), x.tolist())), SLOTS: 1.0}
+            w = {k: weight(k) for k in vector}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in vector.items())))
+            for k, v in vector.items():
+                g = (p - y) * v
+                before = n.get(k, 0.0)
+                sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = before + g * g
+    got = train_shard(rows, 3)
+    want = np.zeros(SLOTS + 1)
+    for k in z:
+        want[k] = weight(k)
+    assert len(rows) > 20 and np.abs(want).max() > 0.1 and np.allclose(got, want, atol=1e-9)
+
+
+def test_a_score_at_the_threshold_is_good(spark):
+    docs, labels = table(spark, SF, "documents").limit(50), table(spark, SF, "labels")
+    tied = quality_scores(docs, labels).first()["score"]
+    rows = quality_scores(docs, labels, threshold=tied).collect()
+    assert any(r["score"] == tied for r in rows) and all(r["predicted"] == int(r["score"] >= tied) for r in rows)
