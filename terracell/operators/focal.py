@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import resample_bilinear
+
 
 def box_mean(cells: DataFrame, bands: dict[str, Column], size: int) -> DataFrame:
     """cells with the mean of each band over size x size cells, NULLs left out, edges mirrored (the edge cell twice).
@@ -48,46 +50,111 @@ def lee_filter(cells: DataFrame, band: str, size: int = 5) -> DataFrame:
     return local.withColumn("lee", F.col("_m") + w * (x - F.col("_m"))).drop("_m", "_m2", "_noise")
 
 
-def nearest_feature(cells: DataFrame, feature: Column, carry: str | None = None, cell: float = 1.0) -> DataFrame:
-    """r, c, distance, near_r, near_c (and the carried band there) of each cell: the nearest cell that is a feature.
+def _nearest_in_row(g: list[int], at: list[int], x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each place x of a row, the index of the source (at column at[i], g[i] squared rows away) that is nearest.
 
-    Exact and separable.  Pass 1, windows over columns: the nearest feature above and below in the cell's own column.
-    Pass 2, one group for each row: the best of the columns at growing offsets, until no farther one can be nearer.
+    The sources are parabolas g + (x - at)^2, and their lower envelope is built from left to right, each source entering
+    and leaving it once: linear in the row's width.  Bounds that fall on a place keep both sides, so that of equal
+    distances the source of the smallest rank is taken."""
+    heads, bounds = [0], [-np.inf]
+    for i in range(1, len(at)):
+        while True:
+            j = heads[-1]
+            s = (g[i] + at[i] * at[i] - g[j] - at[j] * at[j]) / (2 * (at[i] - at[j]))
+            if s >= bounds[-1]:
+                break
+            heads.pop()
+            bounds.pop()
+        heads.append(i)
+        bounds.append(s)
+    kept, ends = np.array(heads), np.array(bounds[1:])
+    first, last = np.searchsorted(ends, x, "left"), np.searchsorted(ends, x, "right")
+    place, height = np.array(at, float), np.array(g, float)
+    cost = lambda i: height[i] + (x - place[i]) ** 2
+    best = kept[first]
+    for step in range(1, int((last - first).max()) + 1):
+        other = kept[np.minimum(first + step, last)]
+        better = (cost(other) < cost(best)) | ((cost(other) == cost(best)) & (rank[other] < rank[best]))
+        best = np.where(better, other, best)
+    return best
+
+
+def nearest_features(cells: DataFrame, layers: dict[str, Column], carry: str | None = None, cell: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """cells (r, c and the columns `keep`, which are doubles) with, for each layer, {layer}_distance, {layer}_r, {layer}_c and
+    {layer}_carried: the nearest cell that is a feature of the layer, and the carried band there.
+
+    Exact and separable, all layers in one pass.  Pass 1, windows over columns: the nearest feature above and below in
+    the cell's own column.  Pass 2, one group for each row: the lower envelope of the row's columns, linear in its width.
     Of equal distances the smallest (row, column) counts; without any feature all is NULL.
     """
-    value = F.when(feature, F.struct(F.col("r").alias("r"), (F.col(carry).cast("double") if carry else F.lit(0.0)).alias("v")))
     up, down = Window.partitionBy("c").orderBy("r"), Window.partitionBy("c").orderBy(F.desc("r"))
-    near = cells.select("r", "c", F.last(value, True).over(up).alias("a"), F.last(value, True).over(down).alias("b"))
-    first = F.when(F.col("b").isNull() | (F.col("r") - F.col("a.r") <= F.col("b.r") - F.col("r")), F.col("a")).otherwise(F.col("b"))
-    columns = near.select("r", "c", first.alias("f")).select("r", "c", F.col("f.r").cast("double").alias("fr"), F.col("f.v").alias("v"))
+    carried = F.col(carry).cast("double") if carry else F.lit(0.0)
+    names = list(layers)
+    value = {n: F.when(f, F.struct(F.col("r").alias("r"), carried.alias("v"))) for n, f in layers.items()}
+    ends = [x for n, v in value.items() for x in (F.last(v, True).over(up).alias(f"{n}_a"), F.last(v, True).over(down).alias(f"{n}_b"))]
+    near = cells.select("r", "c", *keep, *ends)
+
+    def first(n: str) -> Column:
+        a, b = F.col(f"{n}_a"), F.col(f"{n}_b")
+        return F.when(b.isNull() | (F.col("r") - a["r"] <= b["r"] - F.col("r")), a).otherwise(b)
+
+    both = near.select("r", "c", *keep, *[first(n).alias(n) for n in layers])
+    columns = both.select("r", "c", *keep, *[x for n in layers for x in (F.col(f"{n}.r").cast("double").alias(f"{n}_r"), F.col(f"{n}.v").alias(f"{n}_v"))])
 
     def row(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c", kind="stable")
-        c, fr, v = pdf["c"].to_numpy(), pdf["fr"].to_numpy(dtype=float), pdf["v"].to_numpy(dtype=float)
-        r, width = float(pdf["r"].iloc[0]), int(c[-1] - c[0] + 1)
-        g = np.full(width, np.inf)
-        fr_at, v_at, base = np.full(width, np.nan), np.full(width, np.nan), c - c[0]
-        g[base], fr_at[base], v_at[base] = np.where(np.isnan(fr), np.inf, (fr - r) ** 2), fr, v
-        best, br, bc, bv = g.copy(), fr_at.copy(), np.arange(width, dtype=float), v_at.copy()
-        for d in range(1, width if np.isfinite(g).any() else 1):
-            if d * d > best.max():
-                break
-            for s in (-d, d):
-                to, source = (slice(d, width), slice(0, width - d)) if s < 0 else (slice(0, width - d), slice(d, width))
-                new = g[source] + d * d
-                col = np.arange(width, dtype=float)[source]
-                tie = (new == best[to]) & np.isfinite(new) & ((fr_at[source] < br[to]) | (fr_at[source] == br[to]) & (col < bc[to]))
-                win = (new < best[to]) | tie
-                best[to], br[to], bc[to], bv[to] = np.where(win, new, best[to]), np.where(win, fr_at[source], br[to]), np.where(win, col, bc[to]), np.where(win, v_at[source], bv[to])
-        ok = np.isfinite(best[base])
-        nullable = lambda x: pd.Series(np.where(ok, x, np.nan))
-        return pd.DataFrame({"r": int(r), "c": c, "distance": nullable(np.sqrt(best[base]) * cell), "near_r": nullable(br[base]).astype("Int32"), "near_c": nullable(bc[base] + c[0]).astype("Int32"), "carried": nullable(bv[base])})
-
-    schema = "r int, c int, distance double, near_r int, near_c int, carried double"
+        pdf = pdf.sort_values("c", kind="stable").reset_index(drop=True)
+        c, r = pdf["c"].to_numpy(dtype=np.int64), int(pdf["r"].iloc[0])
+        out = {"r": r, "c": c, **{k: pdf[k] for k in keep}}
+        for n in names:
+            fr, v = pdf[f"{n}_r"].to_numpy(dtype=float), pdf[f"{n}_v"].to_numpy(dtype=float)
+            has = np.flatnonzero(~np.isnan(fr))
+            if len(has):
+                rows = fr[has].astype(np.int64)
+                rank = np.empty(len(has), dtype=np.int64)
+                rank[np.lexsort((c[has], rows))] = np.arange(len(has))
+                i = _nearest_in_row(((rows - r) ** 2).tolist(), c[has].tolist(), c, rank)
+                distance = np.sqrt(((rows[i] - r) ** 2 + (c - c[has][i]) ** 2).astype(float)) * cell
+                found = (pd.Series(distance), pd.Series(rows[i]), pd.Series(c[has][i]), pd.Series(v[has][i]))
+            else:
+                found = (pd.Series(np.full(len(c), np.nan)),) * 4
+            for k, x in zip(("distance", "r", "c", "carried"), found):
+                out[f"{n}_{k}"] = x.astype("Int32") if k in ("r", "c") else x
+        return pd.DataFrame(out)
+
+    schema = "r int, c int" + "".join(f", {k} double" for k in keep) + "".join(f", {n}_distance double, {n}_r int, {n}_c int, {n}_carried double" for n in layers)
     return columns.groupBy("r").applyInPandas(row, schema)
 
 
+def nearest_feature(cells: DataFrame, feature: Column, carry: str | None = None, cell: float = 1.0) -> DataFrame:
+    """r, c, distance, near_r, near_c, carried: nearest_features for one layer."""
+    near = nearest_features(cells, {"f": feature}, carry, cell)
+    return near.select("r", "c", F.col("f_distance").alias("distance"), F.col("f_r").alias("near_r"), F.col("f_c").alias("near_c"), F.col("f_carried").alias("carried"))
+
+
 def height_above_drainage(cells: DataFrame, drainage: Column, band: str = "dem") -> DataFrame:
-    """r, c, hand: height above the nearest drainage cell that has a height; NULL without one."""
-    near = nearest_feature(cells, drainage & F.col(band).isNotNull(), carry=band).select("r", "c", "carried")
-    return cells.select("r", "c", band).join(near, ["r", "c"]).select("r", "c", (F.col(band) - F.col("carried")).alias("hand"))
+    """r, c, hand, near_r, near_c: height above the nearest drainage cell that has a height; NULL without one."""
+    own = cells.withColumn(band, F.col(band).cast("double"))
+    near = nearest_features(own, {"f": drainage & F.col(band).isNotNull()}, carry=band, keep=(band,))
+    return near.select("r", "c", (F.col(band) - F.col("f_carried")).alias("hand"), F.col("f_r").alias("near_r"), F.col("f_c").alias("near_c"))
+
+
+def height_above_drainage_coarse(cells: DataFrame, drainage: Column, band: str = "dem", factor: int = 4) -> DataFrame:
+    """r, c, hand, by way of a grid `factor` times coarser: the nearest cell of each coarse place, heights there, and a
+    bilinear way back with the grids' first and last cells on each other.
+
+    Cells beyond factor times the coarse side are NULL, as are places without a height around them; a grid of fewer than
+    two coarse rows or columns has no scale and is NULL throughout."""
+    extent = F.broadcast(cells.agg(*[F.max(x).alias(f"_n{x}") for x in ("r", "c")]).select(
+        "*", *[F.bround((F.col(f"_n{x}") + 1) / F.lit(float(factor))).cast("int").alias(f"_m{x}") for x in ("r", "c")]))
+    last = lambda x: F.when(F.col(f"_m{x}") > 1, F.col(f"_m{x}") - 1)
+    # a source cell may be the nearest of no coarse place or of one: its place is found from the cell, without a join
+    place = lambda x: F.floor(F.col(x) * last(x) / F.col(f"_n{x}") + 0.5)
+    source = lambda x: F.floor(F.col(f"_i{x}") * F.col(f"_n{x}") / last(x) + 0.5)
+    sampled = cells.withColumn("_d", drainage).crossJoin(extent).withColumn("_ir", place("r")).withColumn("_ic", place("c"))
+    sampled = sampled.filter((source("r") == F.col("r")) & (source("c") == F.col("c")))
+    coarse = sampled.select(F.col("_ir").cast("int").alias("r"), F.col("_ic").cast("int").alias("c"), band, "_d")
+    hand = height_above_drainage(coarse, F.col("_d"), band).select("r", "c", "hand")
+    side = lambda x: F.col(f"_m{x}") * factor
+    fine = cells.select("r", "c").crossJoin(extent)
+    back = lambda x: F.when((F.col("r") < side("r")) & (F.col("c") < side("c")), F.col(x) * last(x) / (side(x) - 1) + 0.5)
+    return resample_bilinear(hand, fine.withColumn("_tr", back("r")).withColumn("_tc", back("c")), F.col("_tr"), F.col("_tc"), "hand")

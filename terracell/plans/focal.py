@@ -45,94 +45,98 @@ def density_maps(spark, sf_dir):
     return focal.box_mean(grid(spark, sf_dir), masks, 33).select("r", "c", F.round("_d", 9).alias("drainage_density"), F.round("_b", 9).alias("built_density"))
 
 
-_NEAR = "SELECT g.r, g.c, min((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) AS d2 FROM grid g, grid f WHERE {} GROUP BY g.r, g.c"
+def _near(name: str, feature: str) -> str:
+    """CTEs: for each cell the key of the nearest feature, from the nearest one of each column of its row."""
+    return f""", {name}_0 AS (SELECT r, c, max(CASE WHEN {feature} THEN r END) OVER (PARTITION BY c ORDER BY r) AS a,
+    min(CASE WHEN {feature} THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM grid),
+  {name}_1 AS (SELECT r, c, CASE WHEN b IS NULL OR r - a <= b - r THEN a ELSE b END AS fr FROM {name}_0),
+  {name} AS (SELECT g.r, g.c, arg_min({{'d2': (g.r - f.fr) * (g.r - f.fr) + (g.c - f.c) * (g.c - f.c), 'r': f.fr, 'c': f.c}}, (((g.r - f.fr) * (g.r - f.fr) + (g.c - f.c) * (g.c - f.c))::BIGINT::HUGEINT * 1000000000 + f.fr) * 100000 + f.c) AS n
+    FROM grid g LEFT JOIN {name}_1 f ON g.r = f.r AND f.fr IS NOT NULL GROUP BY g.r, g.c)"""
 
 
-@query(G + f", w AS ({_NEAR.format('f.lulc = 80')}), u AS ({_NEAR.format('f.lulc = 50 AND f.r % 9 = 0 AND f.c % 7 = 0')}) SELECT w.r, w.c, round(sqrt(w.d2) * 30e0, 6) AS to_water, round(sqrt(u.d2) * 30e0, 6) AS to_town FROM w JOIN u ON w.r = u.r AND w.c = u.c")
+_DISTANCE_SQL = G + _near("w", "lulc = 80") + _near("u", "lulc = 50") + " SELECT w.r, w.c, round(sqrt(w.n.d2) * 30e0, 6) AS to_water, round(sqrt(u.n.d2) * 30e0, 6) AS to_town FROM w JOIN u ON w.r = u.r AND w.c = u.c"
+_HAND_SQL = G + _near("x", "flow > 33 AND dem IS NOT NULL") + """ SELECT g.r, g.c, x.n.r AS near_r, x.n.c AS near_c, round(g.dem - f.dem, 6) AS hand
+FROM grid g JOIN x ON g.r = x.r AND g.c = x.c LEFT JOIN grid f ON f.r = x.n.r AND f.c = x.n.c"""
+
+
+@query(_DISTANCE_SQL)
 def distance_maps(spark, sf_dir):
-    cells = grid(spark, sf_dir)
-    water = focal.nearest_feature(cells, F.col("lulc") == 80, cell=30.0).select("r", "c", F.round("distance", 6).alias("to_water"))
-    town = focal.nearest_feature(cells, (F.col("lulc") == 50) & (F.col("r") % 9 == 0) & (F.col("c") % 7 == 0), cell=30.0)
-    return water.join(town.select("r", "c", F.round("distance", 6).alias("to_town")), ["r", "c"])
+    near = focal.nearest_features(grid(spark, sf_dir), {"water": F.col("lulc") == 80, "town": F.col("lulc") == 50}, cell=30.0)
+    return near.select("r", "c", F.round("water_distance", 6).alias("to_water"), F.round("town_distance", 6).alias("to_town"))
 
 
-@query(G + """, x AS (SELECT g.r, g.c, arg_min({'r': f.r, 'c': f.c, 'dem': f.dem}, ((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) * 100000000::BIGINT + f.r * 10000 + f.c) AS n
-  FROM grid g, grid f WHERE f.flow > 33 AND f.dem IS NOT NULL AND f.r % 3 = 0 GROUP BY g.r, g.c)
-SELECT g.r, g.c, x.n.r AS near_r, x.n.c AS near_c, round(g.dem - x.n.dem, 6) AS hand FROM grid g JOIN x ON g.r = x.r AND g.c = x.c""")
+@query(_HAND_SQL)
 def height_above_drainage(spark, sf_dir):
-    cells = grid(spark, sf_dir)
-    drained = (F.col("flow") > 33) & F.col("dem").isNotNull() & (F.col("r") % 3 == 0)
-    near = focal.nearest_feature(cells, drained, carry="dem")
-    joined = cells.select("r", "c", "dem").join(near, ["r", "c"])
-    return joined.select("r", "c", "near_r", "near_c", F.round(F.col("dem") - F.col("carried"), 6).alias("hand"))
+    hand = focal.height_above_drainage(grid(spark, sf_dir), F.col("flow") > 33)
+    return hand.select("r", "c", "near_r", "near_c", F.round("hand", 6).alias("hand"))
 
 
-@query(None)
+@query(_DISTANCE_SQL)
 def distance_maps_all(spark, sf_dir):
-    """As distance_maps, but from every built-up cell (no SQL: all pairs of cells and features; tested by brute force)."""
-    cells = grid(spark, sf_dir)
-    water = focal.nearest_feature(cells, F.col("lulc") == 80, cell=30.0).select("r", "c", F.round("distance", 6).alias("to_water"))
-    town = focal.nearest_feature(cells, F.col("lulc") == 50, cell=30.0)
-    return water.join(town.select("r", "c", F.round("distance", 6).alias("to_town")), ["r", "c"])
+    """The rows of distance_maps, which reads all features too, under its second name."""
+    return distance_maps(spark, sf_dir)
 
 
-@query(None)
+@query(_HAND_SQL)
 def height_above_drainage_all(spark, sf_dir):
-    """As height_above_drainage, but from every drainage cell of known height."""
-    cells = grid(spark, sf_dir)
-    near = focal.nearest_feature(cells, (F.col("flow") > 33) & F.col("dem").isNotNull(), carry="dem")
-    joined = cells.select("r", "c", "dem").join(near, ["r", "c"])
-    return joined.select("r", "c", "near_r", "near_c", F.round(F.col("dem") - F.col("carried"), 6).alias("hand"))
+    """The rows of height_above_drainage, which reads all features too, under its second name."""
+    return height_above_drainage(spark, sf_dir)
+
+
+@query(G + """, e AS (SELECT max(r)::DOUBLE AS nr, max(c)::DOUBLE AS nc, round_even((max(r) + 1) / 4e0, 0)::INT AS mr, round_even((max(c) + 1) / 4e0, 0)::INT AS mc FROM grid),
+k AS (SELECT i.i AS r, j.j AS c, g.dem, g.flow FROM (SELECT unnest(range(0, (SELECT mr FROM e))) AS i) AS i, (SELECT unnest(range(0, (SELECT mc FROM e))) AS j) AS j, e
+  JOIN grid g ON g.r = floor(i.i * nr / (mr - 1) + 0.5e0)::INT AND g.c = floor(j.j * nc / (mc - 1) + 0.5e0)::INT),
+x AS (SELECT a.r, a.c, a.dem - arg_min(f.dem, (((a.r - f.r) * (a.r - f.r) + (a.c - f.c) * (a.c - f.c))::HUGEINT * 1000000000 + f.r) * 100000 + f.c) AS hand FROM k a, k f WHERE f.flow > 33 AND f.dem IS NOT NULL GROUP BY a.r, a.c, a.dem),
+t AS (SELECT r, c, CASE WHEN r < 4 * mr AND c < 4 * mc THEN r * (mr - 1) / (4e0 * mr - 1) END AS y, c * (mc - 1) / (4e0 * mc - 1) AS x FROM grid, e),
+b AS (SELECT t.r, t.c, x.hand, (1 - abs(t.y - x.r)) * (1 - abs(t.x - x.c)) AS w FROM t LEFT JOIN x ON x.r BETWEEN floor(t.y)::INT AND floor(t.y)::INT + 1 AND x.c BETWEEN floor(t.x)::INT AND floor(t.x)::INT + 1)
+SELECT r, c, round(sum(w * hand) FILTER (WHERE hand IS NOT NULL) / nullif(sum(w) FILTER (WHERE hand IS NOT NULL), 0), 6) AS hand FROM b GROUP BY r, c""")
+def height_above_drainage_coarse(spark, sf_dir):
+    """Heights found on a grid four times coarser and interpolated back."""
+    return focal.height_above_drainage_coarse(grid(spark, sf_dir), F.col("flow") > 33).select("r", "c", F.round("hand", 6).alias("hand"))
 
 
 #: The target grid of the resampling queries: 1.7 source cells to a side, a little off the source's corner.
-_TARGET = "t AS (SELECT i AS r, j AS c, (i + 0.5e0) * 1.7e0 + 0.3e0 AS y, (j + 0.5e0) * 1.7e0 - 0.2e0 AS x FROM range(0, 58) AS a(i), range(0, 58) AS b(j))"
+_TARGET = """t AS (SELECT i AS r, j AS c, (i + 0.5e0) * 1.7e0 + 0.3e0 AS y, (j + 0.5e0) * 1.7e0 - 0.2e0 AS x
+  FROM (SELECT unnest(range(0, (SELECT ceil((max(r) + 1) / 1.7e0)::BIGINT FROM grid))) AS i) AS a, (SELECT unnest(range(0, (SELECT ceil((max(c) + 1) / 1.7e0)::BIGINT FROM grid))) AS j) AS b)"""
 
 
-def _target(spark):
-    n = spark.range(58 * 58)
-    cells = n.select(F.floor(F.col("id") / 58).cast("int").alias("r"), (F.col("id") % 58).cast("int").alias("c"))
-    return cells, (F.col("r") + 0.5) * 1.7 + 0.3, (F.col("c") + 0.5) * 1.7 - 0.2
+def _target(cells):
+    extent = cells.agg(*[F.ceil((F.max(x) + 1) / F.lit(1.7)).cast("int").alias(f"_{x}") for x in ("r", "c")])
+    rows = extent.select("_c", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r")).repartition("r")
+    target = rows.select("r", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("c"))
+    return target, (F.col("r") + 0.5) * 1.7 + 0.3, (F.col("c") + 0.5) * 1.7 - 0.2
 
 
-@query(G + f", {_TARGET} SELECT t.r::INT AS r, t.c::INT AS c, g.lulc FROM t LEFT JOIN grid g ON g.r = floor(t.y)::INT AND g.c = floor(t.x)::INT")
-def resample_nearest(spark, sf_dir):
-    cells, y, x = _target(spark)
-    return align.resample_nearest(grid(spark, sf_dir), cells, y, x, ["lulc"])
+_NEAREST_SQL = G + f", {_TARGET} SELECT t.r::INT AS r, t.c::INT AS c, g.lulc FROM t LEFT JOIN grid g ON g.r = floor(t.y)::INT AND g.c = floor(t.x)::INT"
 
 
-@query(G + f""", {_TARGET}, k AS (SELECT t.r, t.c, n.dem, (1 - abs(t.y - 0.5e0 - n.r)) * (1 - abs(t.x - 0.5e0 - n.c)) AS w FROM t LEFT JOIN grid n
-  ON n.r BETWEEN floor(t.y - 0.5e0)::INT AND floor(t.y - 0.5e0)::INT + 1 AND n.c BETWEEN floor(t.x - 0.5e0)::INT AND floor(t.x - 0.5e0)::INT + 1)
-SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NULL) / nullif(sum(w) FILTER (WHERE dem IS NOT NULL), 0), 6) AS dem FROM k GROUP BY r, c""")
-def resample_bilinear(spark, sf_dir):
-    cells, y, x = _target(spark)
-    return align.resample_bilinear(grid(spark, sf_dir), cells, y, x, "dem").select("r", "c", F.round("dem", 6).alias("dem"))
+@query(_NEAREST_SQL)
+def resample_nearest(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    return align.resample_nearest(cells, *_target(cells), ["lulc"])
 
 
-#: The same target, over the whole source grid.
-_TARGET_ALL = """t AS (SELECT i AS r, j AS c, (i + 0.5e0) * 1.7e0 + 0.3e0 AS y, (j + 0.5e0) * 1.7e0 - 0.2e0 AS x
-  FROM (SELECT unnest(range(0, (SELECT ceil((max(r) + 1) / 1.7e0)::BIGINT FROM grid))) AS i) AS a, (SELECT unnest(range(0, (SELECT ceil((max(c) + 1) / 1.7e0)::BIGINT FROM grid))) AS j) AS b)"""
+_BILINEAR_SQL = G + f""", {_TARGET}, k AS (SELECT t.r, t.c, n.dem, (1 - abs(t.y - 0.5e0 - n.r)) * (1 - abs(t.x - 0.5e0 - n.c)) AS w FROM t LEFT JOIN grid n
+  ON n.r BETWEEN floor(t.y - 0.5e0)::INT AND floor(t.y - 0.5e0)::INT + 1 AND n.c BETWEEN floor(t.x - 0.5e0)::INT AND floor(t.x - 0.5e0)::INT + 1)
+SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NULL) / nullif(sum(w) FILTER (WHERE dem IS NOT NULL), 0), 6) AS dem FROM k GROUP BY r, c"""
 
 
-def _target_all(cells):
-    extent = cells.agg(*[F.ceil((F.max(x) + 1) / F.lit(1.7)).cast("int").alias(f"_{x}") for x in ("r", "c")])
-    rows = extent.select("_c", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("r")).repartition("r")
-    target = rows.select("r", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("c"))
-    return target, (F.col("r") + 0.5) * 1.7 + 0.3, (F.col("c") + 0.5) * 1.7 - 0.2
+@query(_BILINEAR_SQL)
+def resample_bilinear(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    return align.resample_bilinear(cells, *_target(cells), "dem").select("r", "c", F.round("dem", 6).alias("dem"))
 
 
-@query(G + f", {_TARGET_ALL} SELECT t.r::INT AS r, t.c::INT AS c, g.lulc FROM t LEFT JOIN grid g ON g.r = floor(t.y)::INT AND g.c = floor(t.x)::INT")
+@query(_NEAREST_SQL)
 def resample_nearest_all(spark, sf_dir):
-    cells = grid(spark, sf_dir)
-    return align.resample_nearest(cells, *_target_all(cells), ["lulc"])
+    """The rows of resample_nearest under its second name."""
+    return resample_nearest(spark, sf_dir)
 
 
-@query(G + f""", {_TARGET_ALL}, k AS (SELECT t.r, t.c, n.dem, (1 - abs(t.y - 0.5e0 - n.r)) * (1 - abs(t.x - 0.5e0 - n.c)) AS w FROM t LEFT JOIN grid n
-  ON n.r BETWEEN floor(t.y - 0.5e0)::INT AND floor(t.y - 0.5e0)::INT + 1 AND n.c BETWEEN floor(t.x - 0.5e0)::INT AND floor(t.x - 0.5e0)::INT + 1)
-SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NULL) / nullif(sum(w) FILTER (WHERE dem IS NOT NULL), 0), 6) AS dem FROM k GROUP BY r, c""")
+@query(_BILINEAR_SQL)
 def resample_bilinear_all(spark, sf_dir):
-    cells = grid(spark, sf_dir)
-    return align.resample_bilinear(cells, *_target_all(cells), "dem").select("r", "c", F.round("dem", 6).alias("dem"))
+    """The rows of resample_bilinear under its second name."""
+    return resample_bilinear(spark, sf_dir)
 
 
 @query(G + """, b AS (SELECT r // 7 AS r, c // 7 AS c, dem, lulc FROM grid), m AS (SELECT r, c, round(avg(dem), 6) AS dem, count(*) AS n_cells FROM b GROUP BY r, c),
@@ -142,7 +146,7 @@ def overview(spark, sf_dir):
     return align.downsample(grid(spark, sf_dir), 7, ["dem"], ["lulc"]).withColumn("dem", F.round("dem", 6))
 
 
-@query(G + """, e AS (SELECT max(r) AS h, max(c) AS w FROM grid), s AS (SELECT i AS pr, j AS pc FROM range(0, 100) AS a(i), range(0, 100) AS b(j), e WHERE i * 16 + 31 <= h AND j * 16 + 31 <= w)
+@query(G + """, e AS (SELECT max(r) AS h, max(c) AS w FROM grid), s AS (SELECT i AS pr, j AS pc FROM (SELECT unnest(range(0, (SELECT h // 16 + 1 FROM e))) AS i) AS a, (SELECT unnest(range(0, (SELECT w // 16 + 1 FROM e))) AS j) AS b, e WHERE i * 16 + 31 <= h AND j * 16 + 31 <= w)
 SELECT pr::INT AS pr, pc::INT AS pc, count(*) AS n, count(*) FILTER (WHERE lulc = 80) AS positives, max(flow) AS peak, bool_and(flow IS NOT NULL) AS all_valid, count(*) = 1024 AS whole
 FROM s JOIN grid ON r BETWEEN pr * 16 AND pr * 16 + 31 AND c BETWEEN pc * 16 AND pc * 16 + 31 GROUP BY pr, pc""")
 def sliding_patches(spark, sf_dir):

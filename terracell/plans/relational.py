@@ -22,17 +22,19 @@ def _points(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (k % 10).cast("int").alias("r"), (k * 4).cast("int").alias("c"))
 
 
-@query(G + ", a AS (SELECT r, c, flow FROM grid WHERE r < 60 AND c < 80), b AS (SELECT r, c, slope FROM grid WHERE r < 70 AND c < 50) SELECT r, c, flow, slope FROM a JOIN b USING (r, c)")
+_STACK_SQL = G + ", a AS (SELECT r, c, flow FROM grid), b AS (SELECT r, c, slope FROM grid) SELECT r, c, flow, slope FROM a JOIN b USING (r, c)"
+
+
+@query(_STACK_SQL)
 def band_stack(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return align.stack(g.filter("r < 60 AND c < 80").select("r", "c", "flow"), g.filter("r < 70 AND c < 50").select("r", "c", "slope"))
+    return align.stack(g.select("r", "c", "flow"), g.select("r", "c", "slope"))
 
 
-@query(G + ", a AS (SELECT r, c, flow FROM grid), b AS (SELECT r, c, slope FROM grid) SELECT r, c, flow, slope FROM a JOIN b USING (r, c)")
+@query(_STACK_SQL)
 def band_stack_all(spark, sf_dir):
-    """As band_stack, of the whole bands."""
-    g = grid(spark, sf_dir)
-    return align.stack(g.select("r", "c", "flow"), g.select("r", "c", "slope"))
+    """The rows of band_stack under its second name."""
+    return band_stack(spark, sf_dir)
 
 
 @query(G + f", {POINTS_SQL} SELECT name, pts.r, pts.c, dem, p150, CASE WHEN p150 > 0.7 THEN 'High' WHEN p150 > 0.4 THEN 'Medium' WHEN p150 IS NOT NULL THEN 'Low' END AS level FROM pts LEFT JOIN grid ON pts.r = grid.r AND pts.c = grid.c")

@@ -50,6 +50,29 @@ def test_distance_against_all_pairs(spark):
     assert none.filter("distance IS NOT NULL OR near_r IS NOT NULL").count() == 0
 
 
+def test_distance_ties_on_random_grids(spark):
+    rng = np.random.default_rng(5)
+    for h, w, share in ((9, 31, 0.03), (14, 14, 0.2), (3, 40, 0.5), (1, 25, 0.1), (25, 1, 0.2)):
+        a = (rng.random((h, w)) < share).astype(float)
+        a[h // 2, w // 2] = 1
+        at = [(int(r), int(c)) for r, c in zip(*np.nonzero(a))]
+        for x in focal.nearest_feature(cells(spark, a), F.col("x") == 1).collect():
+            want = min(((x.r - r) ** 2 + (x.c - c) ** 2, r, c) for r, c in at)
+            assert (x.near_r, x.near_c) == want[1:] and abs(x.distance - want[0] ** 0.5) < 1e-12
+
+
+def test_coarse_height_above_drainage(spark):
+    dem = np.arange(12 * 16, dtype=float).reshape(12, 16)
+    got = back(focal.height_above_drainage_coarse(cells(spark, dem, "dem"), F.col("c") == 0), "hand", dem.shape)
+    rows, cols = [0, 6, 11], [0, 5, 10, 15]
+    coarse = dem[np.ix_(rows, cols)] - dem[rows, 0][:, None]
+    y, x = np.arange(12) * 2 / 11, np.arange(16) * 3 / 15
+    lines = np.array([np.interp(x, range(4), k) for k in coarse])
+    assert np.allclose(got, np.array([np.interp(y, range(3), k) for k in lines.T]).T)
+    assert {r.hand for r in focal.height_above_drainage_coarse(cells(spark, dem, "dem"), F.col("c") < 0).collect()} == {None}
+    assert {r.hand for r in focal.height_above_drainage_coarse(cells(spark, dem[:3], "dem"), F.col("c") == 0).collect()} == {None}
+
+
 def test_height_above_drainage(spark):
     dem = np.add.outer(np.arange(6.0) * 2, np.arange(6.0))
     got = back(focal.height_above_drainage(cells(spark, dem, "dem"), F.col("c") == 0), "hand", dem.shape)
