@@ -109,10 +109,13 @@ def hydro_boost(data: Column, hydro: Column, r: Column) -> Column:
     return clip(data + F.coalesce(hydro, F.lit(0.0)) * F.least(r / 200, F.lit(1.0)) * 0.2, 0.0, 1.0)
 
 
+def physical_risk(hydro: Column, r: Column) -> Column:
+    return F.coalesce(hydro, F.lit(0.0)) * (r / 200) * 1.2
+
+
 def hybrid_risk(data: Column, hydro: Column, r: Column) -> Column:
     """The larger of the mapped and the physical risk; NULL where there is no map."""
-    physical = F.coalesce(hydro, F.lit(0.0)) * (r / 200) * 1.2
-    return F.when(data.isNotNull(), clip(F.greatest(data, physical), 0.0, 1.0))
+    return F.when(data.isNotNull(), clip(F.greatest(data, physical_risk(hydro, r)), 0.0, 1.0))
 
 
 def ladder(x: Column, name: str) -> Column:

@@ -48,6 +48,17 @@ def downsample(cells: DataFrame, factor: int, means: list[str] = (), modes: list
     return averaged
 
 
+def overview(cells: DataFrame, most: int, means: list[str] = (), modes: list[str] = ()) -> DataFrame:
+    """The overview whose longest side has at most `most` cells; the factor is found from the grid's extent (one row)."""
+    side = max((x or 0) + 1 for x in cells.agg(F.max("r"), F.max("c")).first())
+    return downsample(cells, -(-side // most), means, modes)
+
+
+def corner(cells: DataFrame, side: int = 1000) -> DataFrame:
+    """The first side x side cells, as a sample for a quick look."""
+    return cells.filter((F.col("r") < side) & (F.col("c") < side))
+
+
 def lookup(points: DataFrame, cells: DataFrame, bands: list[str], broadcast_rows: int = 100_000) -> DataFrame:
     """points (r, c, ...) with the bands of their cell, NULL outside.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.functions.columns import ratio
 
+from .ranks import running_totals
+
 
 def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """tp, fp, fn, tn in one row."""
@@ -24,13 +26,14 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def curve(scored: DataFrame) -> DataFrame:
-    """score, tp, fp, p, n: cumulative counts at each distinct score, from the highest down.
+    """score, t, f, tp, fp, p, n: targets and others at each distinct score, and cumulative counts from the highest down.
 
-    Rows are first counted per score; the running sums go over distinct scores only."""
+    Rows are first counted per score; running sums go over distinct scores, by ranges of them."""
     t = F.when(F.col("target") > 0.5, 1).otherwise(0)
     by = scored.groupBy(F.col("pred").alias("score")).agg(F.sum(t).alias("t"), F.sum(1 - t).alias("f"))
-    down, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return by.select("score", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), F.sum("t").over(whole).alias("p"), F.sum("f").over(whole).alias("n"))
+    whole = F.broadcast(by.agg(F.sum("t").alias("p"), F.sum("f").alias("n")))
+    up = running_totals(by, "score", ["t", "f"]).crossJoin(whole)
+    return up.select("score", "t", "f", (F.col("p") - F.col("t_to") + F.col("t")).alias("tp"), (F.col("n") - F.col("f_to") + F.col("f")).alias("fp"), "p", "n")
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
@@ -45,11 +48,9 @@ def pr_points(scored: DataFrame) -> DataFrame:
 
 def areas(scored: DataFrame) -> DataFrame:
     """auc (trapezoids, ties exact; 0 for one class) and ap, the mean precision over steps of recall."""
-    down = Window.orderBy(F.desc("score"))
-    before = lambda x: F.coalesce(F.lag(x).over(down), F.lit(0))
-    steps = curve(scored).select("tp", "fp", "p", "n", before("tp").alias("tp0"), before("fp").alias("fp0"))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0"))) / 2.0
-    ap = F.sum((F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp")))
+    steps = curve(scored)
+    area = F.sum(F.col("f") * (2 * F.col("tp") - F.col("t"))) / 2.0
+    ap = F.sum(F.col("t") * F.col("tp") / (F.col("tp") + F.col("fp")))
     pn = F.max(F.col("p") * F.col("n"))
     return steps.agg(F.coalesce(F.when(pn > 0, area / pn), F.lit(0.0)).alias("auc"), F.coalesce(F.when(F.max("p") > 0, ap / F.max("p")), F.lit(0.0)).alias("ap"))
 

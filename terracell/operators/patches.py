@@ -37,17 +37,33 @@ def summary(patched: DataFrame, k: int, band: str, label: Column) -> DataFrame:
     )
 
 
-def balance(patches: DataFrame, positive: Column, times: int = 2, seed: int = 42) -> DataFrame:
+def balance(patches: DataFrame, positive: Column, times: int = 2, seed: int = 42, need_positive: bool = True) -> DataFrame:
     """All positive patches and at most `times` as many negative ones, those with the smallest hash of (seed, place).
 
-    The bound is found from the hash's order, so that a shuffle sorts only the negatives."""
-    marked = patches.withColumn("_p", positive).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "pr", "pc")))
-    wanted = F.broadcast(marked.agg((F.count_if("_p") * times).alias("_want")))
-    ranked = marked.filter(~F.col("_p")).withColumn("_k", F.row_number().over(Window.orderBy("_h", "pr", "pc")))
-    kept = ranked.crossJoin(wanted).filter(F.col("_k") <= F.col("_want"))
+    Negatives are ranked inside 4096 ranges of the hash, whose counts are broadcast; without any positive patch the job
+    fails, or with `need_positive=False` gives no rows."""
+    marked = patches.withColumn("_p", F.coalesce(positive, F.lit(False))).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "pr", "pc"))).withColumn("_x", F.substring("_h", 1, 3))
+    found = F.count_if("_p")
+    wanted = F.broadcast(marked.agg((F.when(found == 0, F.raise_error(F.lit("no positive patches")).cast("long")).otherwise(found * times) if need_positive else found * times).alias("_want")))
+    negative = marked.filter(~F.col("_p"))
+    before = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
+    ranges = negative.groupBy("_x").agg(F.count(F.lit(1)).alias("_n")).select("_x", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = negative.withColumn("_k", F.row_number().over(Window.partitionBy("_x").orderBy("_h", "pr", "pc")))
+    kept = ranked.join(F.broadcast(ranges), "_x").crossJoin(wanted).filter(F.col("_k") + F.col("_before") <= F.col("_want"))
     return marked.filter("_p").select(patches.columns).unionByName(kept.select(patches.columns))
 
 
+def attention_gate(patched: DataFrame, skip: str, gate: str) -> DataFrame:
+    """patched with `gated`: the skip band weighted by the sigmoid of the gate band (of the same cells)."""
+    return patched.withColumn("gated", F.col(skip) / (1 + F.exp(-F.col(gate))))
+
+
+def pool_max(patched: DataFrame, band: str, k: int = 2) -> DataFrame:
+    """pr, pc, r, c, pooled: the largest value of each k x k block of a patch; r and c count blocks."""
+    at = [F.floor(F.col(x) / k).cast("int").alias(x) for x in ("r", "c")]
+    return patched.groupBy("pr", "pc", *at).agg(F.max(band).alias("pooled"))
+
+
 def split(rows: DataFrame, key: Column, share: float = 0.2, seed: int = 42) -> DataFrame:
     """rows with `part`: 'val' for a share of the keys by hash, else 'train'."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)

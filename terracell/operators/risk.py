@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from terracell.functions import columns as fn
 
-from .stats import percentile, with_stats
+from .ranks import with_percentiles
+from .stats import with_stats
 
 #: Rainfall scenarios and their factors.
 SCENARIO_FACTORS = {100: 0.8, 150: 1.6, 200: 2.6}
@@ -31,7 +32,7 @@ def hydro_composite(cells: DataFrame) -> DataFrame:
 def multi_criteria(cells: DataFrame, exact: bool = True) -> DataFrame:
     """cells (flow, slope, ndwi, dist_built) with `base_risk`: weighted criteria before any rainfall."""
     logged = fn.log_flow(F.col("flow"))
-    s = with_stats(cells, _p99=percentile(F.when(logged > 0, logged), 0.99, exact))
+    s = with_percentiles(cells, exact, _p99=(F.when(logged > 0, logged), 0.99))
     flow = fn.clip(logged / (F.coalesce(F.col("_p99"), F.lit(0.0)) + 1e-6), 0.0, 1.0)
     risk = 0.35 * flow + 0.25 * fn.inverse_slope(F.col("slope")) + 0.20 * fn.ndwi_scale(F.col("ndwi")) + 0.20 * fn.urban_risk(F.col("dist_built"))
     return s.withColumn("base_risk", risk).drop("_p99")
@@ -70,13 +71,14 @@ def alert(prob: DataFrame) -> DataFrame:
     )
 
 
-def at_rainfall(cells: DataFrame, mm: float | Column) -> DataFrame:
+def at_rainfall(cells: DataFrame, mm: float | Column, view: str = "hybrid") -> DataFrame:
     """cells (p100, p150, p200, hydro) with `prob` at a rainfall: interpolated, boosted, and at least the physical risk.
 
-    A column gives each row a rainfall of its own, so that several need one pass."""
+    The view `raw` stops after the boost, and `physics` is the physical risk alone, also off the map.  A column gives each row a rainfall of its own, so that several need one pass."""
     r = F.lit(float(mm)) if isinstance(mm, (int, float)) else mm.cast("double")
     data = fn.hydro_boost(fn.rainfall_interpolation(r, F.col("p100"), F.col("p150"), F.col("p200")), F.col("hydro"), r)
-    return cells.withColumn("prob", fn.hybrid_risk(data, F.col("hydro"), r))
+    views = {"hybrid": fn.hybrid_risk(data, F.col("hydro"), r), "raw": data, "physics": fn.clip(fn.physical_risk(F.col("hydro"), r), 0.0, 1.0)}
+    return cells.withColumn("prob", views[view])
 
 
 def compare_rainfalls(cells: DataFrame, rainfalls: tuple[float, ...] = (50, 100, 150, 200), all_cells: bool = False) -> DataFrame:

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from terracell.functions.columns import clip
 
+from .ranks import with_percentiles
+
 
 def with_stats(cells: DataFrame, **stats: Column) -> DataFrame:
     """cells with whole-table aggregates as columns: one partial aggregation and a broadcast of one row."""
     return cells.crossJoin(F.broadcast(cells.agg(*[c.alias(n) for n, c in stats.items()])))
 
 
-def percentile(x: Column, q: float, exact: bool = True) -> Column:
-    """Linear interpolation between ranks; the approximate form holds bounded memory for bands of many values."""
-    return F.percentile(x, F.lit(q)) if exact else F.percentile_approx(x, F.lit(q), F.lit(100_000)).cast("double")
-
-
 def minmax(cells: DataFrame, band: str, out: str, epsilon: float = 1e-6) -> DataFrame:
     x = F.col(band)
     return with_stats(cells, _mn=F.min(x), _mx=F.max(x)).withColumn(out, (x - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + epsilon)).drop("_mn", "_mx")
@@ -43,11 +40,16 @@ def stored_range(cells: DataFrame, stats: DataFrame, band: str, out: str) -> Dat
     return cells.crossJoin(F.broadcast(own)).withColumn(out, scaled).drop("_mn", "_mx")
 
 
+def robust_bands(cells: DataFrame, bands: dict[str, str], exact: bool = True) -> DataFrame:
+    """Percentiles 1 and 99 of each band (band: name of the result) to 0..1, clipped; missing cells and a band without
+    cells give 0."""
+    wanted = {f"_{end}_{out}": (F.col(b), q) for b, out in bands.items() for end, q in (("lo", 0.01), ("hi", 0.99))}
+    scaled = lambda b, out: clip((F.col(b) - F.col(f"_lo_{out}")) / F.greatest(F.col(f"_hi_{out}") - F.col(f"_lo_{out}"), F.lit(1e-6)), 0.0, 1.0)
+    return with_percentiles(cells, exact, **wanted).select(*cells.columns, *[F.coalesce(scaled(b, out), F.lit(0.0)).alias(out) for b, out in bands.items()])
+
+
 def robust(cells: DataFrame, band: str, out: str, exact: bool = True) -> DataFrame:
-    """Percentiles 1 and 99 to 0..1, clipped; missing cells and a band without cells give 0."""
-    x = F.col(band)
-    scaled = clip((x - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6)), 0.0, 1.0)
-    return with_stats(cells, _lo=percentile(x, 0.01, exact), _hi=percentile(x, 0.99, exact)).withColumn(out, F.coalesce(scaled, F.lit(0.0))).drop("_lo", "_hi")
+    return robust_bands(cells, {band: out}, exact)
 
 
 def histogram(cells: DataFrame, band: str, bins: int = 50) -> DataFrame:

@@ -146,6 +146,14 @@ def overview(spark, sf_dir):
     return align.downsample(grid(spark, sf_dir), 7, ["dem"], ["lulc"]).withColumn("dem", F.round("dem", 6))
 
 
+@query(G + """, f AS (SELECT ceil((greatest(max(r), max(c)) + 1) / 30e0)::INT AS f FROM grid), b AS (SELECT r // f AS r, c // f AS c, dem, lulc FROM grid, f),
+m AS (SELECT r, c, round(avg(dem), 6) AS dem, count(*) AS n_cells FROM b GROUP BY r, c), k AS (SELECT r, c, lulc, count(*) AS n FROM b GROUP BY r, c, lulc), t AS (SELECT r, c, arg_max(lulc, n * 1000 - lulc) AS lulc FROM k GROUP BY r, c)
+SELECT m.r, m.c, dem, n_cells, lulc FROM m JOIN t ON m.r = t.r AND m.c = t.c""")
+def overview_of_side(spark, sf_dir):
+    """An overview of at most 30 cells to a side."""
+    return align.overview(grid(spark, sf_dir), 30, ["dem"], ["lulc"]).withColumn("dem", F.round("dem", 6))
+
+
 @query(G + """, e AS (SELECT max(r) AS h, max(c) AS w FROM grid), s AS (SELECT i AS pr, j AS pc FROM (SELECT unnest(range(0, (SELECT h // 16 + 1 FROM e))) AS i) AS a, (SELECT unnest(range(0, (SELECT w // 16 + 1 FROM e))) AS j) AS b, e WHERE i * 16 + 31 <= h AND j * 16 + 31 <= w)
 SELECT pr::INT AS pr, pc::INT AS pc, count(*) AS n, count(*) FILTER (WHERE lulc = 80) AS positives, max(flow) AS peak, bool_and(flow IS NOT NULL) AS all_valid, count(*) = 1024 AS whole
 FROM s JOIN grid ON r BETWEEN pr * 16 AND pr * 16 + 31 AND c BETWEEN pc * 16 AND pc * 16 + 31 GROUP BY pr, pc""")
@@ -163,7 +171,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5('42|' || pr ||
 SELECT pr, pc, pos FROM k WHERE pos OR k <= 2 * n""")
 def balanced_patches(spark, sf_dir):
     tiles = patches.tiled(grid(spark, sf_dir), 4).groupBy("pr", "pc").agg((F.count_if((F.col("lulc") == 80) & (F.col("ndwi") > 0.5)) > 2).alias("pos"))
-    return patches.balance(tiles, F.col("pos"))
+    return patches.balance(tiles, F.col("pos"), need_positive=False)
+
+
+@query(G + "SELECT r // 32 AS pr, c // 32 AS pc, r // 2 AS r, c // 2 AS c, round(max(flow / (1 + exp(-ndwi))), 9) AS pooled FROM grid GROUP BY 1, 2, 3, 4")
+def gated_pooling(spark, sf_dir):
+    """A gate between two channels of each patch, then pooling."""
+    gated = patches.attention_gate(patches.tiled(grid(spark, sf_dir), 32), "flow", "ndwi")
+    return patches.pool_max(gated, "gated").withColumn("pooled", F.round("pooled", 9))
 
 
 @query("SELECT vec_id, CASE WHEN ('0x' || substr(md5('42|' || vec_id), 1, 8))::BIGINT::DOUBLE / 4294967296e0 < 0.2 THEN 'val' ELSE 'train' END AS part FROM embeddings")

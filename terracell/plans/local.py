@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.functions import columns as fn
-from terracell.operators import stats
+from terracell.operators import ranks, stats
 from terracell.sources.grid import GRID_SQL, PLACES_SQL, grid, places, table
 
 from .catalog import query
@@ -16,7 +16,7 @@ G = f"WITH {GRID_SQL} "
 @query(G + """SELECT r, c, CASE WHEN NOT (flow < 5e0) THEN flow END AS below, CASE WHEN lulc > 10 THEN lulc END AS codes, CASE WHEN ndwi <> 0e0 THEN ndwi END AS sentinel,
   CASE WHEN flow <= 1.5e0 * (SELECT quantile_cont(flow, 0.99) FROM grid) THEN flow END AS outlier FROM grid""")
 def nodata_rules(spark, sf_dir):
-    cells = stats.with_stats(grid(spark, sf_dir), _p=stats.percentile(F.col("flow"), 0.99))
+    cells = ranks.with_percentiles(grid(spark, sf_dir), _p=(F.col("flow"), 0.99))
     f = F.col("flow")
     return cells.select("r", "c", fn.to_null(f, below=5.0).alias("below"), F.when(F.col("lulc") > 10, F.col("lulc")).alias("codes"), fn.to_null(F.col("ndwi"), equals=0.0).alias("sentinel"), F.when(f <= 1.5 * F.col("_p"), f).alias("outlier"))
 
@@ -35,7 +35,7 @@ def normalise_minmax(spark, sf_dir):
 @query(G + """, s AS (SELECT quantile_cont(flow, 0.01) fa, quantile_cont(flow, 0.99) fb, quantile_cont(dem, 0.01) da, quantile_cont(dem, 0.99) db FROM grid)
 SELECT r, c, round(least(greatest((flow - fa) / greatest(fb - fa, 1e-6), 0), 1), 9) AS flow_n, round(CASE WHEN dem IS NULL THEN 0 ELSE least(greatest((dem - da) / greatest(db - da, 1e-6), 0), 1) END, 9) AS dem_n FROM grid, s""")
 def normalise_robust(spark, sf_dir):
-    cells = stats.robust(stats.robust(grid(spark, sf_dir), "flow", "flow_n"), "dem", "dem_n")
+    cells = stats.robust_bands(grid(spark, sf_dir), {"flow": "flow_n", "dem": "dem_n"})
     return cells.select("r", "c", F.round("flow_n", 9).alias("flow_n"), F.round("dem_n", 9).alias("dem_n"))
 
 
@@ -56,7 +56,7 @@ SELECT r, c, (lulc IN (80, 90, 95) OR dem IS NULL OR dem < 0.5) AS water, lulc =
   (cover > 0 AND cover < 100) AS land FROM grid, s""")
 def surface_masks(spark, sf_dir):
     f = F.col("flow")
-    cells = stats.with_stats(grid(spark, sf_dir), _m=F.avg(f), _q=stats.percentile(f, 0.95))
+    cells = stats.with_stats(ranks.with_percentiles(grid(spark, sf_dir), _q=(f, 0.95)), _m=F.avg(f))
     drained = F.when(F.col("_m") < 15, F.exp(f)).otherwise(f) > 1000 / 30
     return cells.select("r", "c", fn.water_mask(F.col("lulc"), F.col("dem")).alias("water"), (F.col("lulc") == 50).alias("urban"), drained.alias("drainage"), (f >= F.col("_q")).alias("channel"), ((F.col("cover") > 0) & (F.col("cover") < 100)).alias("land"))
 
@@ -90,7 +90,7 @@ SELECT r, c, round(least(greatest((slope - a) / (b - a + 1e-6), 0), 1), 9) AS sl
   round(least(greatest(dist_built / 2000e0, 0), 1), 9) AS fixed, round((ln(1 + greatest(flow, 0)) - fa) / (fb - fa + 1e-6), 9) AS logged FROM grid, s""")
 def layer_stretches(spark, sf_dir):
     slope, ndwi, log = F.col("slope"), F.col("ndwi"), fn.log_flow(F.col("flow"))
-    s = stats.with_stats(grid(spark, sf_dir), _a=stats.percentile(slope, 0.02), _b=stats.percentile(slope, 0.98), _m=F.max(F.abs(ndwi)), _fa=F.min(log), _fb=F.max(log))
+    s = stats.with_stats(ranks.with_percentiles(grid(spark, sf_dir), _a=(slope, 0.02), _b=(slope, 0.98)), _m=F.max(F.abs(ndwi)), _fa=F.min(log), _fb=F.max(log))
     return s.select(
         "r", "c", F.round(fn.clip((slope - F.col("_a")) / (F.col("_b") - F.col("_a") + 1e-6), 0.0, 1.0), 9).alias("slope_s"), F.round(fn.clip((ndwi + F.col("_m")) / (2 * F.col("_m") + 1e-6), 0.0, 1.0), 9).alias("symmetric"),
         F.round(fn.clip(F.col("dist_built") / 2000, 0.0, 1.0), 9).alias("fixed"), F.round((log - F.col("_fa")) / (F.col("_fb") - F.col("_fa") + 1e-6), 9).alias("logged"),

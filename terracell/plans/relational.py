@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.functions import columns as fn
-from terracell.operators import align, stats
+from terracell.operators import align, ranks, stats
 from terracell.sources import catalog as layers
 from terracell.sources import scenes, tiles
 from terracell.sources.grid import GRID_SQL, PLACES_SQL, grid, places, table
@@ -48,9 +48,23 @@ def spots_by_mode(spark, sf_dir):
     return found.select("name", F.explode(F.create_map(F.lit("p100"), F.col("p100"), F.lit("p200"), F.col("p200"))).alias("mode", "prob"))
 
 
-@query(None)
+def _series(terms: tuple[float, ...], sign: str, along: str, up: str) -> str:
+    return "".join(f" {sign} ({t!r}::DOUBLE) * {along}({2 * j}e0 * xi) * {up}({2 * j}e0 * eta)" for j, t in enumerate(terms, 1))
+
+
+_SCALE = f"({fn._K0 * fn._RADIUS!r}::DOUBLE)"
+_E = 2 * fn._N**0.5 / (1 + fn._N)
+
+
+@query(f"""WITH {PLACES_SQL}, a AS (SELECT name, sinh(atanh(sin(radians(lat))) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon - 75e0) AS d FROM places),
+b AS (SELECT name, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM a),
+p AS (SELECT name, 500000e0 + {_SCALE} * (eta{_series(fn._ALPHA, "+", "cos", "sinh")}) AS x, {_SCALE} * (xi{_series(fn._ALPHA, "+", "sin", "cosh")}) AS y FROM b),
+i AS (SELECT *, y / {_SCALE} AS xi, (x - 500000e0) / {_SCALE} AS eta FROM p),
+k AS (SELECT *, xi{_series(fn._BETA, "-", "sin", "cosh")} AS v, eta{_series(fn._BETA, "-", "cos", "sinh")} AS u FROM i), c AS (SELECT *, asin(sin(v) / cosh(u)) AS chi FROM k)
+SELECT name, round(x, 3) AS x, round(y, 3) AS y, floor((1139177.0464e0 - y) / 30)::INT AS row, floor((x - 628018.1242e0) / 30)::INT AS col, round(75e0 + degrees(atan2(sinh(u), cos(v))), 9) AS lon,
+  round(degrees(chi{"".join(f" + ({t!r}::DOUBLE) * sin({2 * j}e0 * chi)" for j, t in enumerate(fn._DELTA, 1))}), 9) AS lat FROM c""")
 def places_on_grid(spark, sf_dir):
-    """Named places in UTM metres and back, and their cell of the 30 m grid (tested against the series' own inverse)."""
+    """Named places in UTM metres and back, and their cell of the 30 m grid (also tested against the series' own inverse)."""
     x, y = fn.to_utm(F.col("lon"), F.col("lat"))
     placed = places(spark).withColumn("x", x).withColumn("y", y)
     row, col = fn.cell_of(F.col("x"), F.col("y"), (30.0, 0.0, 628018.1242, 0.0, -30.0, 1139177.0464))
@@ -86,6 +100,43 @@ def layer_fallback(spark, sf_dir):
     return layers.resolved(spark.createDataFrame(_LAYERS, "role string, priority int, path string"))
 
 
+_META = [("flow", "EPSG:32643", "float32"), ("label", "EPSG:32643", "uint8"), ("small", "EPSG:4326", "float32"), ("gone", "EPSG:32643", "int16")]
+
+
+@query(G + """, l AS (SELECT 'flow' AS layer, r, c, CASE WHEN event_type = 'error' THEN 'nan'::DOUBLE ELSE flow END AS value FROM (SELECT *, CASE WHEN lulc = 80 THEN 'error' END AS event_type FROM grid)
+  UNION ALL SELECT 'label', r, c, CASE WHEN lulc = 50 THEN 1e0 ELSE 0e0 END FROM grid UNION ALL SELECT 'small', r, c, dem FROM grid WHERE c < 90),
+s AS (SELECT layer, max(r) + 1 AS height, max(c) + 1 AS width, count(value) AS n_valid, count(*) FILTER (WHERE isnan(value)) AS n_nan, min(value) FILTER (WHERE NOT isnan(value)) AS mn, max(value) FILTER (WHERE NOT isnan(value)) AS mx,
+  count(*) FILTER (WHERE value = 1) AS ones, count(*) FILTER (WHERE value = 0) AS zeros FROM l GROUP BY layer),
+m(layer, crs, dtype) AS (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _META) + """)
+SELECT m.*, s.height, s.width, s.height IS NOT DISTINCT FROM f.height AND s.width IS NOT DISTINCT FROM f.width AS same_shape, crs = 'EPSG:32643' AS same_crs, coalesce(s.n_valid, 0) AS n_valid, coalesce(s.n_nan, 0) AS n_nan, s.mn, s.mx,
+  coalesce(s.ones > 0 AND s.zeros > 0 AND s.ones + s.zeros = s.n_valid, false) AS is_binary, CASE WHEN s.ones > 0 AND s.zeros > 0 AND s.ones + s.zeros = s.n_valid THEN s.ones / s.n_valid END AS share_of_ones
+FROM m LEFT JOIN s ON m.layer = s.layer, s f WHERE f.layer = 'flow'""")
+def layer_check(spark, sf_dir):
+    """Shapes, reference systems and values of layers against the first one."""
+    g = grid(spark, sf_dir)
+    flow = F.when(F.col("lulc") == 80, F.lit(float("nan"))).otherwise(F.col("flow"))
+    cells = g.select(F.lit("flow").alias("layer"), "r", "c", flow.alias("value"))
+    cells = cells.unionByName(g.select(F.lit("label").alias("layer"), "r", "c", F.when(F.col("lulc") == 50, 1.0).otherwise(0.0).alias("value")))
+    cells = cells.unionByName(g.filter("c < 90").select(F.lit("small").alias("layer"), "r", "c", F.col("dem").alias("value")))
+    return layers.check(cells, spark.createDataFrame(_META, "layer string, crs string, dtype string"), "flow")
+
+
+@query("SELECT n_nationkey::INT AS feature, n_name AS name, 0 AS ring, k::INT AS point, n_nationkey + (CASE k WHEN 1 THEN 1e0 WHEN 2 THEN 1e0 ELSE 0e0 END) AS lon, n_regionkey + (CASE WHEN k = 2 THEN 1e0 ELSE 0e0 END) AS lat FROM nation, range(0, 4) AS p(k) WHERE n_name = 'FRANCE'")
+def geometry_by_name(spark, sf_dir):
+    """The outline of one named place of a feature collection."""
+    x, y = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    outline = F.array(F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 1, y + 1), F.array(x, y)))
+    f = F.struct(F.create_map(F.lit("name"), F.col("n_name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), outline.alias("coordinates")).alias("geometry"))
+    return layers.named(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("feature"), f.alias("f")), "FRANCE")
+
+
+@query(G + " SELECT band, count(*) AS n, round(sum(value), 6) AS total FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS band, {b} AS value FROM grid" for b in ("flow", "slope", "dem", "ndwi")) + ") WHERE value IS NOT NULL GROUP BY band")
+def band_export(spark, sf_dir):
+    """What an export of single bands holds."""
+    long = tiles.unpivoted(grid(spark, sf_dir), ["flow", "slope", "dem", "ndwi"])
+    return long.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
 @query(G + ", m AS (SELECT event_id // 100 AS r, event_id % 100 AS c, user_id % 100 / 1e2 AS value FROM events WHERE event_id % 3 <> 0) SELECT r::INT AS r, c::INT AS c, coalesce(m.value, 0) AS channel FROM grid LEFT JOIN m USING (r, c)")
 def missing_channel(spark, sf_dir):
     i = F.col("event_id")
@@ -104,8 +155,9 @@ def raster_profile(spark, sf_dir):
 @query(G + "SELECT q, round(quantile_cont(flow, q), 9) AS value FROM grid, (VALUES (0.01), (0.02), (0.05), (0.95), (0.98), (0.99)) AS p(q) GROUP BY q".replace("quantile_cont(flow, q)", "CASE q " + " ".join(f"WHEN {q} THEN quantile_cont(flow, {q})" for q in (0.01, 0.02, 0.05, 0.95, 0.98, 0.99)) + " END").replace("SELECT q,", "SELECT q::DOUBLE AS q,"))
 def percentiles(spark, sf_dir):
     qs = [0.01, 0.02, 0.05, 0.95, 0.98, 0.99]
-    found = grid(spark, sf_dir).agg(F.percentile("flow", F.array(*[F.lit(q) for q in qs])).alias("v"))
-    return found.select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("k") + 1).alias("q"), F.round("value", 9).alias("value"))
+    row = ranks.percentile_row(grid(spark, sf_dir), {"flow": F.col("flow")}, {f"p{k}": ("flow", q) for k, q in enumerate(qs)})
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.round(f"p{k}", 9).alias("value")) for k, q in enumerate(qs)]))
+    return row.select(each.alias("v")).select("v.*")
 
 
 @query("SELECT (ts::DATE - DATE '1970-01-01')::INT % 5 AS r, (user_id % 50)::INT AS c, round(quantile_cont(value, 0.5), 9) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1, 2")

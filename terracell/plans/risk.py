@@ -82,6 +82,18 @@ def risk_at_rainfall(spark, sf_dir):
     return risk.at_rainfall(each, F.col("mm")).select("mm", "r", "c", F.round("prob", 9).alias("prob"))
 
 
+_BOOSTED = "least(greatest(p + hydro * least({mm}e0 / 200, 1) * 0.2e0, 0), 1)"
+
+
+@query(f"""WITH {HYDRO_SQL} SELECT 'raw' AS view, r, c, round({_BOOSTED.format(mm=180)}, 9) AS prob FROM (SELECT r, c, hydro, {_P[180]} AS p FROM hyd)
+UNION ALL SELECT 'physics' AS view, r, c, round(least(greatest(coalesce(hydro, 0) * (180e0 / 200) * 1.2e0, 0), 1), 9) AS prob FROM hyd""")
+def risk_views(spark, sf_dir):
+    """What the maps say alone, and what the terrain says alone, at 180 mm."""
+    cells = hydro_cells(spark, sf_dir)
+    each = [risk.at_rainfall(cells, 180, v).select(F.lit(v).alias("view"), "r", "c", F.round("prob", 9).alias("prob")) for v in ("raw", "physics")]
+    return each[0].unionByName(each[1])
+
+
 @query(f"""WITH {HYDRO_SQL}, a AS (SELECT {AT_SQL.format(mm=150)} AS prob FROM (SELECT r, c, hydro, p150 AS p FROM hyd)),
 n AS (SELECT count(*) AS n, count(*) FILTER (WHERE prob >= 0.45) AS critical_cells, count(*) FILTER (WHERE prob >= 0.25) AS high_cells FROM a WHERE prob IS NOT NULL),
 k AS (SELECT *, 100e0 * critical_cells / n AS critical_pct, 100e0 * high_cells / n AS high_pct, critical_cells * (3068e0 / n) AS critical_km2 FROM n)

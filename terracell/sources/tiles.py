@@ -18,6 +18,22 @@ def write_tiles(cells: DataFrame, path: str, side: int = 1024, compression: str
     ordered.write.option("compression", compression).partitionBy("tile_r", "tile_c").parquet(path)
 
 
+def unpivoted(cells: DataFrame, bands: list[str]) -> DataFrame:
+    """band, r, c, value: one row for each band of a cell that has a value there."""
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands]))
+    return cells.select("r", "c", each.alias("v")).select("v.band", "r", "c", "v.value").filter("value IS NOT NULL")
+
+
+def write_bands(cells: DataFrame, path: str, bands: list[str]) -> None:
+    """A folder of Parquet for each band, by ranges of rows, so that one band is read alone."""
+    unpivoted(cells, bands).repartitionByRange("band", "r").write.partitionBy("band").parquet(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Small results (metrics, statistics) as JSON lines in one file."""
+    rows.coalesce(1).write.json(path)
+
+
 def read_window(spark: SparkSession, path: str, rows: tuple[int, int], cols: tuple[int, int], side: int = 1024) -> DataFrame:
     """Cells with rows[0] <= r < rows[1] and cols[0] <= c < cols[1]."""
     own = lambda x, span: (F.col(f"tile_{x}").between(span[0] // side, (span[1] - 1) // side)) & (F.col(x) >= span[0]) & (F.col(x) < span[1])

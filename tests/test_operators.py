@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terracell.functions import columns as fn
-from terracell.operators import align, focal, metrics, patches, risk, stats
+from terracell.operators import align, focal, metrics, patches, ranks, risk, stats
 
 
 def cells(spark, band, name="x"):
@@ -150,3 +150,24 @@ def test_hybrid_is_never_below_the_map(spark):
         a, b, c = [r["prob"] for r in risk.at_rainfall(df, mm).collect()]
         plain = [r[0] for r in df.select(fn.rainfall_interpolation(F.lit(float(mm)), F.col("p100"), F.col("p150"), F.col("p200"))).collect()]
         assert plain[0] <= a <= 1 and plain[1] <= b <= 1 and c is None
+
+
+def test_running_totals_and_percentiles_over_many_ranges(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.round(rng.normal(size=900), 2), np.full(300, 0.5)])  # one value in a quarter of the rows
+    df = spark.createDataFrame([(float(v), "a") for v in x] + [(7.0, "b"), (None, "b")], "x double, band string")
+    counted = df.filter("x IS NOT NULL").groupBy("band", "x").agg(F.count(F.lit(1)).alias("n"))
+    for row in ranks.running_totals(counted, "x", ["n"], by=("band",), buckets=16).collect():
+        assert row["n_to"] == ((x <= row["x"]).sum() if row["band"] == "a" else 1)
+    a, b, none = F.when(F.col("band") == "a", F.col("x")), F.when(F.col("band") == "b", F.col("x")), F.lit(None).cast("double")
+    wanted = {"lo": ("a", 0.013), "mid": ("a", 0.5), "hi": ("a", 1.0), "one": ("b", 0.9), "gone": ("none", 0.5)}
+    got = ranks.percentile_row(df, {"a": a, "b": b, "none": none}, wanted).first()
+    assert np.allclose([got["lo"], got["mid"], got["hi"]], np.quantile(x, [0.013, 0.5, 1.0])) and got["one"] == 7.0 and got["gone"] is None
+    assert ranks.running_totals(counted.filter("n < 0"), "x", ["n"]).count() == 0
+
+
+def test_balance_needs_a_positive_patch(spark):
+    tiles = spark.createDataFrame([(k, 0, False) for k in range(5)], "pr int, pc int, pos boolean")
+    assert patches.balance(tiles, F.col("pos"), need_positive=False).count() == 0
+    with pytest.raises(Exception, match="no positive patches"):
+        patches.balance(tiles, F.col("pos")).collect()

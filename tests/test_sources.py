@@ -30,6 +30,24 @@ def test_small_formats(spark, tmp_path):
         catalog.require(layers, ["dem", "slope"])
 
 
+def test_named_geometry_scan_and_bands(spark, tmp_path):
+    ring = "[[[1, 2], [3, 4], [5, 0], [1, 2]]]"
+    one = lambda n: f'{{"properties": {{"name": "{n}", "code": 7}}, "geometry": {{"type": "Polygon", "coordinates": {ring}}}}}'
+    (tmp_path / "a.geojson").write_text(f'{{"type": "FeatureCollection", "features": [{one("north")}, {one("south")}]}}')
+    found = catalog.polygon_by_name(spark, f"file://{tmp_path}/a.geojson", "south").orderBy("point").collect()
+    assert [(x["feature"], x["name"], x["lon"], x["lat"]) for x in found] == [(1, "south", 1, 2), (1, "south", 3, 4), (1, "south", 5, 0), (1, "south", 1, 2)]
+    assert catalog.polygon_by_name(spark, f"file://{tmp_path}/a.geojson", "west").count() == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.tif").write_bytes(b"12345")
+    assert [(x["name"], x["bytes"]) for x in catalog.scan(spark, f"file://{tmp_path}").collect()] == [("x.tif", 5)]
+    cells = grid(spark, SF)
+    tiles.write_bands(cells, f"file://{tmp_path}/bands", ["dem", "flow"])
+    one_band = spark.read.parquet(f"file://{tmp_path}/bands").filter("band = 'dem'")
+    assert one_band.count() == cells.filter("dem IS NOT NULL").count()
+    tiles.write_report(spark.createDataFrame([("f1", 0.5)], "metric string, value double"), f"file://{tmp_path}/report")
+    assert tuple(spark.read.json(f"file://{tmp_path}/report").select("metric", "value").first()) == ("f1", 0.5)
+
+
 def test_sinks(spark, tmp_path):
     colours = spark.createDataFrame([(0, 0, 1, 2, 3, 200), (1, 2, 4, 5, 6, 0)], "row int, col int, r int, g int, b int, a int")
     assert tiles.overlay_png(colours)[:8] == b"\x89PNG\r\n\x1a\n"
