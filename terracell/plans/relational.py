@@ -121,13 +121,13 @@ def layer_check(spark, sf_dir):
     return layers.check(cells, spark.createDataFrame(_META, "layer string, crs string, dtype string"), "flow")
 
 
-@query("SELECT n_nationkey::INT AS feature, n_name AS name, 0 AS ring, k::INT AS point, n_nationkey + (CASE k WHEN 1 THEN 1e0 WHEN 2 THEN 1e0 ELSE 0e0 END) AS lon, n_regionkey + (CASE WHEN k = 2 THEN 1e0 ELSE 0e0 END) AS lat FROM nation, range(0, 4) AS p(k) WHERE n_name = 'FRANCE'")
+@query("SELECT n_nationkey::INT AS feature, n_name AS name, 0 AS ring, k::INT AS point, n_nationkey + (CASE k WHEN 1 THEN 1e0 WHEN 2 THEN 1e0 ELSE 0e0 END) AS lon, n_regionkey + (CASE WHEN k = 2 THEN 1e0 ELSE 0e0 END) AS lat FROM nation, range(0, 4) AS p(k) WHERE n_name = 'NATION_6'")
 def geometry_by_name(spark, sf_dir):
     """The outline of one named place of a feature collection."""
     x, y = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
     outline = F.array(F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 1, y + 1), F.array(x, y)))
     f = F.struct(F.create_map(F.lit("name"), F.col("n_name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), outline.alias("coordinates")).alias("geometry"))
-    return layers.named(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("feature"), f.alias("f")), "FRANCE")
+    return layers.named(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("feature"), f.alias("f")), "NATION_6")
 
 
 @query(G + " SELECT band, count(*) AS n, round(sum(value), 6) AS total FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS band, {b} AS value FROM grid" for b in ("flow", "slope", "dem", "ndwi")) + ") WHERE value IS NOT NULL GROUP BY band")
