@@ -66,30 +66,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.spaces_count = self.tokenizer.model, spaces_count
         self.visible = {chr(b): c for b, c in _visible_bytes().items()}
-        self.piece_ids: dict[str, list[int]] = {}
+        self.piece_ids: dict[str, bytes] = {}  # ids of four bytes each, a third of the memory of lists
         self.number = _Numbers(self._learn)
         self.ids, self.start, self.length = array("i"), array("q"), array("q")
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _of_piece(self, piece: str) -> list[int]:
+    def _of_piece(self, piece: str) -> bytes:
         ids = self.piece_ids.get(piece)
         if ids is None:
             shown = piece.replace(" ", self.visible[" "]) if _GRAPHIC.fullmatch(piece) else "".join(map(self.visible.__getitem__, piece.encode().decode("latin-1")))
-            ids = [t.id for t in self.model.tokenize(shown)]
+            ids = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.piece_ids) < KEPT:
                 self.piece_ids[piece] = ids
         return ids
 
-    def stretch(self, text: str) -> list[int]:
+    def stretch(self, text: str) -> list[int] | array:
         plain, pieces = (_PLAIN_SPACED, _PIECES_SPACED) if self.spaces_count else (_PLAIN, _PIECES)
         if not plain.fullmatch(text) or "<|" in text:
             return self.whole(text)
-        out: list[int] = []
-        for piece in pieces.findall(text if self.spaces_count else text.lower()):
-            out += self._of_piece(piece)
-        return out
+        return array("i", b"".join(map(self._of_piece, pieces.findall(text if self.spaces_count else text.lower()))))
 
     def _learn(self, key: bytes | str) -> int:
         ids, k = self.stretch(" " + key if self.spaces_count else key.decode()), len(self.start)
@@ -101,7 +98,7 @@ class Encoder:
         return k
 
     def encode(self, text: str) -> np.ndarray:
-        first: list[int] = []
+        first: list[int] | array = []
         if self.spaces_count:
             if _ODD_SPACE.search(text):
                 return np.array(self.whole(text), np.int32)
