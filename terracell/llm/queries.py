@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii
+from . import conversations, mixing, pii, spelling
 from .common import documents, table
 from .exact_dedup import exact_dedup
 from .media import media_digests
@@ -15,6 +15,7 @@ from .secret_scan import secret_spans, span_digests
 from .substring_dedup import substring_dedup
 from .token_files import token_file_digests
 from .tokens import vocabulary
+from .toxicity import toxicity_digests
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digests(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -139,6 +152,8 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": OP2_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_mix_sources": mixing.ORACLE_SQL,
+        "op12_conversation_repair": conversations.ORACLE_SQL,
+        "op13_spelling_variants": spelling.ORACLE_SQL,
         "pii_base_spans": PII_BASE_SQL,
         "secret_base_spans": SECRET_BASE_SQL,
     }
