@@ -7,10 +7,10 @@ reaches each sentence as p (1 - y / P), so that the sentences that explain a lab
 sentence scores name the offending sentences.
 
 Training uses at most `max_rows` labelled rows (a documented bound: those with the smallest hash of their id), turned
-into slots before anything is written.  In every round each partition of the written features runs one pass of
-adaptive gradient steps from the shared weights; the moves of a slot are averaged over the partitions that moved it.
-What reaches the driver are the moved slots, at most 2^18 for each partition of the bounded sample.  Scoring reads every
-whole text.
+into slots before anything is written.  Slots whose presence in a document says nothing about its label (a likelihood
+ratio below `least`) get no weight, or rare words would learn the labels by heart.  The others are trained by adaptive
+gradient steps: in each round every partition of the written features adds up its gradient, and the driver adds those
+vectors, of at most 2^18 numbers for each of a few partitions.  Scoring reads every whole text.
 
 Null and empty texts, and texts without words, hold no sentence: their score is 0.  Rows without a label, or whose
 document is missing, do not train; repeated labels train repeatedly.  Without any training row every score is 0.  An empty
@@ -96,20 +96,18 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-_softplus(logits).sum()))
 
 
-def train_pass(rows: list[tuple[int, np.ndarray, np.ndarray]], weights: np.ndarray, seen: np.ndarray, rate: float = 0.5) -> None:
-    """One pass of adaptive gradient steps over rows (label, sentence, slots), in place; seen: sums of squared gradients."""
-    for y, sentence, slots in rows:
-        if not len(sentence):
+def gradient(rows: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Gradient of the summed negative log-likelihood by weights and bias; rows (label, sentences, and for each feature its
+    sentence and its place in weights)."""
+    out = np.zeros(len(weights) + 1)
+    for y, n, sentence, at in rows:
+        if not n:
             continue
-        z = sentence_logits(sentence, slots, weights)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        own = p * (1 - y / max(noisy_or(z), 1e-12))
-        at, back = np.unique(slots, return_inverse=True)
-        g = np.bincount(back.ravel(), np.repeat(own[sentence], 3))
-        at, g = np.append(at, SLOTS + 1), np.append(g, own.sum())
-        g[at == SLOTS] = 0.0
-        seen[at] += g * g
-        weights[at] -= rate * g / (1 + np.sqrt(seen[at]))
+        z = bias + np.bincount(sentence, weights[at], minlength=n)
+        own = 1 / (1 + np.exp(-np.clip(z, -30, 30))) * (1 - y / max(noisy_or(z), 1e-12))
+        np.add.at(out, at, own[sentence])
+        out[-1] += own.sum()
+    return out
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,44 +118,75 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, rounds: int = 6, partitions: int = 8, label_col: str = "toxic") -> np.ndarray | None:
+def _informative(bags: DataFrame, least: float) -> np.ndarray:
+    """Slots whose presence in a bag and whose absence tell its label, by the likelihood ratio statistic."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, SLOTS + 1), np.int64)  # the last one counts bags
+        for b in batches:
+            for y, x in zip(b.column("y").to_pylist(), b.column("slots").to_pylist()):
+                seen[int(y > 0), np.append(np.unique(np.frombuffer(x, np.int32)), SLOTS)] += 1
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "good": seen[0, at], "bad": seen[1, at]})
+
+    counted = bags.select("y", "slots").mapInArrow(count, "slot int, good long, bad long").groupBy("slot").agg(F.sum("good").cast("double").alias("good"), F.sum("bad").cast("double").alias("bad"))
+    whole = counted.filter(F.col("slot") == SLOTS).select(F.col("good").alias("all_good"), F.col("bad").alias("all_bad"))
+    has, n = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
+    term = lambda seen, of, share: F.when(seen > 0, seen * F.ln(seen * n / (of * share))).otherwise(0.0)
+    cells = [term(F.col(k), F.col(f"all_{k}"), has) + term(F.col(f"all_{k}") - F.col(k), F.col(f"all_{k}"), n - has) for k in ("good", "bad")]
+    told = counted.filter(F.col("slot") < SLOTS).crossJoin(F.broadcast(whole)).filter(2 * (cells[0] + cells[1]) >= least)
+    return np.sort(told.select("slot").toPandas()["slot"].to_numpy(np.int64))  # at most 2^18
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, rounds: int = 30, partitions: int = 8, least: float = 12.0, rate: float = 1.0, l2: float = 0.05, label_col: str = "toxic") -> np.ndarray | None:
     """Weights learnt from labels (doc_id, label_col in 0/1); None without labelled rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)  # bounded, so it may be broadcast
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     features = rows.mapInArrow(_feature_batches, "doc_id long, y int, sentence binary, slots binary")
-    table = Written(features.repartition(partitions, F.xxhash64("doc_id", F.lit(7))), "bags")
-    weights, seen, spark = np.zeros(SLOTS + 2), np.zeros(SLOTS + 2), docs.sparkSession
-    weights[SLOTS + 1] = FIRST_BIAS
-    trained = False
+    bags = Written(features.repartition(partitions, F.xxhash64("doc_id", F.lit(7))), "bags")
+    if bags.df.isEmpty():
+        bags.drop()
+        return None
+    kept = _informative(bags.df, least)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for y, s, x in zip(*(b.column(k).to_pylist() for k in ("y", "sentence", "slots"))):
+                sentence, x = np.frombuffer(s, np.int32), np.frombuffer(x, np.int32).reshape(-1, 3)
+                at = np.searchsorted(kept, x)
+                has = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == x) if len(kept) else np.zeros(x.shape, bool)
+                own = np.repeat(sentence, 3).reshape(-1, 3)[has]
+                out.append({"y": y, "n": int(sentence[-1]) + 1 if len(sentence) else 0, "sentence": own.astype(np.int32).tobytes(), "at": at[has].astype(np.int32).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("n", pa.int32()), ("sentence", pa.binary()), ("at", pa.binary())]))
+
+    few = Written(bags.df.mapInArrow(narrow, "y int, n int, sentence binary, at binary"), "kept")
+    bags.drop()
+    weights, bias, seen = np.zeros(len(kept)), FIRST_BIAS, np.zeros(len(kept) + 1)
     for _ in range(rounds):
-        start = spark.sparkContext.broadcast((weights.astype(np.float32), seen.astype(np.float32)))  # 2^18 + 2 pairs at any size
-
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [(i, y, np.frombuffer(s, np.int32), np.frombuffer(x, np.int32).reshape(-1, 3)) for b in batches for i, y, s, x in zip(*(b.column(k).to_pylist() for k in range(4)))]
-            if not rows:
-                return
-            rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[1]))
-            w, n = (x.astype(np.float64) for x in start.value)
-            train_pass([r[1:] for r in rows], w, n)
-            at = np.flatnonzero(n != start.value[1])
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "move": pa.array(w[at] - start.value[0][at], pa.float64()), "more": pa.array(n[at] - start.value[1][at], pa.float64())})
-
-        moved = table.df.mapInArrow(fit, "slot int, move double, more double").groupBy("slot").agg(F.avg("move").alias("move"), F.sum("more").alias("more")).toPandas()
-        start.destroy()
-        at = moved["slot"].to_numpy()
-        weights[at] += moved["move"].to_numpy()
-        seen[at] += moved["more"].to_numpy()
-        trained |= len(at) > 0
-    table.drop()
-    return weights.astype(np.float32) if trained else None
+
+        def add_up(batches: Iterator[pa.RecordBatch], weights=weights, bias=bias) -> Iterator[pa.RecordBatch]:
+            rows = ((y, n, np.frombuffer(s, np.int32), np.frombuffer(x, np.int32)) for b in batches for y, n, s, x in zip(*(b.column(k).to_pylist() for k in range(4))))
+            yield pa.RecordBatch.from_pydict({"g": [gradient(rows, weights, bias).tobytes()]})
+
+        parts = few.df.mapInArrow(add_up, "g binary").collect()
+        g = np.sum([np.frombuffer(r["g"]) for r in parts], axis=0) + l2 * np.append(weights, 0.0)
+        seen += g * g
+        step = rate * g / (1e-3 + np.sqrt(seen))
+        weights, bias = weights - step[:-1], bias - float(step[-1])
+    few.drop()
+    out = np.zeros(SLOTS + 2, np.float32)
+    out[kept], out[SLOTS + 1] = weights, bias
+    return out
 
 
 def judge(text: str, weights: np.ndarray, threshold: float = THRESHOLD) -> tuple[float, list[tuple[int, int, float]]]:
-    """The score of a text and, if it reaches the threshold, its offending sentences as (start, end, probability)."""
+    """The score of a text and, if it reaches the threshold, its offending sentences as (start, end, probability): those
+    that are probably toxic, and the likeliest one in any case."""
     z = sentence_logits(*bag(text), weights)
     score = noisy_or(z)
-    if score < threshold:
+    if score < threshold or not len(z):
         return score, []
     spans, start, end = [], None, 0
     for m in _TOKEN.finditer(text):
@@ -169,7 +198,7 @@ def judge(text: str, weights: np.ndarray, threshold: float = THRESHOLD) -> tuple
     if start is not None:
         spans.append((start, end))
     p = 1 / (1 + np.exp(-z))
-    return score, [(s, e, float(q)) for (s, e), q in zip(spans, p) if q >= OFFENDING]
+    return score, [(s, e, float(q)) for (s, e), q in zip(spans, p) if q >= min(OFFENDING, p.max())]
 
 
 _JUDGED = "struct<score: double, offending: array<struct<start: int, end: int, p: double>>>"
