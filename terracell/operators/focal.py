@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import layers as tiles
 from .align import resample_bilinear
 
+#: Cells of the rows that a distance pass takes at once.
+BAND = 1 << 18
+
 
 def box_mean(cells: DataFrame, bands: dict[str, Column], size: int) -> DataFrame:
     """cells with the mean of each band over size x size cells, NULLs left out, edges mirrored (the edge cell twice).
@@ -50,33 +56,96 @@ def lee_filter(cells: DataFrame, band: str, size: int = 5) -> DataFrame:
     return local.withColumn("lee", F.col("_m") + w * (x - F.col("_m"))).drop("_m", "_m2", "_noise")
 
 
-def _nearest_in_row(g: list[int], at: list[int], x: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each place x of a row, the index of the source (at column at[i], g[i] squared rows away) that is nearest.
-
-    The sources are parabolas g + (x - at)^2, and their lower envelope is built from left to right, each source entering
-    and leaving it once: linear in the row's width.  Bounds that fall on a place keep both sides, so that of equal
-    distances the source of the smallest rank is taken."""
-    heads, bounds = [0], [-np.inf]
-    for i in range(1, len(at)):
-        while True:
-            j = heads[-1]
-            s = (g[i] + at[i] * at[i] - g[j] - at[j] * at[j]) / (2 * (at[i] - at[j]))
-            if s >= bounds[-1]:
-                break
-            heads.pop()
-            bounds.pop()
-        heads.append(i)
-        bounds.append(s)
-    kept, ends = np.array(heads), np.array(bounds[1:])
-    first, last = np.searchsorted(ends, x, "left"), np.searchsorted(ends, x, "right")
-    place, height = np.array(at, float), np.array(g, float)
-    cost = lambda i: height[i] + (x - place[i]) ** 2
-    best = kept[first]
-    for step in range(1, int((last - first).max()) + 1):
-        other = kept[np.minimum(first + step, last)]
-        better = (cost(other) < cost(best)) | ((cost(other) == cost(best)) & (rank[other] < rank[best]))
-        best = np.where(better, other, best)
-    return best
+#: For each direction of the largest gradient, its two sides as offsets of 3 x 3 means, and as a plane of
+#: which each side is one half, where (row, column) . plane <= 0 or >= 0.
+SIDES = [((0, -2), (0, 2), (0, 1)), ((-2, -2), (2, 2), (1, 1)), ((-2, 0), (2, 0), (1, 0)), ((-2, 2), (2, -2), (1, -1))]
+
+
+def _shifted(x: np.ndarray, i: int, j: int) -> np.ndarray:
+    """x at (row + i, column + j), NaN beyond the edge."""
+    rows, cols = x.shape
+    h = max(abs(i), abs(j), 1)
+    return np.pad(x, h, constant_values=np.nan)[h + i : h + i + rows, h + j : h + j + cols]
+
+
+def _window_stats(x: np.ndarray, offsets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population variance over the cells at the offsets, NaN left out."""
+    n, s, q = (np.zeros(x.shape) for _ in range(3))
+    for i, j in offsets:
+        v = _shifted(x, i, j)
+        has = ~np.isnan(v)
+        v = np.where(has, v, 0.0)
+        n, s, q = n + has, s + v, q + v * v
+    mean = np.where(n > 0, s / np.maximum(n, 1), np.nan)
+    return mean, np.maximum(q / np.maximum(n, 1) - np.nan_to_num(mean) ** 2, 0)
+
+
+def refined_lee_of(x: np.ndarray, looks: float) -> np.ndarray:
+    """The filter on one array with NaN for missing cells."""
+    x = np.pad(x, 3, constant_values=np.nan)  # 3 x 3 means around places beyond the edge still see its cells
+    mean, _ = _window_stats(x, [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    m = {(i, j): np.where(np.isnan(_shifted(mean, i, j)), mean, _shifted(mean, i, j)) for i in (-2, 0, 2) for j in (-2, 0, 2)}
+    gradient, side = [], []
+    for one, other, plane in SIDES:
+        part = lambda sign: sum(v for (i, j), v in m.items() if sign * (i * plane[0] + j * plane[1]) > 0)
+        gradient.append(np.abs(part(-1) - part(1)))
+        side.append(np.abs(m[other] - m[0, 0]) < np.abs(m[one] - m[0, 0]))
+    direction = np.argmax(np.nan_to_num(np.stack(gradient), nan=-1.0), axis=0)
+    out = np.full(x.shape, np.nan)
+    window = [(i, j) for i in range(-3, 4) for j in range(-3, 4)]
+    for k, (_, _, plane) in enumerate(SIDES):
+        for s, sign in enumerate((1, -1)):
+            mean, var = _window_stats(x, [(i, j) for i, j in window if sign * (i * plane[0] + j * plane[1]) <= 0])
+            own = (direction == k) & (side[k] == bool(s))
+            signal = np.maximum(var - mean * mean / looks, 0) / (1 + 1 / looks)
+            weight = np.where(var > 1e-12, signal / np.maximum(var, 1e-12), 0.0)
+            out = np.where(own, mean + weight * (x - mean), out)
+    return np.where(np.isnan(x), np.nan, out)[3:-3, 3:-3]
+
+
+def refined_lee(cells: DataFrame, band: str, looks: float = 4.0, tile: int = 256) -> DataFrame:
+    """r, c, lee: speckle filter over 7 x 7 cells along edges.
+
+    Means of 3 x 3 cells, two cells apart, give the direction of the largest gradient and the side that is more like the
+    middle; mean and variance come from that half of the window, and multiplicative noise of `looks` looks decides how much
+    of a cell's own value stays.  Missing cells, and those beyond the edge, have no weight; a missing cell stays missing.
+    Tiles carry a halo of three cells, so that every cell sees its whole window in one tile."""
+    halo, step = 3, tile
+    side = tile + 2 * halo
+    scored = tiles.over_tiles(cells.select("r", "c", F.col(band).cast("double").alias(band)), [band], lambda x: refined_lee_of(x[0], looks), side, step, missing=np.nan)
+    owner = lambda at: F.greatest(F.lit(0), F.floor((F.col(at) - halo) / step))
+    own = scored.filter((F.col("pr") == owner("r")) & (F.col("pc") == owner("c")))
+    return own.select("r", "c", F.when(~F.isnan("score"), F.col("score")).alias("lee"))
+
+
+def _nearest_in_rows(row_of: np.ndarray, x: np.ndarray, first: np.ndarray, past: np.ndarray, at: np.ndarray, g: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each place (row number row_of, column x, sorted by both) the index of the source of its row that is nearest.
+
+    The sources first[k] .. past[k] - 1 of row k are parabolas g + (x - at)^2 with growing at.  The best source of a place
+    moves right with it, whatever is chosen among equals.  So the middle place of every stretch of every row is judged
+    first, by all sources that its stretch may use, and halves the stretch and its sources: all rows at once, a number of
+    passes that grows with the logarithm of the width, and about one look at each source in a pass.  Of equal distances the
+    source of the smallest rank is taken; a row without sources gives -1."""
+    out = np.full(len(x), -1, np.int64)
+    cuts = np.flatnonzero(np.diff(row_of, prepend=-1))
+    lo, hi, row = cuts, np.append(cuts[1:], len(x)) - 1, row_of[cuts]
+    a, b = first[row], past[row] - 1
+    while True:
+        live = (lo <= hi) & (a <= b)
+        lo, hi, a, b = lo[live], hi[live], a[live], b[live]
+        if not len(lo):
+            return out
+        middle = (lo + hi) // 2
+        width = b - a + 1
+        starts = np.cumsum(width) - width
+        source = np.arange(width.sum()) - np.repeat(starts - a, width)
+        cost = g[source] + (np.repeat(x[middle], width) - at[source]) ** 2
+        least = np.minimum.reduceat(cost, starts)
+        place = np.where(cost == np.repeat(least, width), rank[source], np.iinfo(np.int64).max)
+        best = np.minimum.reduceat(place, starts)
+        chosen = source[np.flatnonzero(place == np.repeat(best, width))]
+        out[middle] = chosen
+        lo, hi, a, b = np.concatenate([lo, middle + 1]), np.concatenate([middle - 1, hi]), np.concatenate([a, chosen]), np.concatenate([chosen, b])
 
 
 def nearest_features(cells: DataFrame, layers: dict[str, Column], carry: str | None = None, cell: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -84,8 +153,9 @@ def nearest_features(cells: DataFrame, layers: dict[str, Column], carry: str | N
     {layer}_carried: the nearest cell that is a feature of the layer, and the carried band there.
 
     Exact and separable, all layers in one pass.  Pass 1, windows over columns: the nearest feature above and below in
-    the cell's own column.  Pass 2, one group for each row: the lower envelope of the row's columns, linear in its width.
-    Of equal distances the smallest (row, column) counts; without any feature all is NULL.
+    the cell's own column.  Pass 2, over the whole rows of a partition, in bands of about BAND cells: the nearest of a
+    row's columns, all rows of a band at once.  Of equal distances the smallest (row, column) counts; without any feature
+    all is NULL.
     """
     up, down = Window.partitionBy("c").orderBy("r"), Window.partitionBy("c").orderBy(F.desc("r"))
     carried = F.col(carry).cast("double") if carry else F.lit(0.0)
@@ -101,28 +171,48 @@ def nearest_features(cells: DataFrame, layers: dict[str, Column], carry: str | N
     both = near.select("r", "c", *keep, *[first(n).alias(n) for n in layers])
     columns = both.select("r", "c", *keep, *[x for n in layers for x in (F.col(f"{n}.r").cast("double").alias(f"{n}_r"), F.col(f"{n}.v").alias(f"{n}_v"))])
 
-    def row(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c", kind="stable").reset_index(drop=True)
-        c, r = pdf["c"].to_numpy(dtype=np.int64), int(pdf["r"].iloc[0])
-        out = {"r": r, "c": c, **{k: pdf[k] for k in keep}}
+    held = ["c", *keep, *[f"{n}_{k}" for n in names for k in ("r", "v")]]
+
+    def band(r: np.ndarray, x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        row_of = np.cumsum(np.diff(r, prepend=r[0]) != 0)
+        c, rows = x["c"].astype(np.int64), r[np.flatnonzero(np.diff(r, prepend=r[0] - 1))].astype(np.int64)
+        out = [pa.array(r, pa.int32()), pa.array(c, pa.int32()), *(_doubles(x[k]) for k in keep)]
         for n in names:
-            fr, v = pdf[f"{n}_r"].to_numpy(dtype=float), pdf[f"{n}_v"].to_numpy(dtype=float)
-            has = np.flatnonzero(~np.isnan(fr))
+            has = np.flatnonzero(~np.isnan(x[f"{n}_r"]))
+            fr, fc, owner = x[f"{n}_r"][has].astype(np.int64), c[has], row_of[has]
+            rank = np.empty(len(has), np.int64)
+            rank[np.lexsort((fc, fr))] = np.arange(len(has))
+            first = np.searchsorted(owner, np.arange(len(rows) + 1))
+            i = _nearest_in_rows(row_of, c, first[:-1], first[1:], fc, (fr - rows[owner]) ** 2, rank)
+            none = i < 0
             if len(has):
-                rows = fr[has].astype(np.int64)
-                rank = np.empty(len(has), dtype=np.int64)
-                rank[np.lexsort((c[has], rows))] = np.arange(len(has))
-                i = _nearest_in_row(((rows - r) ** 2).tolist(), c[has].tolist(), c, rank)
-                distance = np.sqrt(((rows[i] - r) ** 2 + (c - c[has][i]) ** 2).astype(float)) * cell
-                found = (pd.Series(distance), pd.Series(rows[i]), pd.Series(c[has][i]), pd.Series(v[has][i]))
+                distance, carried = np.sqrt(((fr[i] - r) ** 2 + (c - fc[i]) ** 2).astype(float)) * cell, x[f"{n}_v"][has][i]
+                out += [pa.array(distance, mask=none), pa.array(fr[i], pa.int32(), mask=none), pa.array(fc[i], pa.int32(), mask=none), pa.array(carried, mask=none | np.isnan(carried))]
             else:
-                found = (pd.Series(np.full(len(c), np.nan)),) * 4
-            for k, x in zip(("distance", "r", "c", "carried"), found):
-                out[f"{n}_{k}"] = x.astype("Int32") if k in ("r", "c") else x
-        return pd.DataFrame(out)
+                out += [pa.nulls(len(c), t) for t in (pa.float64(), pa.int32(), pa.int32(), pa.float64())]
+        return pa.RecordBatch.from_arrays(out, ["r", "c", *keep, *[f"{n}_{k}" for n in names for k in ("distance", "r", "c", "carried")]])
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole rows, about BAND cells at a time."""
+        r, parts = np.empty(0, np.int64), {k: np.empty(0) for k in held}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r = np.concatenate([r, b.column("r").to_numpy().astype(np.int64)])
+            parts = {k: np.concatenate([v, b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False)]) for k, v in parts.items()}
+            whole = int(np.searchsorted(r, r[-1]))  # the last row may go on
+            if whole >= BAND:
+                yield band(r[:whole], {k: v[:whole] for k, v in parts.items()})
+                r, parts = r[whole:], {k: v[whole:] for k, v in parts.items()}
+        if len(r):
+            yield band(r, parts)
 
     schema = "r int, c int" + "".join(f", {k} double" for k in keep) + "".join(f", {n}_distance double, {n}_r int, {n}_c int, {n}_carried double" for n in layers)
-    return columns.groupBy("r").applyInPandas(row, schema)
+    return columns.repartition("r").sortWithinPartitions("r", "c").mapInArrow(bands, schema)
+
+
+def _doubles(x: np.ndarray) -> pa.Array:
+    return pa.array(x, mask=np.isnan(x))
 
 
 def nearest_feature(cells: DataFrame, feature: Column, carry: str | None = None, cell: float = 1.0) -> DataFrame:

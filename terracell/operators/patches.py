@@ -37,6 +37,22 @@ def summary(patched: DataFrame, k: int, band: str, label: Column) -> DataFrame:
     )
 
 
+#: Patches up to this many are broadcast to their cells; they are counted before.
+BROADCAST_PATCHES = 200_000
+
+
+def kept(cells: DataFrame, k: int, band: str, label: Column, wanted: Column, broadcast_rows: int = BROADCAST_PATCHES) -> DataFrame:
+    """The cells of the whole tiles of side k that `wanted`, an expression over the columns of summary(), keeps; with pr, pc.
+
+    The table of patches is aggregated from the band and the label alone.  The semi-join with it runs where cells are read
+    if it can be broadcast, so that cells of other patches are never shuffled, and by shuffle beyond that."""
+    marked = tiled(cells, k)
+    index = summary(marked, k, band, label).filter(F.col("whole") & wanted).select("pr", "pc")
+    if index.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        index = F.broadcast(index)
+    return marked.join(index, ["pr", "pc"], "left_semi")
+
+
 def balance(patches: DataFrame, positive: Column, times: int = 2, seed: int = 42, need_positive: bool = True) -> DataFrame:
     """All positive patches and at most `times` as many negative ones, those with the smallest hash of (seed, place).
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from terracell.functions import columns as fn
 from terracell.operators import align
-from terracell.sources import raster
-from terracell.sources.grid import GRID_SQL, grid
+from terracell.sources import raster, tiles
+from terracell.sources.grid import GRID_SQL, grid, table
 from terracell.sources.shared import shared_path
 
 from .catalog import query
@@ -50,6 +50,18 @@ def raster_metadata(spark, sf_dir):
     return c.select(sheet, "height", "width", "bands", "dtype", "compression", "blocks", "nodata", "epsg", t(0).alias("cell"), F.round(t(2), 4).alias("west"), F.round(t(5), 4).alias("north"))
 
 
+@query(G + ", e AS (SELECT max(r) + 1 AS h FROM grid), b AS (SELECT DISTINCT (n_nationkey * 37 % h // 16)::INT AS tile_r, (n_nationkey * 29 % 100 // 16)::INT AS tile_c FROM nation, e) SELECT tile_r, tile_c, count(*) AS cells, round(sum(flow), 6) AS flow, count(dem) AS heights FROM grid JOIN b ON r // 16 = tile_r AND c // 16 = tile_c GROUP BY ALL")
+def block_reads(spark, sf_dir):
+    """Sums of the blocks that a table of places asks for, from the grid stored by tiles."""
+    path = shared_path(spark, "tiles")
+    cells = grid(spark, sf_dir)
+    tiles.write_tiles(cells.select("r", "c", "flow", "dem"), path, 16)
+    extent = F.broadcast(cells.agg((F.max("r") + 1).alias("_h")))  # one row
+    k = F.col("n_nationkey")
+    wanted = table(spark, sf_dir, "nation").crossJoin(extent).select(F.floor(k * 37 % F.col("_h") / 16).cast("int").alias("tile_r"), F.floor(k * 29 % 100 / 16).cast("int").alias("tile_c"))
+    return tiles.read_blocks(spark, path, wanted).groupBy("tile_r", "tile_c").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("flow"), 6).alias("flow"), F.count("dem").alias("heights"))
+
+
 # ---- longitude and latitude to UTM
 
 #: The grid taken as cells of 0.00027 degrees, and cells of 30 m around it.

@@ -206,3 +206,35 @@ k AS (SELECT bin, a + (bin + 1) * w AS hi, sum(n) OVER (ORDER BY bin) AS n0, sum
 SELECT round(arg_max(hi, n0 * (n - n0) * pow(s0 / n0 - (s - s0) / (n - n0), 2)), 9) AS threshold FROM k WHERE n > n0""")
 def otsu_threshold(spark, sf_dir):
     return stats.otsu(grid(spark, sf_dir), "flow").select(F.round("threshold", 9).alias("threshold"))
+
+
+def _refined_sql() -> str:
+    """Every cell with the 49 cells around it, then the half window that its own means choose."""
+    near = lambda a, b: f"avg(n.flow) FILTER (WHERE abs(n.r - g.r - ({a})) <= 1 AND abs(n.c - g.c - ({b})) <= 1)"
+    means = {(a, b): f"m{i}{j}" for i, a in enumerate((-2, 0, 2)) for j, b in enumerate((-2, 0, 2))}
+    chosen, halves = [], []
+    for one, other, plane in focal.SIDES:
+        part = lambda sign: " + ".join(n for (a, b), n in means.items() if sign * (a * plane[0] + b * plane[1]) > 0)  # noqa: E731,B023
+        chosen.append(f"abs(({part(-1)}) - ({part(1)})) AS g{len(chosen)}, abs({means[other]} - m11) < abs({means[one]} - m11) AS s{len(chosen)}")
+        halves.append(f"({plane[0]} * (n.r - d.r) + ({plane[1]}) * (n.c - d.c))")
+    half = " ".join(f"WHEN d.k = {k} THEN CASE WHEN d.s THEN -1 ELSE 1 END * {h}" for k, h in enumerate(halves))
+    return f""", m0 AS (SELECT g.r, g.c, g.flow, {', '.join(f'{near(a, b)} AS {n}' for (a, b), n in means.items())} FROM grid g JOIN grid n ON n.r BETWEEN g.r - 3 AND g.r + 3 AND n.c BETWEEN g.c - 3 AND g.c + 3 GROUP BY ALL),
+m AS (SELECT r, c, flow, {', '.join(f'coalesce({n}, m11) AS {n}' for n in means.values())} FROM m0), e AS (SELECT r, c, flow, {', '.join(chosen)} FROM m),
+d AS (SELECT r, c, flow, k, CASE k WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS s FROM (SELECT *, CASE WHEN g0 >= g1 AND g0 >= g2 AND g0 >= g3 THEN 0 WHEN g1 >= g2 AND g1 >= g3 THEN 1 WHEN g2 >= g3 THEN 2 ELSE 3 END AS k FROM e)),
+h AS (SELECT d.r, d.c, d.flow, avg(n.flow) AS m, var_pop(n.flow) AS v FROM d JOIN grid n ON n.r BETWEEN d.r - 3 AND d.r + 3 AND n.c BETWEEN d.c - 3 AND d.c + 3 WHERE CASE {half} END <= 0 GROUP BY ALL)
+SELECT r, c, round(m + CASE WHEN v > 1e-12 THEN greatest(v - m * m / 4, 0) / (1 + 0.25e0) / v ELSE 0 END * (flow - m), 5) AS lee FROM h"""
+
+
+@query(G.replace("grid AS", "whole AS") + ", grid AS (SELECT r, c, CASE WHEN dem IS NOT NULL THEN flow END AS flow FROM whole)" + _refined_sql())
+def refined_lee(spark, sf_dir):
+    """Speckle filter of 7 x 7 cells along edges, over a band with holes."""
+    cells = grid(spark, sf_dir).select("r", "c", F.when(F.col("dem").isNotNull(), F.col("flow")).alias("flow"))
+    return focal.refined_lee(cells, "flow", 4.0, 32).select("r", "c", F.round("lee", 5).alias("lee"))
+
+
+@query(G + """, p AS (SELECT r // 8 AS pr, c // 8 AS pc FROM grid GROUP BY 1, 2 HAVING count(*) = 64 AND count(*) FILTER (WHERE lulc = 80) >= 9 AND max(flow) > 20)
+SELECT pr, pc, r, c, flow, slope, ndwi FROM grid JOIN p ON r // 8 = pr AND c // 8 = pc""")
+def kept_patches(spark, sf_dir):
+    """All channels of the cells of patches that are worth training on."""
+    wanted = (F.col("positives") >= 9) & (F.col("peak") > 20)
+    return patches.kept(grid(spark, sf_dir), 8, "flow", F.col("lulc") == 80, wanted).select("pr", "pc", "r", "c", "flow", "slope", "ndwi")

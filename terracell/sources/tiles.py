@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODATA = -9999.0
+#: Wanted blocks up to this many prune a read.
+BROADCAST_BLOCKS = 200_000
 
 
 def write_tiles(cells: DataFrame, path: str, side: int = 1024, compression: str = "zstd") -> None:
@@ -40,6 +42,17 @@ def read_window(spark: SparkSession, path: str, rows: tuple[int, int], cols: tup
     return spark.read.parquet(path).filter(own("r", rows) & own("c", cols)).drop("tile_r", "tile_c")
 
 
+def read_blocks(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
+    """The cells of the wanted blocks (tile_r, tile_c) of write_tiles.  Which folders are read is decided at run time, from
+    the rows of `blocks` (dynamic partition pruning): the folders of tile rows, and of tile columns,
+    that no wanted block lies in are not opened.  That needs the wanted blocks
+    as a broadcast, of at most BROADCAST_BLOCKS (counted before); beyond them Spark joins by shuffle and reads all tiles."""
+    wanted = blocks.select("tile_r", "tile_c").filter("tile_r >= 0 AND tile_c >= 0").distinct()  # Spark prunes only by a filtered table
+    if wanted.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        wanted = F.broadcast(wanted)
+    return spark.read.parquet(path).join(wanted, ["tile_r", "tile_c"])
+
+
 def with_sentinel(x: Column) -> Column:
     return F.coalesce(x, F.lit(NODATA))
 

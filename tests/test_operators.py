@@ -152,18 +152,45 @@ def test_hybrid_is_never_below_the_map(spark):
         assert plain[0] <= a <= 1 and plain[1] <= b <= 1 and c is None
 
 
-def test_running_totals_and_percentiles_over_many_ranges(spark):
+def test_running_totals_over_many_ranges(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([np.round(rng.normal(size=900), 2), np.full(300, 0.5)])  # one value in a quarter of the rows
-    df = spark.createDataFrame([(float(v), "a") for v in x] + [(7.0, "b"), (None, "b")], "x double, band string")
-    counted = df.filter("x IS NOT NULL").groupBy("band", "x").agg(F.count(F.lit(1)).alias("n"))
-    for row in ranks.running_totals(counted, "x", ["n"], by=("band",), buckets=16).collect():
-        assert row["n_to"] == ((x <= row["x"]).sum() if row["band"] == "a" else 1)
-    a, b, none = F.when(F.col("band") == "a", F.col("x")), F.when(F.col("band") == "b", F.col("x")), F.lit(None).cast("double")
-    wanted = {"lo": ("a", 0.013), "mid": ("a", 0.5), "hi": ("a", 1.0), "one": ("b", 0.9), "gone": ("none", 0.5)}
-    got = ranks.percentile_row(df, {"a": a, "b": b, "none": none}, wanted).first()
-    assert np.allclose([got["lo"], got["mid"], got["hi"]], np.quantile(x, [0.013, 0.5, 1.0])) and got["one"] == 7.0 and got["gone"] is None
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    counted = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    for row in ranks.running_totals(counted, "x", ["n"], buckets=16).collect():
+        assert row["n_to"] == (x <= row["x"]).sum()
     assert ranks.running_totals(counted.filter("n < 0"), "x", ["n"]).count() == 0
+    holes = counted.union(spark.createDataFrame([(None, 5)], "x double, n long"))
+    assert {r["n_to"] - (0 if r["x"] is None else (x <= r["x"]).sum()) for r in ranks.running_totals(holes, "x", ["n"]).collect()} == {5}
+
+
+def test_percentiles_at_every_bound(spark):
+    """The same values whatever the sketch's accuracy and the bound on what is held, so that every kind of pass is taken."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), np.arange(500) * 0.01])
+    df = spark.createDataFrame([(float(v), "a") for v in x] + [(7.0, "b"), (None, "b"), (float("nan"), "a")], "x double, band string")
+    bands = {"a": F.when(F.col("band") == "a", F.col("x")), "b": F.when(F.col("band") == "b", F.col("x")), "none": F.lit(None).cast("double")}
+    wanted = {"lo": ("a", 0.013), "mid": ("a", 0.5), "flat": ("a", 0.62), "end": ("a", 1.0), "start": ("a", 0.0), "one": ("b", 0.9), "gone": ("none", 0.5)}
+    for accuracy, held in ((10_000, 200_000), (50, 200_000), (50, 40), (20, 1)):
+        got = ranks.percentiles(df, bands, wanted, accuracy, held)
+        assert np.allclose([got[n] for n in ("lo", "mid", "flat", "end", "start")], np.quantile(x, [0.013, 0.5, 0.62, 1.0, 0.0])) and got["one"] == 7.0 and got["gone"] is None
+    row = ranks.percentile_row(df, bands, wanted).first()
+    assert row["mid"] == got["mid"] and row["gone"] is None
+    assert ranks.with_percentiles(df, _p=(bands["a"], 0.5)).select("_p").distinct().collect() == [(got["mid"],)]
+
+
+def test_percentiles_add_no_join_or_exchange(spark):
+    df = spark.range(1000).selectExpr("double(id) AS x")
+    plan = ranks.with_percentiles(df, _p=(F.col("x"), 0.99))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_bracket_that_misses_is_opened(spark):
+    """Brackets far from their ranks are found out by the exact counts."""
+    df = spark.range(5000).selectExpr("double(id) AS x")
+    bracket = {"p": (10.0, 20.0)}
+    ranks._narrow(df, {"p": F.col("x")}, {"p": 4000.0}, bracket, {"p"}, 100)
+    assert bracket["p"][0] <= 4000 <= bracket["p"][1] and bracket["p"][1] - bracket["p"][0] < 500
 
 
 def test_balance_needs_a_positive_patch(spark):
