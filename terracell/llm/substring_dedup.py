@@ -15,8 +15,9 @@ No pairs are formed.  In each Arrow batch rows of one hash are first reduced to
 is already known to be shared or repeated goes its own way, so a hot passage sends a reducer one row for each batch.
 
 Words are the runs of bytes between \\x20 and \\x09-\\x0D of the UTF-8 text, unchanged.  Null and empty texts have no words
-and the hash of the empty string.  Rows without a doc_id neither lose words nor count as a source; rows that repeat a
-document in full give one result each.  An empty table gives an empty result; other columns are ignored.
+and the hash of the empty string.  Rows without a doc_id neither lose words nor count as a source.  Rows of one doc_id give
+one result each, whether their texts are equal or not: each is judged against documents with smaller ids, never against
+the others of its own id.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ def _runs(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     size = window - PERIOD + 1
     for batch in batches:
-        ids, found, whose, where = batch.column("doc_id").to_numpy(zero_copy_only=False), [], [], []
-        for i in np.argsort(ids, kind="stable"):
+        ids, found, whose, where, rows = batch.column("doc_id").to_numpy(zero_copy_only=False), [], [], [], []
+        for k, i in enumerate(np.argsort(ids, kind="stable")):
             words = batch.column("text")[i].as_py().split() if ids[i] != NAMELESS else []
             if len(words) < window:
                 continue
@@ -67,11 +69,12 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             found.append(window_hashes(word_hashes(words), size, at=at))
             whose.append(np.full(len(at), ids[i], np.int64))
             where.append(at)
+            rows.append(np.full(len(at), k))
         if not found:
             continue
-        key, doc, pos = np.concatenate(found), np.concatenate(whose), np.concatenate(where)
+        key, doc, pos, row = np.concatenate(found), np.concatenate(whose), np.concatenate(where), np.concatenate(rows)
         order = np.argsort(key, kind="stable")
-        _, once = _runs(order, key, doc)  # one place stands for all of a document under one hash
+        _, once = _runs(order, key, row)  # one place stands for all of a text under one hash
         order = order[once]
         run, first = _runs(order, key)
         doc, pos, key = doc[order], pos[order], key[order]
@@ -88,13 +91,16 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     reach = window - size
     for batch in batches:
         ids, parts = batch.column("doc_id").to_numpy(zero_copy_only=False), []
-        for i in np.argsort(ids, kind="stable"):
-            words = batch.column("text")[i].as_py().split()
+        for k, i in enumerate(np.argsort(ids, kind="stable")):
+            text = batch.column("text")[i].as_py()
+            words = text.split()
             n = len(words) - window + 1
             if n <= 0:
                 continue
-            shared, h = batch.column("at")[i].values.to_numpy(zero_copy_only=False), word_hashes(words)
-            cover = cover_positions(len(words) - size + 1)
+            h, cover = word_hashes(words), cover_positions(len(words) - size + 1)
+            # places of all texts of this doc_id: those of another text may be too far, or open windows in vain
+            shared = batch.column("at")[i].values.to_numpy(zero_copy_only=False)
+            shared = shared[shared <= cover[-1]]
             key = window_hashes(h, size, at=cover)
             anchors = cover[np.isin(key, key[np.searchsorted(cover, shared)])]
             edge = np.zeros(len(words) + 2, np.int64)
@@ -102,10 +108,10 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             np.add.at(edge, np.minimum(anchors + 1, len(words) + 1), -1)
             at = np.flatnonzero(np.cumsum(edge)[:n])
             if len(at):
-                parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at).astype(np.uint32), np.full(len(at), ids[i], np.int64), at))
+                parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at).astype(np.uint32), np.full(len(at), ids[i], np.int64), at, np.full(len(at), k), np.full(len(at), text_key(text), np.int32)))
         if not parts:
             continue
-        w1, w2, doc, at = (np.concatenate(x) for x in zip(*parts))
+        w1, w2, doc, at, row, own = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(w1, kind="stable")
         run, first = _runs(order, w1, w2)
         known = np.empty(len(doc), bool)
@@ -113,37 +119,50 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         # more >= 0: a run of known repeats, `more` windows after the first; more < 0: -1 - more windows after the first
         # are equal to it and are judged with it
         a = np.flatnonzero(~known)
-        rows = [(w1[:0], w2[:0], doc[:0], at[:0], at[:0])]
+        rows = [(w1[:0], w2[:0], doc[:0], own[:0], at[:0], at[:0])]
         if len(a):
             new = np.ones(len(a), bool)
-            new[1:] = (w1[a][1:] != w1[a][:-1]) | (w2[a][1:] != w2[a][:-1]) | (doc[a][1:] != doc[a][:-1]) | (at[a][1:] != at[a][:-1] + 1)
+            new[1:] = (w1[a][1:] != w1[a][:-1]) | (w2[a][1:] != w2[a][:-1]) | (row[a][1:] != row[a][:-1]) | (at[a][1:] != at[a][:-1] + 1)
             s = np.flatnonzero(new)
             more = np.diff(np.append(s, len(a))) - 1
-            rows.append((w1[a][s], w2[a][s], doc[a][s], at[a][s], -1 - more))
+            rows.append((w1[a][s], w2[a][s], doc[a][s], own[a][s], at[a][s], -1 - more))
         if known.any():
-            d, p = doc[known], at[known]
+            d, p, r = doc[known], at[known], row[known]
             start = np.ones(len(d), bool)
-            start[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
+            start[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
             s = np.flatnonzero(start)
             e = np.append(s[1:], len(d)) - 1
             key = mix(mix(d[s].astype(np.uint64)) + p[s].astype(np.uint64))
-            rows.append((key, np.zeros(len(s), np.uint32), d[s], p[s], p[e] - p[s]))
-        k1, k2, d, lo, more = (np.concatenate(x) for x in zip(*rows))
+            rows.append((key, np.zeros(len(s), np.uint32), d[s], own[known][s], p[s], p[e] - p[s]))
+        k1, k2, d, t, lo, more = (np.concatenate(x) for x in zip(*rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int32)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(more.astype(np.int32))],
-            names=["k1", "k2", "doc_id", "lo", "more"],
+            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int32)), pa.array(d), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(more.astype(np.int32))],
+            names=["k1", "k2", "doc_id", "own", "lo", "more"],
         )
 
 
+def text_key(text: bytes) -> int:
+    """Tells the texts of one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text) % (1 << 32) - (1 << 31)
+
+
+def _spans_of(spans: pa.Scalar, text: bytes) -> np.ndarray:
+    """The packed spans of this text, of those of all texts of its doc_id."""
+    own, packed = spans.values.field("own").to_numpy(zero_copy_only=False), spans.values.field("packed")
+    parts = [packed[int(k)].values.to_numpy(zero_copy_only=False) for k in np.flatnonzero(own == text_key(text))]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], []]
         for i in range(batch.num_rows):
-            words, spans = batch.column("text")[i].as_py().split(), batch.column("spans")[i]
+            text, spans = batch.column("text")[i].as_py(), batch.column("spans")[i]
+            words = text.split()
             total, removed = len(words), 0
-            if spans.is_valid and total:
+            packed = _spans_of(spans, text) if spans.is_valid and total else ()
+            if len(packed):
                 edge = np.zeros(total + 1, np.int64)
-                packed = spans.values.to_numpy(zero_copy_only=False)
                 np.add.at(edge, packed >> 32, 1)
                 np.add.at(edge, packed & 0xFFFFFFFF, -1)
                 kept = np.cumsum(edge)[:total] == 0
@@ -155,7 +174,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed_spans(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, spans: array of lo * 2^32 + hi; a struct would take four times the room in the shuffle."""
+    """doc_id, spans: for each text of the id that has any, its key and an array of lo * 2^32 + hi (a struct for each span
+    would take four times the room)."""
     rows = _bytes(docs)
     anchors = rows.mapInArrow(lambda it: _anchors(it, window), "k long, doc_id long, place long")
     same = Window.partitionBy("k")
@@ -165,21 +185,26 @@ def _packed_spans(docs: DataFrame, window: int) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list("pos").alias("at"))
     )
-    windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 int, doc_id long, lo int, more int")
+    windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 int, doc_id long, own int, lo int, more int")
     again = Window.partitionBy("k1", "k2")
     hi = F.col("lo") + F.lit(window) + F.when(F.col("more") < 0, -1 - F.col("more")).otherwise(F.col("more"))
     return (
-        windows.select("doc_id", "lo", hi.alias("hi"), ((F.col("more") >= 0) | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
+        windows.select("doc_id", "own", "lo", hi.alias("hi"), ((F.col("more") >= 0) | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
         .filter("repeat")
+        .repartition("doc_id")
+        .groupBy("doc_id", "own")
+        .agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("packed"))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("spans"))
+        .agg(F.collect_list(F.struct("own", "packed")).alias("spans"))
     )
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, spans: array of (lo, hi) word ranges of docs that an earlier document also has; ranges may overlap."""
+    """doc_id, own, spans: array of (lo, hi) word ranges of docs that an earlier document also has; ranges may overlap.  There
+    is a row for each different text of a doc_id that has any; `own` is its text_key."""
     pair = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("lo"), (x % (1 << 32)).cast("int").alias("hi"))
-    return _packed_spans(docs, window).filter(F.col("doc_id") != NAMELESS).select("doc_id", F.transform("spans", pair).alias("spans"))
+    each = _packed_spans(docs, window).filter(F.col("doc_id") != NAMELESS).select("doc_id", F.explode("spans").alias("s"))
+    return each.select("doc_id", "s.own", F.transform("s.packed", pair).alias("spans"))
 
 
 def _bytes(docs: DataFrame) -> DataFrame:

@@ -56,3 +56,21 @@ def test_extra_columns_and_empty_table(spark):
     spans = repeated_spans(df).collect()
     assert [r["doc_id"] for r in spans] == [2] and {x for s in spans[0]["spans"] for x in range(s["lo"], s["hi"])} == set(range(60))
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text is judged for itself: against smaller ids, never against the others of its id."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3)
+    passage, other = [[word() for _ in range(70)] for _ in range(2)]
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    filler = [word() for _ in range(300)]
+    rows = [(1, text(passage)), (5, text(filler, passage)), (5, text([word() for _ in range(60)]))]
+    assert run(spark.createDataFrame(rows, SCHEMA).coalesce(1)) == brute(rows)
+    for seed in range(3):
+        rng.seed(seed)
+        parts = [passage, other, filler[:55], filler[100:180]]
+        rows = [(rng.randrange(6), text(*[rng.choice(parts)[rng.randint(0, 9) :] if rng.random() < 0.7 else [word() for _ in range(rng.randint(0, 40))] for _ in range(rng.randint(0, 4))])) for _ in range(60)]
+        rows += [rows[3], rows[4], (None, rows[5][1]), (2, None), (2, "")]
+        for pieces in (1, 4):
+            assert run(spark.createDataFrame(rows, SCHEMA).repartition(pieces)) == brute(rows)
