@@ -3,8 +3,9 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
 from terracell.llm.common import table
-from terracell.llm.pii import label_model, pii_spans, span_classifier, span_digests
+from terracell.llm.pii import _meets, label_model, pii_spans, span_classifier, span_digests
 
 
 def luhn(d):
@@ -93,3 +94,34 @@ def test_shape_adds_to_the_votes():
     score = span_classifier(counts, {key: share[key[1][:6]] for key in counts})
     doubt = {p: 1 - score["phone", p] for p in ("?1??1?mhbb", "?1??1?mxaa")}
     assert doubt["?1??1?mxaa"] > 10 * doubt["?1??1?mhbb"]
+
+
+def test_overlaps_by_halving(spark):
+    """Against all pairs, on sorted spans that do not overlap each other."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        at, spans = 0, []
+        for _ in range(rng.randint(0, 9)):
+            start = at + rng.randint(0, 4)
+            at = start + rng.randint(1, 4)
+            spans.append((start, at))
+        start = rng.randint(0, 40)
+        rows.append((i, spans, (start, start + rng.randint(1, 6))))
+    df = spark.createDataFrame(rows, "i int, spans array<struct<start: int, end: int>>, s struct<start: int, end: int>")
+    got = {r["i"]: r["m"] for r in df.select("i", _meets(F.col("spans"), F.col("s")).alias("m")).collect()}
+    for i, spans, (start, end) in rows:
+        assert got[i] == any(a < end and start < b for a, b in spans)
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Base and loose spans by the ten thousand: time grows with the text, not with its square."""
+    line = lambda i: f"mail u{i}@k.com call 555 {i:07d} or (030) {i:06d} "
+    seconds = []
+    for n in (12_500, 50_000):
+        df = spark.createDataFrame([(1, "".join(map(line, range(n))))], "doc_id long, text string")
+        start = time.monotonic()
+        row = span_digests(pii_spans(df)).first()
+        seconds.append(time.monotonic() - start)
+        assert row["n_email"] == n
+    assert seconds[1] < 60 and seconds[1] < 8 * max(seconds[0], 2.0)
