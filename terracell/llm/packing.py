@@ -5,7 +5,7 @@ Method
 1. Texts become pieces of at most `size` ids; only longer documents are cut, and only their first piece may be shorter.
 2. Pieces are dealt by a hash to demes of about `deme` pieces, and best fit gives each deme a first packing.  One that
    meets the lower bound (the sum of lengths over the size, or the number of pieces above half the size) cannot be
-   improved and is done.  Beside other demes it may need one sequence more: what is ill-filled there is dealt anew.
+   improved and is done.
 3. On every other deme two islands evolve a population, in tasks of their own.  Crossover injects whole well-filled
    sequences of one parent into the other; sequences that then hold a duplicate are dissolved, ill-filled ones partly;
    displaced pieces first replace one or two pieces of an open sequence where that fills it better, and the rest is best
@@ -45,6 +45,8 @@ WELL = 0.995
 EPOCHS, LEVELS = 2, 8
 #: Packings of an island, and open sequences that one child tries to fill by replacement.
 POPULATION, REPLACED = 8, 48
+#: Ways of taking pieces out of one sequence that replacement tries: all for up to ten pieces, then none and single ones first.
+WAYS = 64
 #: About so many pieces are displaced at once, so that a generation costs much the same in a deme of any size.
 MOVED = 1500
 #: Stands for a null doc_id inside the islands, where pandas has no null integers.
@@ -131,7 +133,7 @@ def replace(members: list[int], spare: np.ndarray, length: np.ndarray, size: int
     room, d = size - int(length[members].sum()), length[spare]
     ways = [()] + [(x,) for x in range(len(members))] + [(x, y) for x in range(len(members)) for y in range(x)]
     best, gain = None, 0
-    for way in ways[:64]:
+    for way in ways[:WAYS]:
         out = int(sum(length[members[x]] for x in way))
         at = _best_sum(d, out + gain, out + room)
         if at:
@@ -208,8 +210,9 @@ def packed_by_best_fit(length: np.ndarray, size: int) -> np.ndarray:
 def evolve(length: np.ndarray, seeds: list[np.ndarray], size: int, rng: np.random.Generator, turns: int | None = None, population: int = POPULATION) -> np.ndarray:
     """The best packing after some generations, from the given ones, or best fit, and mutations of the first.
 
-    By default there are 60 to 600 generations, fewer for many pieces, as a generation's work grows with them."""
-    turns = int(np.clip(600_000 // max(1, len(length)), 60, 600)) if turns is None else turns
+    By default there are 16 to 600 generations, fewer for many pieces, as a generation's work and the number needed grow
+    with them: a full deme has 16, one of 1,350 pieces 600."""
+    turns = int(np.clip(1.1e9 / max(1, len(length)) ** 2, 16, 600)) if turns is None else turns
     bound, group = lower_bound(length, size), list(seeds)
     for p in group:
         if len(np.unique(p)) <= bound:
@@ -249,7 +252,7 @@ def _pack_once(items: DataFrame, demes: int, size: int, level: int) -> DataFrame
         pdf = _ordered(pdf)
         length = pdf["length"].to_numpy()
         seq = packed_by_best_fit(length, size).astype(np.int64)
-        return pdf.assign(seq=seq, done=bool(seq.max() + 1 <= lower_bound(length, size) + (demes > 1)))[[*_NAMES, "deme", "seq", "done"]]
+        return pdf.assign(seq=seq, done=bool(seq.max() + 1 <= lower_bound(length, size)))[[*_NAMES, "deme", "seq", "done"]]
 
     def evolved(pdf: pd.DataFrame) -> pd.DataFrame:
         """One epoch of an island, from the elites that came to it."""

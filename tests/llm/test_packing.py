@@ -103,3 +103,32 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"], r["length"]) for r in out if r["doc_id"] is not None and r["doc_id"] > 0) == [(5, 1), (5, 1), (9, 1)]
     assert pack_documents(df.limit(0), PATH, 0).collect() == []
     assert pieces_of(4096, 2048) == [(0, 2048), (2048, 2048)] and pieces_of(4097, 2048)[0] == (0, 1) and pieces_of(2048, 2048) == [(0, 2048)]
+
+
+def test_islands_decide_for_demes_beside_others(spark):
+    """Several demes of triplets: best fit in each needs more than its bound, whatever else is packed beside it, and the
+    islands win strictly against best fit of each deme and of all pieces."""
+    length = np.concatenate([triplets(np.random.default_rng(20 + k), 100, 2048) for k in range(4)])
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(length)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    used = check(pack(df, deme=300).collect(), 2048)
+    plain = packed_by_best_fit(length, 2048).max() + 1
+    assert lower_bound(length, 2048) == 400 <= used < plain, (used, plain)
+
+
+def test_a_deme_one_above_its_bound_is_searched_beside_others(spark, monkeypatch):
+    """What counts as done is the bound itself, for one deme and for many."""
+    from terracell.llm import packing
+
+    done = []
+    plain = packing.lower_bound
+    monkeypatch.setattr(packing, "lower_bound", lambda length, size: done.append(len(length)) or plain(length, size))
+    length = np.array([1500] * 3 + [600] * 3 + [500, 548, 500, 548] * 2)
+    out = packing._pack_once(spark.createDataFrame([(i, 0, 0, int(n), 0, 1) for i, n in enumerate(length)], packing._ITEM), 2, 2048, 0)
+    rows = out.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"] >> 24, []).append(r)
+    for rows_of in by.values():
+        own = np.array([r["length"] for r in rows_of])
+        assert len({r["sequence_id"] for r in rows_of}) >= plain(own, 2048)
+    assert len(rows) == len(length)
