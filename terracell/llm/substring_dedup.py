@@ -27,11 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, texts, window_hashes, word_hashes
+from .common import Written, mix, texts, window_hashes, word_hashes
 
 WINDOW = 50
 PERIOD = 31
@@ -39,6 +38,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Stands for a null doc_id, so that all rows go through one shuffle of texts, which both joins then share.
 NAMELESS = -(1 << 63)
+#: Ids with several texts up to this many are broadcast.
+BROADCAST_IDS = 500_000
 
 
 def cover_positions(n: int) -> np.ndarray:
@@ -92,8 +93,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     for batch in batches:
         ids, parts = batch.column("doc_id").to_numpy(zero_copy_only=False), []
         for k, i in enumerate(np.argsort(ids, kind="stable")):
-            text = batch.column("text")[i].as_py()
-            words = text.split()
+            words = batch.column("text")[i].as_py().split()
             n = len(words) - window + 1
             if n <= 0:
                 continue
@@ -108,7 +108,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             np.add.at(edge, np.minimum(anchors + 1, len(words) + 1), -1)
             at = np.flatnonzero(np.cumsum(edge)[:n])
             if len(at):
-                parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at).astype(np.uint32), np.full(len(at), ids[i], np.int64), at, np.full(len(at), k), np.full(len(at), text_key(text), np.int32)))
+                parts.append((window_hashes(h, window, 0, at), window_hashes(h, window, 1, at).astype(np.uint32), np.full(len(at), ids[i], np.int64), at, np.full(len(at), k), np.full(len(at), batch.column("own")[i].as_py(), np.int64)))
         if not parts:
             continue
         w1, w2, doc, at, row, own = (np.concatenate(x) for x in zip(*parts))
@@ -134,22 +134,17 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             e = np.append(s[1:], len(d)) - 1
             key = mix(mix(d[s].astype(np.uint64)) + p[s].astype(np.uint64))
             rows.append((key, np.zeros(len(s), np.uint32), d[s], own[known][s], p[s], p[e] - p[s]))
-        k1, k2, d, t, lo, more = (np.concatenate(x) for x in zip(*rows))
+        k1, k2, d, own, lo, more = (np.concatenate(x) for x in zip(*rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int32)), pa.array(d), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(more.astype(np.int32))],
-            names=["k1", "k2", "doc_id", "own", "lo", "more"],
+            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int32)), pa.array(d), pa.array(own << 32 | lo), pa.array(more.astype(np.int32))],
+            names=["k1", "k2", "doc_id", "at", "more"],
         )
 
 
-def text_key(text: bytes) -> int:
-    """Tells the texts of one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text) % (1 << 32) - (1 << 31)
-
-
-def _spans_of(spans: pa.Scalar, text: bytes) -> np.ndarray:
-    """The packed spans of this text, of those of all texts of its doc_id."""
+def _spans_of(spans: pa.Scalar, key: int) -> np.ndarray:
+    """The packed spans of the text with this key, of those of all texts of its doc_id."""
     own, packed = spans.values.field("own").to_numpy(zero_copy_only=False), spans.values.field("packed")
-    parts = [packed[int(k)].values.to_numpy(zero_copy_only=False) for k in np.flatnonzero(own == text_key(text))]
+    parts = [packed[int(k)].values.to_numpy(zero_copy_only=False) for k in np.flatnonzero(own == key)]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
@@ -157,10 +152,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], []]
         for i in range(batch.num_rows):
-            text, spans = batch.column("text")[i].as_py(), batch.column("spans")[i]
-            words = text.split()
+            words, spans = batch.column("text")[i].as_py().split(), batch.column("spans")[i]
             total, removed = len(words), 0
-            packed = _spans_of(spans, text) if spans.is_valid and total else ()
+            packed = _spans_of(spans, batch.column("own")[i].as_py()) if spans.is_valid and total else ()
             if len(packed):
                 edge = np.zeros(total + 1, np.int64)
                 np.add.at(edge, packed >> 32, 1)
@@ -173,10 +167,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _packed_spans(docs: DataFrame, window: int) -> DataFrame:
+def _packed_spans(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, spans: for each text of the id that has any, its key and an array of lo * 2^32 + hi (a struct for each span
     would take four times the room)."""
-    rows = _bytes(docs)
     anchors = rows.mapInArrow(lambda it: _anchors(it, window), "k long, doc_id long, place long")
     same = Window.partitionBy("k")
     shared = (
@@ -185,15 +178,16 @@ def _packed_spans(docs: DataFrame, window: int) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list("pos").alias("at"))
     )
-    windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 int, doc_id long, own int, lo int, more int")
+    windows = rows.join(shared, "doc_id").mapInArrow(lambda it: _windows(it, window), "k1 long, k2 int, doc_id long, at long, more int")
     again = Window.partitionBy("k1", "k2")
-    hi = F.col("lo") + F.lit(window) + F.when(F.col("more") < 0, -1 - F.col("more")).otherwise(F.col("more"))
+    lo = F.col("at") % (1 << 32)
+    hi = lo + F.lit(window) + F.when(F.col("more") < 0, -1 - F.col("more")).otherwise(F.col("more"))
     return (
-        windows.select("doc_id", "own", "lo", hi.alias("hi"), ((F.col("more") >= 0) | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
+        windows.select("doc_id", F.shiftright("at", 32).cast("int").alias("own"), (F.shiftleft(lo, 32) + hi).alias("span"), ((F.col("more") >= 0) | (F.min("doc_id").over(again) < F.col("doc_id"))).alias("repeat"))
         .filter("repeat")
         .repartition("doc_id")
         .groupBy("doc_id", "own")
-        .agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("packed"))
+        .agg(F.collect_list("span").alias("packed"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("own", "packed")).alias("spans"))
     )
@@ -201,14 +195,23 @@ def _packed_spans(docs: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, own, spans: array of (lo, hi) word ranges of docs that an earlier document also has; ranges may overlap.  There
-    is a row for each different text of a doc_id that has any; `own` is its text_key."""
+    is a row for each different text of a doc_id that has any; `own` tells those of one id apart."""
     pair = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("lo"), (x % (1 << 32)).cast("int").alias("hi"))
-    each = _packed_spans(docs, window).filter(F.col("doc_id") != NAMELESS).select("doc_id", F.explode("spans").alias("s"))
+    each = _packed_spans(_bytes(docs), window).filter(F.col("doc_id") != NAMELESS).select("doc_id", F.explode("spans").alias("s"))
     return each.select("doc_id", "s.own", F.transform("s.packed", pair).alias("spans"))
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """doc_id, text, own: own is 0, or a number of the text where its doc_id has several texts.  Those ids are found from
+    hashes alone and written; few of them (counted) are broadcast, so that texts are not shuffled for them."""
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    hashes = rows.select("doc_id", F.xxhash64("text").alias("h")).filter(F.col("doc_id") != NAMELESS).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    several = Written(hashes.filter("a <> b").select("doc_id", F.lit(True).alias("several")), "several").df
+    n = several.count()
+    if not n:
+        return rows.withColumn("own", F.lit(0))
+    own = F.when(F.col("several"), F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")).otherwise(0)
+    return rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id", "left").select("doc_id", "text", own.alias("own"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -216,6 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     # the shuffle of texts by doc_id is the one that _packed_spans made: Spark reuses it
-    joined = _bytes(docs).join(_packed_spans(docs, window), "doc_id", "left")
+    rows = _bytes(docs)
+    joined = rows.join(_packed_spans(rows, window), "doc_id", "left")
     out = joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NAMELESS)))
