@@ -39,6 +39,19 @@ def resample_bilinear(cells: DataFrame, target: DataFrame, row: Column, col: Col
     return summed.select("r", "c", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias(band))
 
 
+def zoom(cells: DataFrame, band: str, factor: float, order: int = 1) -> DataFrame:
+    """r, c, band on a grid of round(size * factor) cells a side (halves to even), whose first and last cells lie on those of
+    the source: the nearest cell (order 0) or between four (order 1).  The grid's size, two numbers, comes to the driver."""
+    sides = [0 if n is None else n + 1 for n in cells.agg(F.max("r"), F.max("c")).first()]
+    height, width = (round(n * factor) for n in sides)
+    rows = cells.sparkSession.range(height).select(F.col("id").cast("int").alias("r")).repartition("r")
+    target = rows.select("r", F.explode(F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")).alias("c"))
+    at = [F.col(x) * ((n - 1) / (m - 1) if m > 1 else 0.0) for x, n, m in zip(("r", "c"), sides, (height, width))]
+    if order == 0:
+        return resample_nearest(cells, target, at[0] + 0.5, at[1] + 0.5, [band])
+    return resample_bilinear(cells, target, at[0] + 0.5, at[1] + 0.5, band)
+
+
 def downsample(cells: DataFrame, factor: int, means: list[str] = (), modes: list[str] = ()) -> DataFrame:
     """An overview of factor x factor blocks: means of continuous bands, most frequent codes (the least of equals)."""
     key = [F.floor(F.col(x) / factor).cast("int").alias(x) for x in ("r", "c")]

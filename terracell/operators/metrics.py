@@ -16,6 +16,18 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
 
 
+def confusion_by(scored: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:
+    """tp, fp, fn, tn of each value of a column."""
+    p, t = F.col("pred") >= threshold, F.col("target") > 0.5
+    return scored.groupBy(by).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
+
+
+def monotone(curves: DataFrame, key: str, values: str) -> DataFrame:
+    """key, k, value: each curve's values (a short array) in growing order, NULLs left out."""
+    grown = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    return curves.select(key, F.posexplode(grown).alias("k", "value"))
+
+
 def rates(counts: DataFrame) -> DataFrame:
     """Confusion counts with iou, dice (1 when nothing is expected or found), precision, recall, f1, specificity, accuracy."""
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))

@@ -69,6 +69,17 @@ def balance(patches: DataFrame, positive: Column, times: int = 2, seed: int = 42
     return marked.filter("_p").select(patches.columns).unionByName(kept.select(patches.columns))
 
 
+def shuffled(rows: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+    """rows with `place`, their number from 0 in a random order that depends on the seed and the keys alone.
+
+    Rows are ranked inside 4096 ranges of the hash, whose counts are broadcast: no task orders all rows."""
+    marked = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))).withColumn("_x", F.substring("_h", 1, 3))
+    before = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
+    ranges = marked.groupBy("_x").agg(F.count(F.lit(1)).alias("_n")).select("_x", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = marked.withColumn("_k", F.row_number().over(Window.partitionBy("_x").orderBy("_h", *keys)))
+    return ranked.join(F.broadcast(ranges), "_x").select(*rows.columns, (F.col("_before") + F.col("_k") - 1).alias("place"))
+
+
 def attention_gate(patched: DataFrame, skip: str, gate: str) -> DataFrame:
     """patched with `gated`: the skip band weighted by the sigmoid of the gate band (of the same cells)."""
     return patched.withColumn("gated", F.col(skip) / (1 + F.exp(-F.col(gate))))

@@ -76,9 +76,13 @@ def at_rainfall(cells: DataFrame, mm: float | Column, view: str = "hybrid") -> D
 
     The view `raw` stops after the boost, and `physics` is the physical risk alone, also off the map.  A column gives each row a rainfall of its own, so that several need one pass."""
     r = F.lit(float(mm)) if isinstance(mm, (int, float)) else mm.cast("double")
+    return cells.withColumn("prob", view_of(r, view))
+
+
+def view_of(r: Column, view: str) -> Column:
+    """The risk at a rainfall in one view, from the columns p100, p150, p200 and hydro."""
     data = fn.hydro_boost(fn.rainfall_interpolation(r, F.col("p100"), F.col("p150"), F.col("p200")), F.col("hydro"), r)
-    views = {"hybrid": fn.hybrid_risk(data, F.col("hydro"), r), "raw": data, "physics": fn.clip(fn.physical_risk(F.col("hydro"), r), 0.0, 1.0)}
-    return cells.withColumn("prob", views[view])
+    return {"hybrid": fn.hybrid_risk(data, F.col("hydro"), r), "raw": data, "physics": fn.clip(fn.physical_risk(F.col("hydro"), r), 0.0, 1.0)}[view]
 
 
 def compare_rainfalls(cells: DataFrame, rainfalls: tuple[float, ...] = (50, 100, 150, 200), all_cells: bool = False) -> DataFrame:

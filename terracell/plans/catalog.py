@@ -20,7 +20,7 @@ def query(sql: str | None):
 
 
 def _load() -> None:
-    for name in ("local", "risk", "focal", "layers", "files", "relational", "quality", "streams", "polygons"):
+    for name in ("local", "risk", "focal", "layers", "files", "relational", "quality", "streams", "polygons", "served"):
         importlib.import_module(f"terracell.plans.{name}")
 
 

@@ -21,8 +21,10 @@ def _land():
     return F.col("dem").isNotNull() & (F.col("cover") > 0) & (F.col("cover") < 100)
 
 
-def scenario_cells(spark, sf_dir):
-    return risk.scenarios(risk.multi_criteria(grid(spark, sf_dir)), _land())
+def scenario_cells(spark, sf_dir, *wanted: int):
+    """All scenarios, or the wanted ones alone."""
+    factors = {mm: f for mm, f in risk.SCENARIO_FACTORS.items() if not wanted or mm in wanted}
+    return risk.scenarios(risk.multi_criteria(grid(spark, sf_dir)), _land(), factors)
 
 
 @query(f"WITH {MCDA_SQL} SELECT r, c, round(base_risk, 9) AS base_risk FROM mcda")
@@ -41,7 +43,7 @@ _STATS = """count(*) AS n, round(100e0 * avg(CASE WHEN prob < 0.1 THEN 1e0 ELSE
 
 def _served(mm: int):
     def run(spark, sf_dir):
-        return risk.risk_stats(scenario_cells(spark, sf_dir).filter(F.col("scenario_mm") == mm))
+        return risk.risk_stats(scenario_cells(spark, sf_dir, mm))
 
     run.__name__ = f"risk_stats_{mm}"
     query(f"WITH {SCEN_SQL} SELECT {_STATS} FROM scen WHERE scenario_mm = {mm} AND prob >= 0")(run)
@@ -89,9 +91,9 @@ _BOOSTED = "least(greatest(p + hydro * least({mm}e0 / 200, 1) * 0.2e0, 0), 1)"
 UNION ALL SELECT 'physics' AS view, r, c, round(least(greatest(coalesce(hydro, 0) * (180e0 / 200) * 1.2e0, 0), 1), 9) AS prob FROM hyd""")
 def risk_views(spark, sf_dir):
     """What the maps say alone, and what the terrain says alone, at 180 mm."""
-    cells = hydro_cells(spark, sf_dir)
-    each = [risk.at_rainfall(cells, 180, v).select(F.lit(v).alias("view"), "r", "c", F.round("prob", 9).alias("prob")) for v in ("raw", "physics")]
-    return each[0].unionByName(each[1])
+    cells = hydro_cells(spark, sf_dir)  # once; each view is a column of it
+    probs = [F.struct(F.lit(v).alias("view"), F.round(risk.view_of(F.lit(180.0), v), 9).alias("prob")) for v in ("raw", "physics")]
+    return cells.select("r", "c", F.explode(F.array(*probs)).alias("v")).select("v.view", "r", "c", "v.prob")
 
 
 @query(f"""WITH {HYDRO_SQL}, a AS (SELECT {AT_SQL.format(mm=150)} AS prob FROM (SELECT r, c, hydro, p150 AS p FROM hyd)),
@@ -120,13 +122,13 @@ def evacuation_zone(spark, sf_dir):
 
 @query(f"WITH {SCEN_SQL} SELECT cover, count(*) AS cells, count(*) * 0.0009e0 AS km2 FROM scen WHERE scenario_mm = 100 AND prob > 0.25 AND cover > 0 GROUP BY cover HAVING count(*) * 0.0009e0 > 0.1e0")
 def risk_by_cover(spark, sf_dir):
-    return risk.by_cover(scenario_cells(spark, sf_dir).filter("scenario_mm = 100"))
+    return risk.by_cover(scenario_cells(spark, sf_dir, 100))
 
 
 @query(f"""WITH {SCEN_SQL}, s AS (SELECT min(prob) a, max(prob) b FROM scen WHERE scenario_mm = 100), x AS (SELECT prob, (b - a) / 50 AS w, a FROM scen, s WHERE scenario_mm = 100 AND prob IS NOT NULL),
 y AS (SELECT least(floor((prob - a) / w), 49)::INT AS bin, a, w FROM x) SELECT bin, round(a + bin * w, 9) AS lo, round(a + (bin + 1) * w, 9) AS hi, count(*) AS n FROM y GROUP BY bin, a, w""")
 def risk_histogram(spark, sf_dir):
-    h = stats.histogram(scenario_cells(spark, sf_dir).filter("scenario_mm = 100"), "prob")
+    h = stats.histogram(scenario_cells(spark, sf_dir, 100), "prob")
     return h.select("bin", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n")
 
 
@@ -135,7 +137,7 @@ FROM scen WHERE scenario_mm = 100 AND prob IS NOT NULL ORDER BY md5('7|' || r ||
 def sampled_points(spark, sf_dir):
     """A uniform sample of cells for export, by the hash of their place: the same one at each run."""
     x, y = fn.corner_of(F.col("r"), F.col("c"), (30.0, 0.0, 628018.1242, 0.0, -30.0, 1139177.0464))
-    cells = scenario_cells(spark, sf_dir).filter("scenario_mm = 100 AND prob IS NOT NULL")
+    cells = scenario_cells(spark, sf_dir, 100).filter("prob IS NOT NULL")
     chosen = cells.orderBy(F.md5(F.concat_ws("|", F.lit("7"), "r", "c")), "r", "c").limit(1000)
     return chosen.select("r", "c", x.alias("x"), y.alias("y"), F.round("prob", 6).alias("prob"), fn.ladder(F.col("prob"), "csv").alias("level"))
 
@@ -143,5 +145,5 @@ def sampled_points(spark, sf_dir):
 @query(f"WITH {SCEN_SQL}, n AS (SELECT max(CASE WHEN scenario_mm = 100 THEN prob END) AS p100, max(CASE WHEN scenario_mm = 200 THEN prob END) AS p200, r, c FROM scen GROUP BY r, c) SELECT r, c, round(p100 * 0.4e0 + p200 * 0.6e0, 9) AS mixed FROM n")
 def scenario_pivot(spark, sf_dir):
     """Long scenarios to wide bands, then a mix of two of them."""
-    wide = scenario_cells(spark, sf_dir).groupBy("r", "c").pivot("scenario_mm", [100, 200]).agg(F.max("prob"))
+    wide = scenario_cells(spark, sf_dir, 100, 200).groupBy("r", "c").pivot("scenario_mm", [100, 200]).agg(F.max("prob"))
     return wide.select("r", "c", F.round(F.col("100") * 0.4 + F.col("200") * 0.6, 9).alias("mixed"))

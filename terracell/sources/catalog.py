@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,10 @@ def require(catalog: DataFrame, roles: list[str]) -> None:
 
 
 def resolved(catalog: DataFrame) -> DataFrame:
-    """The first layer of each role by priority: catalog (role, priority, path)."""
-    order = Window.partitionBy("role").orderBy("priority", "path")
-    return catalog.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+    """The first layer of each role by priority: catalog (role, priority, path, ...).  Partial minima, so that a role with
+    very many layers is no hot key."""
+    first = F.min_by(F.struct(*[F.col(c) for c in catalog.columns]), F.struct("priority", "path"))
+    return catalog.groupBy("role").agg(first.alias("_f")).select(*[F.col(f"_f.{c}").alias(c) for c in catalog.columns])
 
 
 def world_file(spark: SparkSession, path: str) -> tuple[float, ...]:

@@ -38,6 +38,12 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def exists(path: str) -> bool:
+    """Whether a grid was written there to its end."""
+    files, root = _open(path)
+    return files.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File
+
+
 def header_of(files: pafs.FileSystem, name: str) -> tiff.Raster:
     with files.open_input_file(name) as f:
         return tiff.read_header(lambda at, n: f.read_at(n, at))
