@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -59,6 +60,18 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_memory: list = [None, None]
+
+
+def claim_memory(owner: object, forget: Callable[[], None]) -> None:
+    """What a Python worker remembers between texts belongs to one operator at a time: when another one's task begins, what
+    the last one kept is forgotten.  Workers live on from stage to stage, and so would all their memories."""
+    if _memory[0] != owner:
+        if _memory[1] is not None:
+            _memory[1]()
+        _memory[:] = [owner, forget]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

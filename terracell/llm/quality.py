@@ -17,6 +17,7 @@ score is 1.  An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, texts
+from .common import claim_memory, mix, texts
 
 SLOTS = 1 << 18
 SHARDS = 8
 #: Shares of the word and the shape family are multiplied by these.
 WORD_SCALE, SHAPE_SCALE = 3.0, 6.0
-#: Words whose features a Python worker keeps at a time.
-KEPT_WORDS = 400_000
+#: Words, and bytes of words, whose features a Python worker keeps at a time.
+KEPT_WORDS, KEPT_BYTES = 300_000, 24 << 20
 #: Scores from here on predict a good text.
 THRESHOLD = 0.7
 
@@ -44,8 +45,11 @@ class _Words:
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.core = np.empty(1024, np.uint64)
-        self.shape = np.empty(1024, np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number.clear()
+        self.bytes, self.core, self.shape = 0, np.empty(1024, np.uint64), np.empty(1024, np.uint64)
 
     def _add(self, word: bytes) -> None:
         k = len(self.number)
@@ -61,11 +65,13 @@ class _Words:
         self.core[k] = xxhash.xxh3_64_intdigest(body.lower())
         self.shape[k] = xxhash.xxh3_64_intdigest(kind + marks)
         self.number[word] = k
+        self.bytes += len(word)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
-        if len(self.number) > KEPT_WORDS:
-            self.number.clear()
+        claim_memory("quality", self.forget)
+        if len(self.number) > KEPT_WORDS or self.bytes > KEPT_BYTES:
+            self.forget()
         for w in set(words).difference(self.number):
             self._add(w)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
@@ -96,17 +102,17 @@ def share(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.bincount(back, np.concatenate([v for _, v in parts]))
 
 
-def train_shard(rows: list[tuple[bytes, int]], passes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> np.ndarray:
-    """FTRL-Proximal over the rows in order; the last weight is the intercept."""
+def train_shard(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], passes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> np.ndarray:
+    """FTRL-Proximal over the rows, sparse vectors (share) with labels, in order; the last weight is the intercept."""
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
         big = np.abs(z[at]) > l1
         return np.where(big, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2), 0.0)
 
-    vectors = [(np.append(at, SLOTS), np.append(x, 1.0), y) for (at, x), y in ((share(t), y) for t, y in rows)]
     for _ in range(passes):
-        for at, x, y in vectors:
+        for (at, x), y in rows:
+            at, x = np.append(at, SLOTS), np.append(x, 1.0)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
@@ -115,6 +121,14 @@ def train_shard(rows: list[tuple[bytes, int]], passes: int, alpha: float = 2.0,
     return weights(np.arange(SLOTS + 1))
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as sparse vectors, so that no shard holds texts."""
+    for b in batches:
+        found = [share(t or b"") for t in b.column("text").to_pylist()]
+        at, x = (pa.array([v.astype(kind).tobytes() for v in part], pa.binary()) for part, kind in ((([a for a, _ in found]), np.int32), (([x for _, x in found]), np.float64)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("shard"), at, x], ["doc_id", "y", "shard", "at", "x"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, passes: int = 4, label_col: str = "quality") -> np.ndarray | None:
     """Weights learnt from labels (doc_id, label_col in 0/1); None without labelled rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
@@ -123,10 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, passes: in
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in pdf["doc_id"]], kind="stable")]
-        w = train_shard(list(zip(pdf["text"], pdf["y"])), passes)
+        w = train_shard([((np.frombuffer(a, np.int32), np.frombuffer(x)), y) for a, x, y in zip(pdf["at"], pdf["x"], pdf["y"])], passes)
         return pd.DataFrame({"rows": [len(pdf)], "weights": [w.astype(np.float32).tobytes()]})
 
-    fitted = rows.groupBy("shard").applyInPandas(fit, "rows long, weights binary").collect()
+    vectors = rows.select("doc_id", "y", "shard", "text").mapInArrow(_vectors, "doc_id long, y int, shard long, at binary, x binary")
+    fitted = vectors.groupBy("shard").applyInPandas(fit, "rows long, weights binary").collect()
     if not fitted:
         return None
     return np.average([np.frombuffer(r["weights"], np.float32) for r in fitted], axis=0, weights=[r["rows"] for r in fitted]).astype(np.float32)

@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from .common import claim_memory
+
 #: Stretches, and pieces, that a Python worker remembers: the first ones, among them the frequent ones.  Later ones are
 #: encoded whenever they occur.
 KEPT = 500_000
@@ -123,6 +125,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, spaces_count: bool) -> Encoder:
     """The worker's encoder of this vocabulary; spaces_count: whether white space is part of the ids."""
     key = path, spaces_count
+    claim_memory(key, _encoders.clear)
     if key not in _encoders:
         _encoders[key] = Encoder(path, spaces_count)
     return _encoders[key]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, texts
+from .common import Written, claim_memory, texts
 
 SLOTS = 1 << 18
 #: Words, and bytes of words, whose features a Python worker keeps at a time.
@@ -65,6 +65,7 @@ class _Words(dict):
         return k
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
+        claim_memory("toxicity", self.forget)
         if self.used > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.forget()
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))

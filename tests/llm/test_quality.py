@@ -61,7 +61,7 @@ def test_training_against_a_plain_ftrl(spark):
                 sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / alpha
                 z[k] = z.get(k, 0.0) + g - sigma * w[k]
                 n[k] = before + g * g
-    got = train_shard(rows, 3)
+    got = train_shard([(share(t), y) for t, y in rows], 3)
     want = np.zeros(SLOTS + 1)
     for k in z:
         want[k] = weight(k)
@@ -73,3 +73,15 @@ def test_a_score_at_the_threshold_is_good(spark):
     tied = quality_scores(docs, labels).first()["score"]
     rows = quality_scores(docs, labels, threshold=tied).collect()
     assert any(r["score"] == tied for r in rows) and all(r["predicted"] == int(r["score"] >= tied) for r in rows)
+
+
+def test_memory_belongs_to_one_operator_at_a_time():
+    from terracell.llm import toxicity
+    from terracell.llm.quality import _words
+
+    before = slots(b"one two three")
+    assert len(_words.number) > 0
+    toxicity.bag("one two three")
+    assert len(_words.number) == 0 and len(toxicity._words) > 3
+    after = slots(b"one two three")
+    assert all(np.array_equal(a, b) for a, b in zip(before, after)) and len(toxicity._words) == 4  # the marks alone
