@@ -7,8 +7,8 @@ look random.
    of runs above and below the alphabet's middle, and the serial correlation of neighbours.  Each gives a standard
    score; the statistic is the sum of their squares, small for random strings.
 3. Tokens of letters only are the null sample: ordinary words.  Within each class of alphabet and length they are mixed
-   with NULLS word-like strings of the module's own, the same at every run, so that the null is never smaller than that,
-   whatever the table holds.  The share of the null with a statistic as small is the p-value of a token that mixes
+   with NULLS word-like strings, drawn from how letters, and digits, follow each other in all texts (a table of fixed size,
+   without the candidates), so that the null is never smaller than that and fits the corpus at hand.  The share of the null with a statistic as small is the p-value of a token that mixes
    letters and digits.  Where fewer than TAIL of the null are as small, the share is extrapolated by a normal fit to the
    cube roots of the statistics (which are nearly normal), so that p-values have no floor and a single random token is
    found among many words, if its length allows it at all.  The Benjamini-Hochberg rule, with weights that grow with the
@@ -52,13 +52,10 @@ STEP, BINS = 0.25, 400
 ALPHABETS = (16, 32, 62, 64)
 #: Word-like strings in the null of each class; below this many of them p-values are extrapolated.
 NULLS, TAIL = 1 << 13, 32
-_WORDS = """the and that have with this from they which would there their about could other after first these people water
-system order value number report account service customer example country between because through another something
-information development government important different following university understand und der die nicht werden auch eine
-haben zwischen gesellschaft verwaltung pour dans avec vous cette mais comme plus tout etre entreprise developpement para como
-pero esta todos cuando entre desarrollo informacion empresa file name user data type list index table query result config
-error message version update default manager factory handler request response content length buffer stream reader writer""".split()
-_HEX_WORDS = "dead beef cafe face added decade feed bad babe fade ace dad bed deed facade abc fed bead 00 11 12 123 2020 1999 100".split()
+#: Different words, and numbers, that the null draws from the counts of pairs.
+DRAWN = 2048
+#: Letters a to z and digits, each with a mark for the ends of a run; pairs of them are counted.
+LETTERS, DIGITS = 27, 11
 
 #: The 99.9 % quantile of chi-squared with three degrees of freedom: what exceeds it is rejected as random.
 RANDOM_AT_MOST = 16.25
@@ -121,44 +118,75 @@ def _judged(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(ALPHABETS, size) * len(LENGTHS) + lengths
 
 
-_null: list[np.ndarray] = []
-
-
-def _word_stream(size: int, rng: np.random.Generator, n: int = 1 << 16) -> tuple[str, np.ndarray]:
-    """A stream of n words in the way of an alphabet, and where its words start.  Styles change every 64 words: how often
-    words are capitalised, followed by a number or a mark."""
-    pool = _HEX_WORDS if size == 16 else _WORDS
-    words = [pool[i] for i in rng.integers(0, len(pool), n).tolist()]
-    if size == 32:
-        words = [w.upper() for w in words]
-    elif size > 32:
-        style = np.repeat(rng.random((-(-n // 64), 3)), 64, axis=0)[:n]
-        style[:, 1] *= 0.6
-        on = (rng.random((n, 3)) < style).tolist()
-        number, mark = rng.integers(0, 2030, n).tolist(), rng.choice(list("___---/="), n).tolist()
-        for i, (capital, counted, marked) in enumerate(on):
-            w = words[i].capitalize() if capital else words[i]
-            words[i] = w + (mark[i] if marked and size == 64 else "") + (str(number[i]) if counted else "")
+_AS_LETTER, _AS_DIGIT = np.zeros(256, np.int64), np.zeros(256, np.int64)
+for _k in range(26):
+    _AS_LETTER[ord("a") + _k] = _AS_LETTER[ord("A") + _k] = _k + 1
+for _k in range(10):
+    _AS_DIGIT[ord("0") + _k] = _k + 1
+
+
+def pairs_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of neighbouring letters, case folded, and of neighbouring digits, with the ends of their runs; candidates are
+    left out, so that secrets do not shape the null they are held against."""
+    x = np.frombuffer(_TOKEN.sub(lambda m: " " if _is_candidate(m[0]) else m[0], f" {text} ").encode("latin-1", "replace"), np.uint8)
+    letter, digit = _AS_LETTER[x], _AS_DIGIT[x]
+    return np.bincount(letter[:-1] * LETTERS + letter[1:], minlength=LETTERS**2), np.bincount(digit[:-1] * DIGITS + digit[1:], minlength=DIGITS**2)
+
+
+def drawn_runs(pairs: np.ndarray, signs: str, allowed: str, rng: np.random.Generator, most: int = 24, least: int = 1) -> list[str]:
+    """Runs of at least `least` allowed signs as the counts of pairs have them: a chain from the end of one run to the next.  Pairs
+    count a little even where the corpus lacks them, so that an empty corpus has a chain too."""
+    own = np.array([0] + [k + 1 for k, c in enumerate(signs) if c in allowed])
+    n = pairs.reshape(len(signs) + 1, -1)[np.ix_(own, own)] + 1e-3
+    n[0, 0] = 0.0
+    table = (n / n.sum(1, keepdims=True)).cumsum(1)
+    state, runs = np.zeros(DRAWN, np.int64), np.zeros((DRAWN, most), np.int64)
+    for k in range(most):
+        before, u = state, rng.random(DRAWN)
+        if k < least:  # the run may not end yet
+            u = table[before, 0] + u * (1 - table[before, 0])
+        state = np.minimum((table[before] < u[:, None]).sum(1), len(own) - 1)
+        if k >= least:
+            state[before == 0] = 0  # ended
+        runs[:, k] = state
+    show = np.array(["", *(signs[k - 1] for k in own[1:])])
+    return ["".join(show[r]) for r in runs]
+
+
+def _word_stream(size: int, letters: np.ndarray, digits: np.ndarray, rng: np.random.Generator, n: int = 1 << 16) -> tuple[str, np.ndarray]:
+    """A stream of n words drawn from the counts of pairs, in the way of an alphabet, and where its words start.  Styles
+    change every 64 words: how often words are capitalised, followed by a number or a mark."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    pool = drawn_runs(letters, alphabet, "abcdef" if size == 16 else alphabet, rng, least=3 if size == 16 else 4)
+    numbers = drawn_runs(digits, "0123456789", "234567" if size == 32 else "0123456789", rng, 4)  # years and small numbers
+    words = [pool[i] for i in rng.integers(0, DRAWN, n).tolist()]
+    style = np.repeat(rng.random((-(-n // 64), 3)), 64, axis=0)[:n]
+    style[:, 1] *= 0.6
+    on = (rng.random((n, 3)) < style).tolist()
+    number, mark = rng.integers(0, DRAWN, n).tolist(), rng.choice(list("___---/="), n).tolist()
+    for i, (capital, counted, marked) in enumerate(on):
+        w = words[i].upper() if size == 32 else words[i].capitalize() if capital and size > 32 else words[i]
+        words[i] = w + (mark[i] if marked and size == 64 else "") + (numbers[number[i]] if counted else "")
     return "".join(words), np.cumsum([0] + [len(w) for w in words])
 
 
-def word_null() -> np.ndarray:
-    """The histogram [class, bin] of NULLS word-like strings in each class."""
-    if not _null:
-        rng, held = np.random.default_rng(7), np.zeros((len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
-        for k, size in enumerate(ALPHABETS):
-            stream, starts = _word_stream(size, rng)
-            for j, n in enumerate(LENGTHS):
-                most, own = LENGTHS[j + 1] if j + 1 < len(LENGTHS) else 2 * n, k * len(LENGTHS) + j
-                left = NULLS
-                while left > 0:  # strings whose characters do not need the whole alphabet belong to another class
-                    at = rng.choice(starts[starts < len(stream) - 2 * n], NULLS)
-                    stat, kind = _judged([stream[a : a + m] for a, m in zip(at.tolist(), rng.integers(n, most, NULLS).tolist())])
-                    stat = stat[kind == own][:left]
-                    held[own] += np.bincount(np.minimum(stat / STEP, BINS - 1).astype(np.int64), minlength=BINS)
-                    left -= len(stat)
-        _null.append(held)
-    return _null[0]
+def word_null(letters: np.ndarray | None = None, digits: np.ndarray | None = None) -> np.ndarray:
+    """The histogram [class, bin] of NULLS word-like strings in each class, from the corpus's counts of pairs."""
+    letters = np.zeros(LETTERS**2) if letters is None else letters
+    digits = np.zeros(DIGITS**2) if digits is None else digits
+    rng, held = np.random.default_rng(7), np.zeros((len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
+    for k, size in enumerate(ALPHABETS):
+        stream, starts = _word_stream(size, letters, digits, rng)
+        for j, n in enumerate(LENGTHS):
+            most, own = LENGTHS[j + 1] if j + 1 < len(LENGTHS) else 2 * n, k * len(LENGTHS) + j
+            left, tries = NULLS, 0
+            while left > 0 and tries < 40:  # strings whose characters do not need the whole alphabet belong to another class
+                at = rng.choice(starts[starts < len(stream) - 2 * n], NULLS)
+                stat, kind = _judged([stream[a : a + m] for a, m in zip(at.tolist(), rng.integers(n, most, NULLS).tolist())])
+                stat = stat[kind == own][:left]
+                held[own] += np.bincount(np.minimum(stat / STEP, BINS - 1).astype(np.int64), minlength=BINS)
+                left, tries = left - len(stat), tries + 1
+    return held
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -183,7 +211,12 @@ def _tokens(text: str) -> list[tuple[int, str]]:
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros((2, len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
+    letters, digits = np.zeros(LETTERS**2, np.int64), np.zeros(DIGITS**2, np.int64)
     for batch in batches:
+        for text in batch.column("text").to_pylist():
+            a, b = pairs_of(text)
+            letters += a
+            digits += b
         tokens = [t for text in batch.column("text").to_pylist() for _, t in _tokens(text)]
         tokens = [t for t in tokens if _letters_only(t) or _is_candidate(t)]
         stat, kind = _judged(tokens)
@@ -191,7 +224,12 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         role = np.array([0 if _letters_only(t) else 1 for t in tokens], np.int64)
         np.add.at(held, (role, kind, bins), 1)
     at = np.argwhere(held)
-    yield pa.RecordBatch.from_arrays([*(pa.array(at[:, k]) for k in range(3)), pa.array(held[tuple(at.T)])], names=["role", "class", "bin", "n"])
+    rows = [np.column_stack([at, held[tuple(at.T)]])]
+    for role, counts in ((2, letters), (3, digits)):
+        k = np.flatnonzero(counts)
+        rows.append(np.column_stack([np.full(len(k), role), np.zeros_like(k), k, counts[k]]))
+    rows = np.concatenate(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["role", "class", "bin", "n"])
 
 
 def p_values(null: np.ndarray) -> np.ndarray:
@@ -211,14 +249,15 @@ def p_values(null: np.ndarray) -> np.ndarray:
     return p
 
 
-def limits(held: np.ndarray, q: float = 0.01) -> np.ndarray:
-    """For each class the number of first bins that count as random, from held[role, class, bin] (0 null, 1 candidates)."""
+def limits(held: np.ndarray, q: float = 0.01, null: np.ndarray | None = None) -> np.ndarray:
+    """For each class the number of first bins that count as random, from held[role, class, bin] (0 null, 1 candidates) and
+    the null drawn from the corpus's pairs."""
     seen = held[1]
     total = seen.sum()
     out = np.zeros(held.shape[1], np.int64)
     if not total:
         return out
-    p = p_values(held[0] + word_null())
+    p = p_values(held[0] + (word_null() if null is None else null))
     weight = np.log(np.tile(np.array(LENGTHS, float), len(ALPHABETS)))
     weight /= (weight * seen.sum(axis=1)).sum() / total  # mean 1 over candidates
     scaled = p / weight[:, None]
@@ -234,9 +273,13 @@ def limits(held: np.ndarray, q: float = 0.01) -> np.ndarray:
 def learn_limits(docs: DataFrame, q: float = 0.01) -> np.ndarray:
     held = np.zeros((2, len(ALPHABETS) * len(LENGTHS), BINS), np.int64)
     rows = texts(docs).select("text").mapInArrow(_histogram, "role long, class long, bin long, n long")
-    for r in rows.groupBy("role", "class", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 * 24 * 400 rows
-        held[r["role"], r["class"], r["bin"]] = r["n"]
-    return limits(held, q)
+    letters, digits = np.zeros(LETTERS**2), np.zeros(DIGITS**2)
+    for r in rows.groupBy("role", "class", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 * 24 * 400 + 27^2 + 11^2 rows
+        if r["role"] < 2:
+            held[r["role"], r["class"], r["bin"]] = r["n"]
+        else:
+            (letters if r["role"] == 2 else digits)[r["bin"]] = r["n"]
+    return limits(held, q, word_null(letters, digits)) if held[1].any() else limits(held, q)
 
 
 def _apart(found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -134,3 +134,21 @@ def test_long_texts_repeated_rows_and_null_ids(spark):
     rows = [(None, "password: hunter2hunter2"), (None, "password: hunter2hunter2"), (3, "AKIA" + "Z" * 16), (3, "AKIA" + "Z" * 16), (3, None), (4, "")]
     out = span_digests(secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"]) for r in out) == [(0, 1, 0), (0, 1, 0), (3, 0, 0), (3, 0, 1), (3, 0, 1), (4, 0, 0)]
+
+
+def test_the_null_comes_from_the_corpus(spark):
+    """Pairs are those of the texts without the candidates, drawn runs look like the corpus, and limits differ between
+    tables."""
+    from terracell.llm.secret_scan import DIGITS, LETTERS, drawn_runs, pairs_of, word_null
+
+    letters, digits = pairs_of("Abba 77 xq9QW7e5RT2yU8iO1pLkJ")
+    assert letters.reshape(LETTERS, -1)[1, 2] == letters.reshape(LETTERS, -1)[2, 2] == letters.reshape(LETTERS, -1)[2, 1] == 1
+    assert letters.reshape(LETTERS, -1)[24].sum() == 0 and digits.reshape(DIGITS, -1)[8, 8] == 1  # x only in the candidate
+    rng = np.random.default_rng(1)
+    runs = drawn_runs(pairs_of("abab abab cd " * 500)[0].astype(float), "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", rng)
+    assert np.mean([set(r) <= set("ab") or r == "cd" for r in runs]) > 0.95
+    assert (word_null() >= 0).all() and word_null().shape == word_null(letters.astype(float), digits.astype(float)).shape
+    keys = lambda n: " ".join("".join(rng.choice(list(string.ascii_letters + string.digits), 40)) for _ in range(n))
+    tables = [[(i, f"{word * 300} {keys(1)}") for i in range(60)] for word in ("the sun and the sea ", "zxq kwv jjq xzz ")]
+    found = [learn_limits(spark.createDataFrame(rows, "doc_id long, text string")) for rows in tables]
+    assert not np.array_equal(*found)
