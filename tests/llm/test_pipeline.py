@@ -48,3 +48,22 @@ def test_run_and_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_odd_documents_in_one_run(spark, tmp_path):
+    """Null and repeated ids and texts, rows repeated in full, very long texts, and columns named like the stages' own."""
+    own = documents(spark, SF).limit(40).selectExpr("doc_id", "text", "lang", "source")
+    long = " ".join(f"word{k % 700}" for k in range(30_000))
+    rows = [(None, None, None, None), (None, "a b c", "en", "s"), (7, "Same text here.", "en", None), (7, "Same text here.", "en", None), (8, "Same text here.", None, "s"), (9, "", "en", "s"), (10, long, "en", "s"), (11, long + " end", "en", "s"), (7, "Another text of this id.", "en", "s")]
+    odd = own.union(spark.createDataFrame(rows, own.schema)).selectExpr("*", "1 AS score", "'k' AS keep_id", "2 AS shard", "3 AS copies", "'x' AS label")
+    docs, before = odd, None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "pack":
+            assert out.columns == odd.columns
+        out.write.parquet(f"file://{tmp_path}/{name}")
+        docs, before = spark.read.parquet(f"file://{tmp_path}/{name}"), docs
+    check(docs.collect(), 2048)
+    exact = spark.read.parquet(f"file://{tmp_path}/exact")
+    assert exact.selectExpr("coalesce(text, '') AS t").groupBy("t").count().filter("count > 1").collect() == [] and exact.count() > 10
+    assert before.count() > 0
