@@ -39,17 +39,16 @@ def resample_bilinear(cells: DataFrame, target: DataFrame, row: Column, col: Col
     return summed.select("r", "c", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias(band))
 
 
-def zoom(cells: DataFrame, band: str, factor: float, order: int = 1) -> DataFrame:
-    """r, c, band on a grid of round(size * factor) cells a side (halves to even), whose first and last cells lie on those of
-    the source: the nearest cell (order 0) or between four (order 1).  The grid's size, two numbers, comes to the driver."""
+def zoom(cells: DataFrame, band: str, factor: float, order: int = 1, tile: int = 256) -> DataFrame:
+    """r, c, band (double) on a grid of round(size * factor) cells a side (halves to even), whose first and last cells lie on
+    those of the source: the nearest cell (order 0) or between four (order 1).  The grid's size, two numbers, comes to the
+    driver."""
     sides = [0 if n is None else n + 1 for n in cells.agg(F.max("r"), F.max("c")).first()]
-    height, width = (round(n * factor) for n in sides)
-    rows = cells.sparkSession.range(height).select(F.col("id").cast("int").alias("r")).repartition("r")
-    target = rows.select("r", F.explode(F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")).alias("c"))
-    at = [F.col(x) * ((n - 1) / (m - 1) if m > 1 else 0.0) for x, n, m in zip(("r", "c"), sides, (height, width))]
-    if order == 0:
-        return resample_nearest(cells, target, at[0] + 0.5, at[1] + 0.5, [band])
-    return resample_bilinear(cells, target, at[0] + 0.5, at[1] + 0.5, band)
+    sizes = [round(n * factor) for n in sides]
+    step = [(n - 1) / (m - 1) if m > 1 else 0.0 for n, m in zip(sides, sizes)]
+    tiles = target_tiles(F.lit(sizes[0]), F.lit(sizes[1]), cells.sparkSession.range(1), tile)
+    at = lambda r, c: (r * step[0] + 0.5, c * step[1] + 0.5)
+    return resample(cells, at, tiles, *(([band], []) if order == 0 else ([], [band])), tile)
 
 
 def downsample(cells: DataFrame, factor: int, means: list[str] = (), modes: list[str] = ()) -> DataFrame:
@@ -133,20 +132,25 @@ def _nearest(values: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def reproject(cells: DataFrame, source_transform: tuple, target: DataFrame, transform: tuple, inverse, nearest: list[str] = (), bilinear: list[str] = (), tile: int = 256) -> DataFrame:
-    """r, c and the bands (doubles) of every cell of a target grid in another reference system; NULL stays NULL and is where
-    the source does not reach.
-
-    target: the tiles of target_tiles; inverse(x, y) gives columns of source coordinates for target coordinates.  The cells
-    on the frame of a target tile are projected back: as the projection bends no tile inside out, the box around them, one
-    cell wider, holds the source cells of the whole tile.  Source cells go to the tiles whose boxes hold them, with a few
-    along the borders going to two, by source tiles of the same side; so a cell is shuffled about once whatever the method,
-    and target cells are made where their tile is."""
+    """resample() to a grid in another reference system: inverse(x, y) gives columns of source coordinates for target
+    coordinates, the transforms map cells to coordinates."""
+    return resample(cells, lambda r, c: _source_place(r, c, transform, inverse, source_transform), target, nearest, bilinear, tile)
+
+
+def resample(cells: DataFrame, place, target: DataFrame, nearest: list[str] = (), bilinear: list[str] = (), tile: int = 256) -> DataFrame:
+    """r, c and the bands (doubles) of every cell of a target grid; NULL stays NULL and is where the source does not reach.
+
+    target: the tiles of target_tiles; place(r, c) gives the fractional row and column in the source (a cell's centre at
+    one half) of a target cell, as columns.  The cells on the frame of a target tile are placed first: as the mapping bends
+    no tile inside out, the box around them, one cell wider, holds the source cells of the whole tile.  Source cells go to
+    the tiles whose boxes hold them, with a few along the borders going to two, by source tiles of the same side; so a cell
+    is shuffled about once whatever the method, and target cells are made where their tile is."""
     bands = [*nearest, *bilinear]
     span = lambda t, n: F.least(F.lit(tile), F.col(n) - F.col(t) * tile)  # noqa: E731  rows or columns of a tile
     step = F.explode(F.sequence(F.lit(0), F.greatest(span("tr", "_h"), span("tc", "_w")) - 1)).alias("k")
     edges = F.explode(F.array(*[F.struct(r.alias("i"), c.alias("j")) for r, c in ((F.lit(0), F.col("k")), (span("tr", "_h") - 1, F.col("k")), (F.col("k"), F.lit(0)), (F.col("k"), span("tc", "_w") - 1))])).alias("e")
     frame = target.select("*", step).select("*", edges).filter((F.col("e.i") < span("tr", "_h")) & (F.col("e.j") < span("tc", "_w")))
-    y, x = _source_place(F.col("tr") * tile + F.col("e.i"), F.col("tc") * tile + F.col("e.j"), transform, inverse, source_transform)
+    y, x = place(F.col("tr") * tile + F.col("e.i"), F.col("tc") * tile + F.col("e.j"))
     low, high = (lambda v: F.floor(F.min(v)).cast("int") - 2), (lambda v: F.floor(F.max(v)).cast("int") + 2)
     boxes = frame.groupBy("tr", "tc").agg(low(y).alias("_r0"), high(y).alias("_r1"), low(x).alias("_c0"), high(x).alias("_c1"))
     each = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
@@ -157,7 +161,7 @@ def reproject(cells: DataFrame, source_transform: tuple, target: DataFrame, tran
     source = source.filter(F.col("r").between(F.col("_r0"), F.col("_r1")) & F.col("c").between(F.col("_c0"), F.col("_c1"))).select(F.col("tr").alias("_tr"), F.col("tc").alias("_tc"), "r", "c", *bands)
     own = target.repartition("tr", "tc").select("*", F.explode(F.sequence(F.lit(0), span("tr", "_h") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), span("tc", "_w") - 1)).alias("j"))
     r, c = F.col("tr") * tile + F.col("i"), F.col("tc") * tile + F.col("j")
-    y, x = _source_place(r, c, transform, inverse, source_transform)
+    y, x = place(r, c)
     own = own.select("tr", "tc", r.cast("int").alias("r"), c.cast("int").alias("c"), y.alias("y"), x.alias("x"))
 
     def fill(wanted: pa.Table, held: pa.Table) -> pa.Table:

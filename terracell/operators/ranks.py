@@ -59,18 +59,21 @@ def percentiles(cells: DataFrame, bands: dict[str, Column], wanted: dict[str, tu
     _narrow(cells, x, ranks, bracket, {n for n in ranks if one[f"{n}_n"] * 2 * spread > held}, held)
     todo = set(ranks)
     while todo:
-        key = {n: F.when(x[n] < bracket[n][0], F.lit(-math.inf)).when(x[n] <= bracket[n][1], x[n]) for n in todo}
-        each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), key[n].alias("x")) for n in sorted(todo)])).alias("v")
-        counted = cells.select(each).select("v.*").filter("x IS NOT NULL").groupBy("name", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+        below = {n: x[n] < bracket[n][0] for n in todo}
+        own = {n: F.when(x[n].between(*bracket[n]), x[n]) for n in todo}
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), below[n].alias("below"), own[n].alias("x")) for n in sorted(todo)])).alias("v")
+        counted = cells.select(each).select("v.*").filter("below OR x IS NOT NULL").groupBy("name", "below", "x").agg(F.count(F.lit(1)).alias("n")).collect()
         for n in sorted(todo):
-            low, high, seen = None, None, 0
-            for v, k in sorted((r["x"], r["n"]) for r in counted if r["name"] == n):
+            low, high, seen = None, None, sum(r["n"] for r in counted if r["name"] == n and r["below"])
+            if seen > math.floor(ranks[n]):
+                continue  # the bracket begins too late
+            for v, k in sorted((r["x"], r["n"]) for r in counted if r["name"] == n and not r["below"]):
                 seen += k
                 low = v if low is None and seen > math.floor(ranks[n]) else low
                 high = v if high is None and seen > math.ceil(ranks[n]) else high
-            if high is not None and low != -math.inf:
+            if high is not None:
                 part = ranks[n] - math.floor(ranks[n])
-                out[n] = low * (1 - part) + high * part
+                out[n] = low * (1 - part) + high * part if part else low
         todo -= set(out)
         for n in todo:
             bracket[n] = EVERYTHING

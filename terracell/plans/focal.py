@@ -123,8 +123,11 @@ SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NUL
 
 @query(_BILINEAR_SQL)
 def resample_bilinear(spark, sf_dir):
-    cells = grid(spark, sf_dir)
-    return align.resample_bilinear(cells, *_target(cells), "dem").select("r", "c", F.round("dem", 6).alias("dem"))
+    cells = grid(spark, sf_dir).select("r", "c", "dem")
+    extent = cells.agg(*[F.ceil((F.max(x) + 1) / F.lit(1.7)).alias(f"_{x}") for x in ("r", "c")])
+    at = lambda r, c: ((r + 0.5) * 1.7 + 0.3, (c + 0.5) * 1.7 - 0.2)
+    out = align.resample(cells, at, align.target_tiles(F.col("_r"), F.col("_c"), extent, 64), bilinear=["dem"], tile=64)
+    return out.select("r", "c", F.round("dem", 6).alias("dem"))
 
 
 @query(_NEAREST_SQL)

@@ -118,13 +118,13 @@ t AS (SELECT a.i AS r, b.j AS c, a.i * (h / (mh - 1)::DOUBLE) AS y, b.j * (w / (
 
 @query(G + _ZOOM.format(z=0.37) + "SELECT t.r::INT AS r, t.c::INT AS c, lulc FROM t LEFT JOIN grid g ON g.r = floor(y + 0.5e0) AND g.c = floor(x + 0.5e0)")
 def zoom_nearest(spark, sf_dir):
-    return align.zoom(grid(spark, sf_dir).select("r", "c", "lulc"), "lulc", 0.37, 0)
+    return align.zoom(grid(spark, sf_dir).select("r", "c", "lulc"), "lulc", 0.37, 0, 64).withColumn("lulc", F.col("lulc").cast("int"))
 
 
 @query(G + _ZOOM.format(z=1.6) + """, k AS (SELECT t.r, t.c, n.dem, (1 - abs(y - n.r)) * (1 - abs(x - n.c)) AS w FROM t LEFT JOIN grid n ON n.r BETWEEN floor(y)::INT AND floor(y)::INT + 1 AND n.c BETWEEN floor(x)::INT AND floor(x)::INT + 1)
 SELECT r::INT AS r, c::INT AS c, round(sum(w * dem) FILTER (WHERE dem IS NOT NULL) / nullif(sum(w) FILTER (WHERE dem IS NOT NULL), 0), 5) AS dem FROM k GROUP BY r, c""")
 def zoom_linear(spark, sf_dir):
-    return align.zoom(grid(spark, sf_dir).select("r", "c", "dem"), "dem", 1.6, 1).withColumn("dem", F.round("dem", 5))
+    return align.zoom(grid(spark, sf_dir).select("r", "c", "dem"), "dem", 1.6, 1, 64).withColumn("dem", F.round("dem", 5))
 
 
 @query(G + "SELECT pr, pc, row_number() OVER (ORDER BY md5('42|' || pr || '|' || pc), pr, pc) - 1 AS place FROM (SELECT DISTINCT r // 4 AS pr, c // 4 AS pc FROM grid)")

@@ -174,6 +174,8 @@ def test_percentiles_at_every_bound(spark):
     for accuracy, held in ((10_000, 200_000), (50, 200_000), (50, 40), (20, 1)):
         got = ranks.percentiles(df, bands, wanted, accuracy, held)
         assert np.allclose([got[n] for n in ("lo", "mid", "flat", "end", "start")], np.quantile(x, [0.013, 0.5, 0.62, 1.0, 0.0])) and got["one"] == 7.0 and got["gone"] is None
+    ends = spark.createDataFrame([(v,) for v in (float("-inf"), float("-inf"), 1.0, 2.0, float("inf"))], "x double")
+    assert ranks.percentiles(ends, {"x": F.col("x")}, {"a": ("x", 0.0), "b": ("x", 0.5), "c": ("x", 1.0)}) == {"a": float("-inf"), "b": 1.0, "c": float("inf")}
     row = ranks.percentile_row(df, bands, wanted).first()
     assert row["mid"] == got["mid"] and row["gone"] is None
     assert ranks.with_percentiles(df, _p=(bands["a"], 0.5)).select("_p").distinct().collect() == [(got["mid"],)]
