@@ -77,8 +77,10 @@ def slope_radians(slope: Column) -> Column:
     return F.radians(F.when(slope.isNotNull(), F.greatest(slope, F.lit(0.1))))
 
 
-def wetness(area: Column, rad: Column, clipped: bool = False) -> Column:
-    twi = F.ln(area / (F.tan(rad) + 1e-6))
+def wetness(area: Column, rad: Column, clipped: bool = False, dry: float | None = None) -> Column:
+    """dry: the index where nothing flows, NULL unless given (Spark's ln has no value at 0)."""
+    x = area / (F.tan(rad) + 1e-6)
+    twi = F.ln(x) if dry is None else F.when(x == 0, F.lit(dry)).otherwise(F.ln(x))
     return clip(twi, 0.0, 20.0) if clipped else twi
 
 
