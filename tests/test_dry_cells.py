@@ -13,6 +13,7 @@ NAMES = [
     "hydro_composite",
     "evacuation_zone",
     "forecast_risk",
+    "rainfall_comparison",
 ]
 
 
