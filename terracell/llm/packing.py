@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, texts
-from .tokens import encoder
+from .tokens import at_once, encoder
 
 SIZE = 2048
 DEME = 8192
@@ -64,11 +64,13 @@ def _pieces(path: str, end: int, size: int):
         enc = encoder(path, True)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(enc.encode(text), end).astype("<u4")
-                for k, (s, n) in enumerate(pieces_of(len(ids), size)):
-                    for x, v in zip(out, (i, k, s, n, zlib.crc32(ids[s : s + n].tobytes()))):
-                        x.append(v)
+            for lo, hi in at_once(batch.column("text")):
+                rows = batch.slice(lo, hi - lo)
+                for i, ids in zip(rows.column("doc_id").to_pylist(), enc.encode_spaced(rows.column("text").to_pylist())):
+                    ids = np.append(ids, end).astype("<u4")
+                    for k, (s, n) in enumerate(pieces_of(len(ids), size)):
+                        for x, v in zip(out, (i, k, s, n, zlib.crc32(ids[s : s + n]))):
+                            x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run

@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text into pieces before they merge anything, and no merge crosses a piece.  So a text is cut
 at places that are always piece borders, each different stretch is encoded once per worker, and ids are gathered from
-that memory.  A stretch of plain Latin letters, digits and ASCII marks is cut into its pieces here and goes straight
+that memory.  Where white space counts, many texts are encoded at once: Arrow finds their distinct words, and those
+that are not remembered go joined through the whole tokenizer, each once.  Otherwise a stretch of plain Latin letters, digits and ASCII marks is cut into its pieces here and goes straight
 to the library's merge model; any other stretch, and a text whose cut could differ from the tokenizer's own, is
 encoded by the whole tokenizer.
 """
@@ -14,6 +15,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import claim_memory
 
@@ -21,6 +24,9 @@ from .common import claim_memory
 #: encoded whenever they occur.
 KEPT = 500_000
 
+#: Words that go joined through the tokenizer, and bytes of texts (one text at least) that are encoded at once.
+JOINED, AT_ONCE = 100, 8_000_000
+
 #: A space before further white space: there the cut at spaces could differ from the tokenizer's.
 _ODD_SPACE = re.compile(r" \s")
 #: Letters that are composed already, have one lower case letter, and need no look at their neighbours.
@@ -71,6 +77,10 @@ class Encoder:
         self.piece_ids: dict[str, bytes] = {}  # ids of four bytes each, a third of the memory of lists
         self.number = _Numbers(self._learn)
         self.ids, self.start, self.length = array("i"), array("q"), array("q")
+        if spaces_count:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+            self.opens[[i for token, i in vocabulary.items() if token.startswith(self.visible[" "])]] = True
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -118,6 +128,67 @@ class Encoder:
             del self.ids[self.start[KEPT] :], self.length[KEPT:], self.start[KEPT:]
         return np.concatenate([np.array(first, np.int32), ids]) if first else ids
 
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space before it, and how many each has.  No word holds a space, so its first
+        token, and no other, begins with one: there the ids of joined words are parted."""
+        texts = [" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) == len(words) and starts[0] == 0:
+            return ids, np.diff(starts, append=len(ids))
+        each = [self.whole(" " + w) for w in words]
+        return np.concatenate([np.array(x, np.int32) for x in each]), np.array([len(x) for x in each])
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """Numbers of different words; the first KEPT are remembered."""
+        found, known = list(map(self.number.get, words)), len(self.start)
+        new = [k for k, n in enumerate(found) if n is None and words[k]]
+        if new:
+            fresh = [words[k] for k in new]
+            ids, length = self._spaced(fresh)
+            self.start.frombytes((len(self.ids) + np.cumsum(length) - length).astype(np.int64).tobytes())
+            self.length.frombytes(length.astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
+            self.number.update(zip(fresh[: max(0, KEPT - known)], range(known, KEPT)))
+            for n, k in enumerate(new, known):
+                found[k] = n
+        # left: no word after the space at a text's end; joined, that space would meet the next one
+        return np.array([self._learn("") if n is None else n for n in found], np.int64)
+
+    def encode_spaced(self, texts: list[str]) -> list[np.ndarray]:
+        """encode of each text, where white space counts: their distinct words are looked up once for all of them."""
+        odd = [bool(_ODD_SPACE.search(t)) for t in texts]
+        parts = pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.string()), " ")
+        first = parts.offsets.to_numpy().astype(np.int64)
+        later = np.ones(first[-1], bool)
+        later[first[:-1]] = False  # a text's first word has no space before it, and is encoded for itself
+        words = parts.flatten().filter(pa.array(later)).dictionary_encode()
+        ids, ends = np.empty(0, np.int32), np.empty(0, np.int64)
+        if len(words):
+            at = self._numbered(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+            starts, length = np.frombuffer(self.start, np.int64)[at], np.frombuffer(self.length, np.int64)[at]
+            ends = np.cumsum(length)
+            ids = np.frombuffer(self.ids, np.int32)[np.arange(ends[-1]) + np.repeat(starts - (ends - length), length)]
+        bounds = iter(np.append(0, ends)[first - np.arange(len(first))].tolist())
+        if len(self.start) > KEPT:  # what is not remembered
+            del self.ids[self.start[KEPT] :], self.length[KEPT:], self.start[KEPT:]
+        out, lo = [], next(bounds)
+        for text, whole in zip(texts, odd):
+            if whole:
+                out.append(np.array(self.whole(text), np.int32))
+                continue
+            head, hi = text.partition(" ")[0], next(bounds)
+            out.append(np.append(np.array(self.stretch(head) if head else [], np.int32), ids[lo:hi]))
+            lo = hi
+        return out
+
+
+def at_once(texts: pa.Array) -> list[tuple[int, int]]:
+    """(from, to) of rows whose texts are encoded at once."""
+    block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    return list(zip(cuts, cuts[1:]))
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
