@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Written, scratch_path, texts
 from .huffman import Decoder, code_lengths, codes, encode
-from .tokens import encoder
+from .tokens import at_once, encoder
 
 EVERY = 128
 BLOCK = 1 << 18
@@ -39,7 +39,8 @@ def _encode_texts(path: str, end: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, False)
         for batch in batches:
-            ids = [np.append(enc.encode(t), end).astype(dtype).tobytes() for t in batch.column("text").to_pylist()]
+            column = batch.column("text")
+            ids = [np.append(x, end).astype(dtype).tobytes() for lo, hi in at_once(column) for x in enc.encode_unspaced(column.slice(lo, hi - lo))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run

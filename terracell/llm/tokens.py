@@ -2,10 +2,13 @@
 
 Both vocabularies cut a text into pieces before they merge anything, and no merge crosses a piece.  So a text is cut
 at places that are always piece borders, each different stretch is encoded once per worker, and ids are gathered from
-that memory.  Where white space counts, many texts are encoded at once: Arrow finds their distinct words, and those
-that are not remembered go joined through the whole tokenizer, each once.  Otherwise a stretch of plain Latin letters, digits and ASCII marks is cut into its pieces here and goes straight
+that memory.  A stretch of plain Latin letters, digits and ASCII marks is cut into its pieces here and goes straight
 to the library's merge model; any other stretch, and a text whose cut could differ from the tokenizer's own, is
 encoded by the whole tokenizer.
+
+Many texts are encoded at once: Arrow finds their distinct words.  Where white space counts, those that are not
+remembered go joined through the whole tokenizer, each once; where it does not, they are cut into pieces together, and
+each different piece that is not remembered goes through the merge model once.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,12 @@ _ODD_SPACE = re.compile(r" \s")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _GRAPHIC = re.compile("[ -~]+")
 _PLAIN = re.compile(rf"[!-~{_LETTER[6:]}]+")
+#: A word, as RE2 finds it, that is not plain or may hold a special token.
+_NOT_PLAIN = rf"[^!-~{_LETTER[6:]}]|<\|"
 _PLAIN_SPACED = re.compile(rf"[ -~\n{_LETTER[6:]}]+")
 #: Fixed patterns: the piece rules of the two vocabularies, for plain stretches.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_PIECES_OF_LINES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\n{_LETTER}0-9]+")  # a word in each line
 _PIECES_SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 
 
@@ -139,13 +146,19 @@ class Encoder:
         each = [self.whole(" " + w) for w in words]
         return np.concatenate([np.array(x, np.int32) for x in each]), np.array([len(x) for x in each])
 
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces from the merge model, and how many each has.  No piece holds a space."""
+        shown = " ".join(pieces).encode().decode("latin-1").translate(str.maketrans(self.visible)).split(self.visible[" "])
+        each = [[t.id for t in self.model.tokenize(p)] for p in shown]
+        return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
+
     def _numbered(self, words: list[str]) -> np.ndarray:
-        """Numbers of different words; the first KEPT are remembered."""
+        """Numbers of different words, or of pieces where white space does not count; the first KEPT are remembered."""
         found, known = list(map(self.number.get, words)), len(self.start)
         new = [k for k, n in enumerate(found) if n is None and words[k]]
         if new:
             fresh = [words[k] for k in new]
-            ids, length = self._spaced(fresh)
+            ids, length = self._spaced(fresh) if self.spaces_count else self._merged(fresh)
             self.start.frombytes((len(self.ids) + np.cumsum(length) - length).astype(np.int64).tobytes())
             self.length.frombytes(length.astype(np.int64).tobytes())
             self.ids.frombytes(ids.tobytes())
@@ -182,6 +195,45 @@ class Encoder:
             lo = hi
         return out
 
+    def _of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where in them those of each word start and how many they are, where white space does not count."""
+        odd = pc.match_substring_regex(words, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~odd))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), "\n")[0].as_py().lower()
+        pieces = pa.array(_PIECES_OF_LINES.findall(lines + "\n" if len(plain) else ""), pa.string()).dictionary_encode()
+        each, at = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        whole = [self.number[w.encode()] for w in words.filter(pa.array(odd)).to_pylist()]
+        numbers = np.append(self._numbered(each)[at], np.array(whole, np.int64))
+        starts, length = np.frombuffer(self.start, np.int64)[numbers], np.frombuffer(self.length, np.int64)[numbers]
+        line = np.flatnonzero(np.fromiter((p == "\n" for p in each), bool, len(each))[at])
+        length[line] = 0
+        ids, ends = _gathered(np.frombuffer(self.ids, np.int32), starts, length)
+        ends = ends[np.append(line, np.arange(len(at), len(numbers)))]  # of the plain words, then of the others
+        order = np.argsort(np.append(np.flatnonzero(~odd), np.flatnonzero(odd)))
+        size = np.diff(ends, prepend=0)
+        return ids, (ends - size)[order], size[order]
+
+    def encode_unspaced(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """encode of each text, where white space does not count: their distinct words are cut and looked up once for all."""
+        parts = pc.ascii_split_whitespace(texts)  # only white space that both sides drop; an empty word has no ids
+        words = parts.flatten().dictionary_encode()
+        if not len(words):
+            return [np.empty(0, np.int32) for _ in range(len(texts))]
+        ids, start, size = self._of_words(words.dictionary)
+        at = words.indices.to_numpy()
+        ids, ends = _gathered(ids, start[at], size[at])
+        if len(self.start) > KEPT:  # what is not remembered
+            del self.ids[self.start[KEPT] :], self.length[KEPT:], self.start[KEPT:]
+        offsets = parts.offsets.to_numpy()
+        bounds = np.append(0, ends)[offsets - offsets[0]].tolist()
+        return [ids[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of runs one after another, and where each run ends."""
+    ends = np.cumsum(length)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - length), length)], ends
+
 
 def at_once(texts: pa.Array) -> list[tuple[int, int]]:
     """(from, to) of rows whose texts are encoded at once."""

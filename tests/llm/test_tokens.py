@@ -73,3 +73,41 @@ def test_rows_encoded_at_once(monkeypatch):
     cuts = tokens.at_once(texts)
     assert [k for lo, hi in cuts for k in range(lo, hi)] == list(range(6)) and len(cuts) > 2
     assert tokens.at_once(texts.slice(0, 1)) == [(0, 1)]
+
+
+def test_unspaced_texts_at_once_have_the_same_ids(monkeypatch):
+    import pyarrow as pa
+
+    from terracell.llm import tokens
+
+    path = vocabulary("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = [*ODD, "\x85", "日本 語 \x7f\x1f a\x0bb\x0cc", "</w> a</w>b <|endoftext|>", "ÀÉß×÷ÿ's 12ab'LL--"] + pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:300]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (tokens.KEPT, 3):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        enc = tokens.Encoder(path, False)
+        for _ in range(2):  # the second time from memory
+            assert [ids.tolist() for ids in enc.encode_unspaced(pa.array(["cut off", *texts]).slice(1))] == want
+        assert len(enc.number) <= kept
+    assert enc.encode_unspaced(pa.array([], pa.string())) == []
+    for t in ("", " ", "\x85", "日本 語", "a"):  # alone, with nothing remembered
+        assert [x.tolist() for x in tokens.Encoder(path, False).encode_unspaced(pa.array([t]))] == [want[texts.index(t)] if t in texts else tok.encode(t).ids]
+
+
+def test_a_piece_of_many_texts_is_merged_once(monkeypatch):
+    """Also beyond the memory: the merge model sees each different piece of texts that are encoded at once a single time."""
+    import pyarrow as pa
+
+    from terracell.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    enc, tok = tokens.Encoder(vocabulary("word_bpe_49k.json"), False), Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    seen, plain = [], enc._merged
+    enc._merged = lambda pieces: seen.extend(pieces) or plain(pieces)
+    texts = ["one Two three, four. five", "five! FOUR three two one", "", " six "] * 3
+    for _ in range(2):
+        seen.clear()
+        assert [ids.tolist() for ids in enc.encode_unspaced(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(seen) == len(set(seen)) and len(enc.number) <= 3
+    assert {"four", "five", "six"} <= set(seen)
