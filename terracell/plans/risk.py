@@ -68,9 +68,10 @@ AT_SQL = """(CASE WHEN p IS NULL THEN NULL ELSE least(greatest(greatest(least(gr
 
 
 def hydro_cells(spark, sf_dir):
-    """The grid with `hydro`.  Wetness without flow is minus infinity, as a logarithm of floating-point numbers has it."""
+    """The grid with `hydro`.  Wetness without flow is minus infinity, as a logarithm of floating-point numbers has it;
+    there, unknown slope counts as the least."""
     cells = grid(spark, sf_dir).withColumn("hand", F.col("dist_built") / 250)
-    return risk.hydro_composite(cells.withColumn("twi", fn.wetness(F.col("flow") * 30, fn.slope_radians(F.col("slope")), dry=-math.inf)))
+    return risk.hydro_composite(cells.withColumn("twi", fn.wetness(F.col("flow") * 30, fn.slope_radians(F.coalesce("slope", F.lit(0.1))), dry=-math.inf)))
 
 
 @query(f"WITH {HYDRO_SQL} SELECT r, c, round(hydro, 9) AS hydro FROM hyd")
