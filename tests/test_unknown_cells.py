@@ -12,6 +12,7 @@ from tests.test_queries import SF, plain
 NAMES = [
     "hydro_composite",
     "evacuation_zone",
+    "forecast_risk",
 ]
 
 
