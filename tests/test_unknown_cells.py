@@ -14,6 +14,7 @@ NAMES = [
     "evacuation_zone",
     "forecast_risk",
     "rainfall_comparison",
+    "rainfall_risk",
 ]
 
 
