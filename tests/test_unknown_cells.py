@@ -15,6 +15,7 @@ NAMES = [
     "forecast_risk",
     "rainfall_comparison",
     "rainfall_risk",
+    "risk_alert",
 ]
 
 
