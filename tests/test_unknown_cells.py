@@ -16,6 +16,7 @@ NAMES = [
     "rainfall_comparison",
     "rainfall_risk",
     "risk_alert",
+    "risk_at_rainfall",
 ]
 
 
