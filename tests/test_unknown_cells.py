@@ -17,6 +17,7 @@ NAMES = [
     "rainfall_risk",
     "risk_alert",
     "risk_at_rainfall",
+    "risk_views",
 ]
 
 
